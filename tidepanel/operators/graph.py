@@ -237,9 +237,9 @@ def describe_graph(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def threshold_edges(corr: DataFrame, keys: list[str], thresholds=THRESHOLDS) -> DataFrame:
-    """Pairs whose |r| reaches each threshold, one row per threshold `t`."""
+    """Pairs whose |r|, to nine places, reaches each threshold, one row per threshold `t`."""
     rows = corr.withColumn("t", F.explode(F.array([F.lit(float(t)) for t in thresholds])))
-    return rows.where(F.abs("r") >= F.col("t")).select(*keys, "t", "a", "b")
+    return rows.where(F.round(F.abs("r"), 9) >= F.col("t")).select(*keys, "t", "a", "b")
 
 
 def threshold_graphs(corr: DataFrame, sizes: DataFrame, keys: list[str], thresholds=THRESHOLDS) -> DataFrame:
@@ -276,6 +276,37 @@ def top_corr_neighbors(corr: DataFrame, k: int) -> DataFrame:
     return nearest(_both_ways(corr.withColumn("w", strength), ["w"]), [F.col("w").desc(), F.col("member")], k)
 
 
+def nearest_points(points: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The k nearest others of each market by Euclidean distance between its `x` arrays, ties by id.
+
+    Blocks of markets are compared in numpy and each task keeps k per market, so distances are
+    never written out; the k best over all blocks follow from those.
+    """
+    id_type = dict(points.dtypes)["market_id"]
+    block = F.pmod(F.xxhash64("market_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    base = points.select("market_id", "x", block.alias("block"))
+    asks = base.select("market_id", "x", F.lit(True).alias("asks"), F.col("block").alias("qb"), every.alias("cb"))
+    offers = base.select("market_id", "x", F.lit(False).alias("asks"), every.alias("qb"), F.col("block").alias("cb"))
+
+    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, other = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("market_id")
+        if mine.empty or other.empty:
+            return pd.DataFrame({"owner": [], "member": [], "dist": []})
+        q, c = np.vstack(mine["x"].to_numpy()).astype(float), np.vstack(other["x"].to_numpy()).astype(float)
+        qi, ci = mine["market_id"].to_numpy(), other["market_id"].to_numpy()
+        gap = np.vstack([np.sqrt(((c - row) ** 2).sum(axis=1)) for row in q])
+        gap[qi[:, None] == ci[None, :]] = np.inf
+        take = np.argsort(np.round(gap, 9), axis=1, kind="stable")[:, : k + 1]
+        out = pd.DataFrame({"owner": np.repeat(qi, take.shape[1]), "member": ci[take.ravel()],
+                            "dist": np.take_along_axis(gap, take, axis=1).ravel()})
+        return out[np.isfinite(out["dist"])].groupby("owner", sort=False).head(k)
+
+    schema = f"owner {id_type}, member {id_type}, dist double"
+    near = asks.unionAll(offers).groupBy("qb", "cb").applyInPandas(closest, schema)
+    return nearest(near, [F.round("dist", 9), F.col("member")], k)
+
+
 def random_neighbors(ids: DataFrame, k: int, seed: int) -> DataFrame:
     """k other markets per market, the placebo neighbourhood.
 
@@ -328,7 +359,7 @@ def neighborhood_graphs(neighbors: DataFrame, corr: DataFrame, keys: list[str] |
     def describe(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
         a, b = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
-        strength, n = np.abs(pdf["r"].to_numpy()), int(pdf["n"].iloc[0])
+        strength, n = np.round(np.abs(pdf["r"].to_numpy()), 9), int(pdf["n"].iloc[0])
         rows = []
         for t in thresholds:
             hit = strength >= t

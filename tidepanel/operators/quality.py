@@ -221,7 +221,8 @@ def candidate_summary(markets: DataFrame, hourly: DataFrame, filled: DataFrame,
         ids = members.where(F.col("universe") == s["universe"]).where("in_panel").select("market_id")
         cells = cut_lineage(P.overlap_panel(J.semi(filled, ids, "market_id"), J.semi(hourly, ids, "market_id")))
         parts.append(cells.withColumn("universe", F.lit(s["universe"])))
-        corrs.append(G.correlation_summary(G.correlations(cells, min_hours=min_hours)).withColumn("universe", F.lit(s["universe"])))
+        corr = cut_lineage(G.correlation_summary(cut_lineage(G.correlations(cells, min_hours=min_hours))))
+        corrs.append(corr.withColumn("universe", F.lit(s["universe"])))
     panel = parts[0]
     corr = corrs[0]
     for more, c in zip(parts[1:], corrs[1:]):
@@ -263,8 +264,8 @@ def missingness_decomposition(cells: DataFrame, raw: DataFrame, mask: DataFrame,
     total = index.agg(F.count("*")).scalar() * columns.select("market_id").distinct().agg(F.count("*")).scalar()
     c = merged.agg(
         F.sum("f").alias("observed_filled_cells"), F.sum("r").alias("raw_observed_cells"), F.sum("m").alias("active_cells"),
-        F.count_if("f = 1 OR m = 1").alias("either"), F.count_if("m = 1 AND f = 0").alias("data_missing_cells"),
-        F.count_if("m = 1 AND r = 0").alias("active_raw_missing_cells"),
+        F.count_if(F.expr("f = 1 OR m = 1")).alias("either"), F.count_if(F.expr("m = 1 AND f = 0")).alias("data_missing_cells"),
+        F.count_if(F.expr("m = 1 AND r = 0")).alias("active_raw_missing_cells"),
     ).withColumn("total_cells", total)
     c = c.withColumns({
         "missing_cells": F.col("total_cells") - F.col("observed_filled_cells"),

@@ -1,4 +1,4 @@
 """All named queries; importing the plan modules declares them."""
 
-from tidepanel.plans import ingest, panels, quality, scoring  # noqa: F401
+from tidepanel.plans import graphs, ingest, panels, quality, scoring  # noqa: F401
 from tidepanel.plans.registry import ORACLE, QUERIES  # noqa: F401

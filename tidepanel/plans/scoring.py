@@ -136,7 +136,7 @@ def skip_degenerate(spark, d):
     cells = cut_lineage(X.active_panel(spark, d))
     rows = J.fold_rows(P.supervised_rows(cells, X.markets(spark, d)), folds(spark, d, cells))
     counts = rows.groupBy("fold", "family").agg(
-        F.count_if("split = 'train'").alias("train_rows"), F.count_if("split = 'test'").alias("test_rows"),
+        F.count_if(F.expr("split = 'train'")).alias("train_rows"), F.count_if(F.expr("split = 'test'")).alias("test_rows"),
         F.min(F.when(F.col("split") == "train", F.col("y"))).alias("lo"), F.max(F.when(F.col("split") == "train", F.col("y"))).alias("hi"))
     status = F.when((F.col("train_rows") == 0) | (F.col("test_rows") == 0), "skipped:empty_train_or_test") \
         .when(F.col("lo") == F.col("hi"), "skipped:single_class_train_labels").otherwise("ok")
