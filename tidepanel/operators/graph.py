@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,11 +63,12 @@ def _block_product(keys: list[str]):
     return product
 
 
-def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | None = None, chunk_hours: int | None = 168) -> DataFrame:
+def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | None = None, chunk_hours: int | None = 168,
+              chunk: Column | None = None) -> DataFrame:
     """Per key and pair a < b with a shared hour: n and the sums of x, y, x², y², xy over shared hours.
 
     `cells` holds one `x` per (keys, ts, market_id). With `chunk_hours=None` a key's hours are
-    already bounded (a window) and are multiplied in one go.
+    already bounded (a window) and are multiplied in one go; `chunk` names another way to cut.
     """
     keys = list(keys or [])
     blocks = blocks or block_count(cells)
@@ -77,14 +78,16 @@ def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | Non
         + [f"{s} double" for s in SUMS]
     )
     block = F.pmod(F.xxhash64("market_id"), F.lit(blocks)).cast("int")
-    epoch = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    chunk = F.floor(epoch / (chunk_hours * 3600)) if chunk_hours else F.lit(0).cast("bigint")
+    cut = chunk is not None or chunk_hours is not None
+    if chunk is None:
+        hour = lambda: F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (chunk_hours * 3600))
+        chunk = hour() if chunk_hours else F.lit(0).cast("bigint")
     placed = cells.select(
         *keys, "ts", "market_id", "x", block.alias("block"), chunk.alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"),
     ).withColumns({"ba": F.least("block", "other"), "bb": F.greatest("block", "other")})
     part = placed.drop("other").groupBy(*keys, "chunk", "ba", "bb").applyInPandas(_block_product(keys), schema)
-    if chunk_hours:
+    if cut:
         part = part.groupBy(*keys, "a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
     return part.withColumn("n", F.col("n").cast("long"))
 
