@@ -207,14 +207,24 @@ def balanced_weights(rows: DataFrame, keys: list[str], y: str = "y") -> DataFram
 
 
 def standardise(train: DataFrame, frames: list[DataFrame], cols: list[str]) -> list[DataFrame]:
-    """Fill with training medians, then scale by training mean and population deviation (wide form)."""
-    medians = train.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
-    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else 0.0)).alias(c) for c in cols])
+    """Fill with training medians, then scale by training mean and population deviation (wide form).
+
+    Only the statistics, a few numbers per column, come to the driver. Medians are taken for the
+    columns that have gaps, exactly and without sorting a column in one task.
+    """
+    train = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    missing = [c for c in cols if gaps[c]]
+    medians = dict.fromkeys(cols, 0.0)
+    if missing:
+        long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in missing])).alias("r")).select("r.*")
+        medians |= {r["c"]: r["m"] for r in ordered.quantiles(long, ["c"], "v", {"m": 0.5}).collect()}
+    filled = train.na.fill(medians) if missing else train
     stats = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_pop(c).alias(f"{c}__s") for c in cols]).first().asDict()
 
     def apply(df: DataFrame) -> DataFrame:
         return df.withColumns({
-            f"{c}__z": (F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)) - F.lit(stats[f"{c}__m"])) / F.lit(stats[f"{c}__s"] or 1.0) for c in cols})
+            f"{c}__z": (F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) - F.lit(stats[f"{c}__m"])) / F.lit(stats[f"{c}__s"] or 1.0) for c in cols})
 
     return [apply(df) for df in frames]
 
@@ -231,7 +241,7 @@ def one_class(train: DataFrame, y: str = "y") -> bool:
 
 
 def forecast(train: DataFrame, test: DataFrame, cols: list[str], kind: str = "logistic", y: str = "y", c: float = 1.0, balanced: bool = False,
-             vectors: list[str] | None = None, scaled: bool = True, seed: int = 7):
+             vectors: list[str] | None = None, scaled: bool = True, rounds: int = 100, step: float = 0.03, seed: int = 7):
     """Fit on train, predict on test. Returns (test with p_hat or y_hat, model), or None for one class.
 
     The penalty of `c` follows the usual inverse-strength convention: 1 / (c n).
@@ -249,7 +259,7 @@ def forecast(train: DataFrame, test: DataFrame, cols: list[str], kind: str = "lo
         model = LinearRegression(elasticNetParam=0.0, regParam=1.0 / n, standardization=False, maxIter=100).fit(train)
         return model.transform(test).withColumn("y_hat", F.col("prediction")), model
     if kind == "trees":
-        model = GBTClassifier(maxDepth=2, maxIter=20, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(train)
+        model = GBTClassifier(maxDepth=2, maxIter=rounds, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(train)
     else:
         given = {}
         if balanced:
