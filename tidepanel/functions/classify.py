@@ -152,22 +152,23 @@ def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:
 
 def classify_domain(text: Column, title: Column) -> Column:
     """Broad domain and family by the first rule that fits, as one struct."""
-    asset = has_word(text, CRYPTO_ASSET_WORDS)
-    policy = asset & has_word(text, CRYPTO_CONTEXT_WORDS)
-
     def label(domain, family):
         return F.struct(F.lit(domain).alias("broad_domain"), F.lit(family).alias("broad_family"))
 
+    # Rules that share a condition sit under it, so each pattern is tried at most once per text.
+    # Bitcoin and ethereum words are asset words, so their rules can only fire under `asset`.
+    in_crypto = first_match([
+        (has_word(text, ["etf"]), label("crypto", "crypto_etf")),
+        (has_word(text, CRYPTO_CONTEXT_WORDS), first_match(
+            [(has_word(text, CRYPTO_REGULATION_WORDS), label("crypto", "crypto_regulation"))], label("crypto", "crypto_policy"))),
+        (has_word(text, BTC_WORDS), label("crypto", "crypto_btc")),
+        (has_word(text, ETH_WORDS), label("crypto", "crypto_eth")),
+    ], label("crypto", "crypto_other"))
     return first_match([
         (has_word(text, WEATHER_SOURCE_WORDS) | has_word(title, WEATHER_TITLE_WORDS), label("weather", "weather")),
         (has_word(text, MSTR_WORDS), label("crypto", "crypto_microstrategy")),
         (has_word(title, STABLECOIN_TITLE_WORDS), label("crypto", "crypto_stablecoin")),
-        (asset & has_word(text, ["etf"]), label("crypto", "crypto_etf")),
-        (policy & has_word(text, CRYPTO_REGULATION_WORDS), label("crypto", "crypto_regulation")),
-        (policy, label("crypto", "crypto_policy")),
-        (has_word(text, BTC_WORDS), label("crypto", "crypto_btc")),
-        (has_word(text, ETH_WORDS), label("crypto", "crypto_eth")),
-        (asset, label("crypto", "crypto_other")),
+        (has_word(text, CRYPTO_ASSET_WORDS), in_crypto),
         (has_word(text, FED_WORDS), label("macro", "macro_fed_rates")),
         (has_word(text, INFLATION_WORDS), label("macro", "macro_inflation")),
         (has_word(text, GROWTH_WORDS), label("macro", "macro_growth_policy")),

@@ -105,7 +105,8 @@ def clean_value(value) -> Column:
 
 
 def probability_clip(p, eps: float = EPS) -> Column:
-    return F.greatest(F.lit(eps), F.least(F.lit(1 - eps), _c(p)))
+    """`p` held inside [eps, 1 - eps]; null stays null."""
+    return F.when(_c(p).isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1 - eps), _c(p))))
 
 
 def log_loss(y, p) -> Column:

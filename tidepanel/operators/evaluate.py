@@ -173,13 +173,17 @@ def resample_weight(a: Column, b: Column, replicate: Column) -> Column:
     return sum(((u >= c).cast("int") for c in POISSON_STEPS), F.lit(0))
 
 
-def bootstrap(losses: DataFrame, keys: list[str], unit: list[str], gains: list[str], replicates: int = 300, seed: int = 7) -> DataFrame:
+def bootstrap(losses: DataFrame, keys: list[str], unit: list[str], gains: list[str], replicates: int = 300, seed: int = 7,
+              one_row_each: bool = False) -> DataFrame:
     """Percentile interval of each mean gain when units (rows or clusters) are redrawn.
 
-    Units are summed first. Each is then weighted in every replicate and summed at once where it
-    lies, so what is shuffled is one row per replicate and task.
+    Units are summed first, unless each is a row already. Each is then weighted in every replicate
+    and summed at once where it lies, so what is shuffled is one row per replicate and task.
     """
-    sums = losses.groupBy(*keys, *unit).agg(*[F.sum(g).alias(g) for g in gains], F.count("*").alias("n"))
+    if one_row_each:
+        sums = losses.select(*keys, *unit, *gains, F.lit(1).cast("long").alias("n"))
+    else:
+        sums = losses.groupBy(*keys, *unit).agg(*[F.sum(g).alias(g) for g in gains], F.count("*").alias("n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in unit]))
     hexed = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
     drawn = sums.withColumns({"a": hexed(1), "b": hexed(8)}).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))

@@ -22,7 +22,8 @@ from tidepanel.session import cut_lineage
 THRESHOLDS = (0.3, 0.5, 0.7)
 NEIGHBOURHOOD_SIZES = (10, 20, 40)
 
-BLOCK = 256
+# A task of a blocked product holds at most two dense blocks of this many hours by markets (2 MB each).
+BLOCK, CHUNK_HOURS = 256, 1024
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
@@ -63,7 +64,7 @@ def _block_product(keys: list[str]):
     return product
 
 
-def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | None = None, chunk_hours: int | None = 168,
+def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | None = None, chunk_hours: int | None = CHUNK_HOURS,
               chunk: Column | None = None) -> DataFrame:
     """Per key and pair a < b with a shared hour: n and the sums of x, y, x², y², xy over shared hours.
 
@@ -93,7 +94,7 @@ def pair_sums(cells: DataFrame, keys: list[str] | None = None, blocks: int | Non
 
 
 def correlations(cells: DataFrame, keys: list[str] | None = None, min_hours: int = 24, blocks: int | None = None,
-                 chunk_hours: int | None = 168) -> DataFrame:
+                 chunk_hours: int | None = CHUNK_HOURS) -> DataFrame:
     """Pearson correlation of each pair over its shared hours; null where a series does not vary.
 
     Values are centred per market first, which keeps the sums well conditioned.
@@ -106,8 +107,9 @@ def correlations(cells: DataFrame, keys: list[str] | None = None, min_hours: int
     n = F.col("n").cast("double")
     vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
     flat = n * n * 1e-14
-    r = F.when((vx > flat) & (vy > flat), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy))
-    return sums.select(*keys, "a", "b", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return sums.select(*keys, "a", "b", "n", F.when((vx > flat) & (vy > flat), bounded).alias("r"))
 
 
 def varying(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:

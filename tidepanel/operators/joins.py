@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 def asof_backward(
     left: DataFrame, right: DataFrame, values: list[str], by: list[str] | None = None, on: str = "ts",
-    tiebreak: list[str] | None = None, unit: str = "day",
+    tiebreak: list[str] | None = None, unit: str | None = None,
 ) -> DataFrame:
     """Each left row with the values of the latest right row at or before it, per `by` key.
 
-    Rows are windowed inside (key, time slice); what a slice inherits comes from a table with one
-    row per key and slice, so neither a hot key nor a missing key puts all rows in one task.
+    Only distinct left keys take part in the search, and the answer is joined back to the rows.
+    The search runs inside (key, time slice); what a slice inherits comes from a table with one
+    row per key and slice. So neither a hot key nor a missing key puts all rows in one task.
     """
     by, tiebreak = list(by or []), list(tiebreak or [])
-    kept = list(left.columns)
+    unit = unit or ("day" if by else "hour")
     picked = F.struct(*[F.col(v) for v in values])
     ties = F.struct(F.lit(True).alias("known"), *[F.col(t) for t in tiebreak]).alias("__tie")
-    lhs = left.select(*[F.col(c) for c in kept], F.lit(1).alias("__side"))
-    rhs = right.select(F.col(on), *by, picked.alias("__v"), ties, F.lit(0).alias("__side"))
+    lhs = left.select(on, *by).distinct().withColumn("__side", F.lit(1))
+    rhs = right.select(on, *by, picked.alias("__v"), ties, F.lit(0).alias("__side"))
     both = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("__slice", F.date_trunc(unit, on))
 
     inside = W.partitionBy(*by, "__slice").orderBy(on, "__side", "__tie").rowsBetween(W.unboundedPreceding, 0)
@@ -31,9 +32,9 @@ def asof_backward(
     )
     carried = slices.select(*by, "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
     found = both.withColumn("__here", F.last("__v", ignorenulls=True).over(inside)).where(F.col("__side") == 1)
-    joined = found.join(carried, [*by, "__slice"], "left")
     hit = F.coalesce("__here", "__carry")
-    return joined.select(*kept, *[hit[v].alias(v) for v in values])
+    answers = found.join(carried, [*by, "__slice"], "left").select(on, *by, *[hit[v].alias(v) for v in values])
+    return left.join(answers, [on, *by], "left").select(*left.columns, *values)
 
 
 def fold_hours(folds: DataFrame) -> DataFrame:

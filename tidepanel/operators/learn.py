@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg import DenseMatrix, Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,13 +152,20 @@ def market_matrix(cells: DataFrame, value: str) -> tuple[RowMatrix, DataFrame]:
     return RowMatrix(vectors, numCols=n), rows
 
 
+SMALL = 2048  # widest matrix whose Gram matrix (32 MB) is handed to the driver
+
+
 def variance_shares(cells: DataFrame, value: str, upto: float = 0.95) -> np.ndarray:
     """Leading shares of variance of standardised market series until `upto` of it is reached.
 
-    Found by distributed singular values, more of them each time until enough is covered.
+    The hours-by-hours Gram matrix is summed over markets when its size is small; beyond that
+    singular values are found by distributed products, more of them until enough is covered.
     """
     total = cells.agg(F.sum(F.col(value) ** 2)).first()[0]
     matrix, rows = market_matrix(cells, value)
+    if matrix.numCols() <= SMALL:
+        roots = np.linalg.eigvalsh(matrix.computeGramianMatrix().toArray())[::-1]
+        return np.maximum(roots[: min(rows.count(), len(roots))], 0.0) / total
     most, k = min(rows.count(), matrix.numCols()), 16
     while True:
         k = min(k, most)
@@ -168,6 +175,15 @@ def variance_shares(cells: DataFrame, value: str, upto: float = 0.95) -> np.ndar
         k *= 2
 
 
+def leading_directions(matrix: RowMatrix, k: int):
+    """The first k right singular vectors, by the same two ways."""
+    if matrix.numCols() <= SMALL:
+        _, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        top = vectors[:, ::-1][:, :k]
+        return DenseMatrix(top.shape[0], k, top.ravel(order="F"))
+    return matrix.computeSVD(k, computeU=False).V
+
+
 def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
     """How few components carry a panel; empty below two varying columns or a day of hours."""
     stats = cells.groupBy("market_id").agg(
@@ -190,7 +206,7 @@ def market_embedding(cells: DataFrame, dims: int = 5) -> DataFrame:
     z = cells.join(hourly, "ts").select("ts", "market_id", ((F.col("p") - F.col("m")) / F.col("s")).alias("z"))
     matrix, rows = market_matrix(z, "z")
     k = min(dims, rows.count() - 1, matrix.numCols())
-    basis = matrix.computeSVD(k, computeU=False).V
+    basis = leading_directions(matrix, k)
     scores = matrix.multiply(basis).rows.zip(rows.rdd.map(lambda r: r["market_id"]))
     schema = f"market_id {dict(rows.dtypes)['market_id']}, x array<double>"
     return rows.sparkSession.createDataFrame(scores.map(lambda p: (p[1], [float(v) for v in p[0].toArray()])), schema)
@@ -229,10 +245,14 @@ def standardise(train: DataFrame, frames: list[DataFrame], cols: list[str]) -> l
     return [apply(df) for df in frames]
 
 
-def assemble(df: DataFrame, cols: list[str], vectors: list[str] | None = None) -> DataFrame:
-    for v in vectors or []:
-        df = df.withColumn(f"{v}__v", array_to_vector(v))
-    return VectorAssembler(inputCols=[*cols, *[f"{v}__v" for v in vectors or []]], outputCol="features").transform(df)
+def assemble(frames: list[DataFrame], cols: list[str], vectors: list[str]) -> list[DataFrame]:
+    """Feature vectors of scalar columns and of array columns, the latter scaled by the first frame."""
+    for v in vectors:
+        frames = [f.withColumn(f"{v}__v", array_to_vector(v)) for f in frames]
+        scaler = StandardScaler(inputCol=f"{v}__v", outputCol=f"{v}__z", withMean=True, withStd=True).fit(frames[0])
+        frames = [scaler.transform(f) for f in frames]
+    packer = VectorAssembler(inputCols=[*cols, *[f"{v}__z" for v in vectors]], outputCol="features")
+    return [packer.transform(f) for f in frames]
 
 
 def one_class(train: DataFrame, y: str = "y") -> bool:
@@ -253,7 +273,7 @@ def forecast(train: DataFrame, test: DataFrame, cols: list[str], kind: str = "lo
         train, test = standardise(train, [train, test], cols)
         used = [f"{x}__z" for x in cols]
     n = train.count()
-    train, test = assemble(train, used, vectors), assemble(test, used, vectors)
+    train, test = assemble([train, test], used, vectors or [])
     train = train.withColumn("label", F.col(y).cast("double"))
     if kind == "ridge":
         model = LinearRegression(elasticNetParam=0.0, regParam=1.0 / n, standardization=False, maxIter=100).fit(train)

@@ -338,10 +338,10 @@ def image_logistic(spark, d):
         limits = cut_lineage(T.image_ranges(loops.where(F.col("window_end") <= last), ["window_hours"]))
         image = T.persistence_image(T.birth_persistence(loops).join(limits, "window_hours"), keys, 10, 0.5)
         vec = cut_lineage(T.image_vectors(image, points, keys, 10).select(F.col("window_end").alias("ts"), "features"))
-        cols = [f"img_{i}" for i in range(100)]
-        train, test = (J.asof_backward(x, vec, ["features"]).where("features IS NOT NULL").select(
-            "ts", "market_id", "y", *BASE, *[F.col("features")[i].alias(c) for i, c in enumerate(cols)]) for x in s.modelling_rows(fold))
-        got = L.forecast(train, test, [*BASE, *cols], c=0.01)
+        vec = vec.withColumnRenamed("features", "image")
+        train, test = (cut_lineage(J.asof_backward(x, vec, ["image"]).where("image IS NOT NULL").select("ts", "market_id", "y", *BASE, "image"))
+                       for x in s.modelling_rows(fold))
+        got = L.forecast(train, test, BASE, c=0.01, vectors=["image"])
         parts += [tag(got, fold, "image_24h")] if got else []
     return scored(M.union_models(parts), "fold", "model")
 

@@ -460,7 +460,7 @@ def _boot_sql(unit, label):
 
 
 def _boot(losses, unit, label):
-    out = E.bootstrap(losses, [], unit, ["log_gain", "brier_gain"], REPLICATES)
+    out = E.bootstrap(losses, [], unit, ["log_gain", "brier_gain"], REPLICATES, one_row_each=label == "row")
     return r_all(out).withColumn("cluster", F.lit(label))
 
 
