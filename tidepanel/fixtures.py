@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators import panel as P
+from tidepanel.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,19 +48,24 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.bucket_last(prices(spark, sf_dir))
+    """Hourly last prices, written once: every panel reads them several times, the ticks only once."""
+    return cut_lineage(P.bucket_last(prices(spark, sf_dir)))
 
 
 def active_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.active_windows(hourly(spark, sf_dir), markets(spark, sf_dir))
 
 
-def active_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filled prices inside each market's activity window."""
+def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir)
     return P.active_ffill(h, P.active_windows(h, markets(spark, sf_dir)))
 
 
+def active_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled prices inside each market's activity window, written once for readers that need them twice."""
+    return cut_lineage(filled_panel(spark, sf_dir))
+
+
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.supervised_rows(active_panel(spark, sf_dir), markets(spark, sf_dir))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepanel.session import cut_lineage
+
 
 def bin_of(value: Column, lo, hi, bins: int) -> Column:
     """Monotone bin number of `value` between lo and hi; outer values fall in the end bins."""
@@ -18,8 +20,15 @@ def bin_of(value: Column, lo, hi, bins: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: list[str]) -> DataFrame:
-    """Adds `<name>_upto`, the inclusive running sum of each named column in (bucket, order)."""
+def running_sum(
+    df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: list[str], written: bool = False
+) -> DataFrame:
+    """Adds `<name>_upto`, the inclusive running sum of each named column in (bucket, order).
+
+    The rows are read for both levels, so they are written to the shared folder first, unless the
+    caller has done so (`written`).
+    """
+    df = df if written else cut_lineage(df)
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(s).alias(s) for s in sums])
@@ -59,7 +68,8 @@ def quantiles(
     else:
         lo_col, hi_col = lo, hi
     counts = counts.withColumn("__b", bin_of(F.col(value).cast("double"), lo_col, hi_col, bins))
-    run = running_sum(counts.select(*keys, value, "__n", "__b"), keys, "__b", [F.col(value)], ["__n"])
+    counts = cut_lineage(counts.select(*keys, value, "__n", "__b"))
+    run = running_sum(counts, keys, "__b", [F.col(value)], ["__n"], written=True)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if keys:
         run = run.join(totals, keys)

@@ -366,7 +366,7 @@ def stress_grid(
     panels: dict[str, list[str]],
 ) -> DataFrame:
     """Panel statistics for every minimum number of points, fill limit and group of families."""
-    hourly = bucket_last(prices)
+    hourly = cut_lineage(bucket_last(prices))
     sizes = prices.groupBy("market_id").agg(F.count("*").alias("points"))
     held = holding_intervals(hourly).join(sizes, "market_id")
     trial = held.withColumn("min_points", F.explode(F.array([F.lit(m) for m in min_points]))).where("points >= min_points")

@@ -173,7 +173,7 @@ X.add_cte("wcorr", """
     "SELECT window_end, t, a, b FROM wcorr, cuts WHERE round(abs(r), 9) >= t AND window_end IN (SELECT window_end FROM wlive GROUP BY 1 HAVING count(DISTINCT market_id) >= 4)",
     ["window_end", "t"]))
 def rolling_corr_graph(spark, d):
-    h = cut_lineage(X.hourly(spark, d))
+    h = X.hourly(spark, d)
     out = G.rolling_graphs(P.dense_fill(h), P.hour_index(h), WINDOW, STRIDE, G.block_count(h))
     return r_all(out, "t")
 
@@ -189,15 +189,18 @@ X.add_cte("dyn", f"""
     SELECT window_end, owner, t, edges, round(edges / pairs, 6) AS edge_density, round(lag(edges / pairs) OVER w, 6) AS edge_density_lag1,
       round(edges / pairs - lag(edges / pairs) OVER w, 6) AS edge_density_delta FROM dyn WINDOW w AS (PARTITION BY owner, t ORDER BY window_end)"""))
 def dynamic_local_graph(spark, d):
-    h = cut_lineage(X.hourly(spark, d))
+    h = X.hourly(spark, d)
     near = cut_lineage(G.top_corr_neighbors(train_corr(train_cells(spark, d)), K))
     g = G.dynamic_neighborhood_graphs(P.dense_fill(h), P.hour_index(h), near, WINDOW, STRIDE)
     out = FO.lag_and_delta(g.withColumnRenamed("window_end", "ts"), ["owner", "t"], ["edge_density"]).withColumnRenamed("ts", "window_end")
     return out.select("window_end", "owner", "t", "edges", r6("edge_density"), r6("edge_density_lag1"), r6("edge_density_delta"))
 
 
-@query("dynamic_local_graph_features")
+@query("dynamic_local_graph_features", with_graph(
+    "wins hood wcorr cuts", "SELECT window_end, owner, t, member AS node FROM (SELECT DISTINCT window_end FROM wins), hood, cuts",
+    "SELECT w.window_end, x.owner, t, w.a, w.b FROM hood x JOIN hood y ON x.owner = y.owner AND x.member < y.member "
+    "JOIN wcorr w ON w.a = x.member AND w.b = y.member, cuts WHERE round(abs(w.r), 9) >= t", ["window_end", "owner", "t"]))
 def dynamic_local_graph_features(spark, d):
-    h = cut_lineage(X.hourly(spark, d))
+    h = X.hourly(spark, d)
     near = cut_lineage(G.top_corr_neighbors(train_corr(train_cells(spark, d)), K))
     return r_all(G.dynamic_neighborhood_graphs(P.dense_fill(h), P.hour_index(h), near, WINDOW, STRIDE), "t")

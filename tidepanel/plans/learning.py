@@ -34,7 +34,7 @@ class Setup:
     """Panel, folds and scaled state shared by the queries below, written once per query."""
 
     def __init__(self, spark, d):
-        self.hourly, self.markets = cut_lineage(X.hourly(spark, d)), X.markets(spark, d)
+        self.hourly, self.markets = X.hourly(spark, d), X.markets(spark, d)
         self.cells = cut_lineage(P.active_ffill(self.hourly, P.active_windows(self.hourly, self.markets)))
         self.index = P.hour_index(self.hourly)
         self.folds = cut_lineage(FO.chronological_folds(self.cells, **FOLD))
@@ -184,7 +184,7 @@ def component_loadings(spark, d):
 
 @query("pca_compressibility")
 def pca_compressibility(spark, d):
-    h, m = cut_lineage(X.hourly(spark, d)), pool(spark, d)
+    h, m = X.hourly(spark, d), pool(spark, d)
     filled = cut_lineage(P.active_ffill(h, P.active_windows(h, m)))
     rows = []
     for spec in SPECS:

@@ -86,7 +86,7 @@ def drop_duplicate_markets(spark, d):
 
 @query("bucket_last", X.with_views("hourly", "SELECT ts, market_id, round(p, 6) AS p FROM hourly"))
 def bucket_last(spark, d):
-    return X.hourly(spark, d).select("ts", "market_id", r6("p"))
+    return P.bucket_last(X.prices(spark, d)).select("ts", "market_id", r6("p"))
 
 
 FAMILY_PIVOT = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -114,7 +114,7 @@ def active_window_build(spark, d):
 
 @query("active_ffill", X.with_views("panel", "SELECT ts, market_id, round(p, 6) AS p FROM panel"))
 def active_ffill(spark, d):
-    return X.active_panel(spark, d).select("ts", "market_id", r6("p"))
+    return X.filled_panel(spark, d).select("ts", "market_id", r6("p"))
 
 
 @query("active_ffill_limit", X.with_views("grid active", """
@@ -123,7 +123,8 @@ def active_ffill(spark, d):
     SELECT lim.ts, lim.market_id, round(lim.p, 6) AS p FROM lim JOIN active a USING (market_id)
     WHERE lim.p IS NOT NULL AND lim.ts BETWEEN a.active_start AND a.active_end"""))
 def active_ffill_limit(spark, d):
-    return P.active_ffill(X.hourly(spark, d), X.active_windows(spark, d), limit=6).select("ts", "market_id", r6("p"))
+    h = X.hourly(spark, d)
+    return P.active_ffill(h, P.active_windows(h, X.markets(spark, d)), limit=6).select("ts", "market_id", r6("p"))
 
 
 @query("backfill_fill", X.with_views("filled", """

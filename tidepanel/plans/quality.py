@@ -124,7 +124,7 @@ GATES = {"min_core_markets": 20, "min_points_per_market": 40, "min_calendar_days
       AND no_unresolved_selected AND no_non_binary_selected AND required_columns_present AND required_nulls_absent AND timestamps_utc
       AND price_bounds AND active_window_respected AND excluded_reasons_complete AND core_and_satellite_panels_exist AS analysis_ready FROM g"""))
 def quality_gates(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     primary = J.semi(cells, core_ids(spark, d), "market_id")
     return Q.quality_gates(gappy(spark, d), universe(spark, d), primary, cells, ["ts", "market_id", "p"], GATES)
 
@@ -231,7 +231,7 @@ def candidate_membership(spark, d):
       round(0.30 * balance + 0.20 * liq + 0.20 * greatest(0, cover) + 0.10 * rel, 6) AS overall_score FROM k"""))
 def candidate_summary(spark, d):
     h = X.hourly(spark, d)
-    s = Q.candidate_summary(pool(spark, d), h, cut_lineage(X.active_panel(spark, d)), SPECS, MIN_HOURS)
+    s = Q.candidate_summary(pool(spark, d), h, X.active_panel(spark, d), SPECS, MIN_HOURS)
     return s.select(
         "universe", "metadata_market_count", "panel_market_count", "timestamp_count", "timestamp_min", "timestamp_max", r6("yes_rate"),
         r6("class_entropy"), r6("avg_volume"), r6("panel_missingness"), "active_market_median", "family_count", "domain_count", "pairs",
@@ -324,7 +324,7 @@ X.add_cte("keep", "SELECT t.universe, a.market_id FROM avgjac a JOIN (VALUES " +
 
 def constrained(spark, d):
     h = X.hourly(spark, d)
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     pairs = cut_lineage(G.jaccard(cells))
     return Q.constrained_universes(G.average_overlap(pairs, h), pairs, cells, cells, P.hour_index(h), X.markets(spark, d), THRESHOLDS)
 

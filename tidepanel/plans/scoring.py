@@ -37,7 +37,7 @@ def folds(spark, d, cells=None):
 
 def predictions(spark, d):
     """Four probability models on the test rows of every fold."""
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     m = X.markets(spark, d)
     rows = P.supervised_rows(cells, m)
     prior = m.groupBy("family").agg(F.avg("y").alias("prior"))
@@ -80,7 +80,7 @@ X.add_cte("inner_folds", """
 
 @query("inner_validation_fold", X.with_views("inner_folds", "SELECT * FROM inner_folds"))
 def inner_validation_fold(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     return FO.inner_validation(cells, folds(spark, d, cells), **INNER)
 
 
@@ -88,7 +88,7 @@ def inner_validation_fold(spark, d):
     SELECT f.fold, 'train' AS split, s.ts, s.market_id, round(s.p, 6) AS p FROM sup s JOIN folds f ON s.ts BETWEEN f.train_start AND f.train_end
     UNION ALL SELECT f.fold, 'test', s.ts, s.market_id, round(s.p, 6) FROM sup s JOIN folds f ON s.ts BETWEEN f.test_start AND f.test_end"""))
 def range_join_folds(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     rows = P.supervised_rows(cells, X.markets(spark, d))
     return J.fold_rows(rows, folds(spark, d, cells)).select("fold", "split", "ts", "market_id", r6("p"))
 
@@ -98,7 +98,7 @@ def range_join_folds(spark, d):
       JOIN folds f ON s.ts BETWEEN f.train_start AND f.train_end AND m.close_ts <= f.train_end GROUP BY 1
     UNION ALL SELECT f.fold, 'test', count(*), round(sum(s.p), 6) FROM sup s JOIN folds f ON s.ts BETWEEN f.test_start AND f.test_end GROUP BY 1"""))
 def supervised_rows_fold(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     m, f = X.markets(spark, d), folds(spark, d, cells)
     out = FO.supervised_fold_rows(P.supervised_rows(cells, m), J.fold_hours(f), m, f, known_labels_only=True)
     return out.groupBy("fold", "split").agg(F.count("*").alias("n"), r6(F.sum("p"), "total"))
@@ -108,7 +108,7 @@ def supervised_rows_fold(spark, d):
     SELECT f.fold, p.market_id AS feature, count(*) AS observed FROM panel p JOIN folds f ON p.ts BETWEEN f.train_start AND f.train_end
     GROUP BY 1, 2 HAVING count(DISTINCT p.p) > 1"""))
 def fold_feature_columns(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     long = cells.select("ts", F.col("market_id").alias("feature"), F.col("p").alias("value"))
     return FO.fold_feature_columns(long, J.fold_hours(folds(spark, d, cells)))
 
@@ -121,7 +121,7 @@ def fold_feature_columns(spark, d):
     SELECT slice_type, slice_value, count(*) AS markets, CAST(sum(y) AS BIGINT) AS yes_markets, round(avg(y), 6) AS market_yes_rate,
       CAST(sum(n) AS BIGINT) AS rows, CAST(sum(yes) AS BIGINT) AS yes_rows, round(sum(yes) / sum(n), 6) AS row_yes_rate FROM m GROUP BY 1, 2"""))
 def class_balance(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     rows = J.fold_rows(P.supervised_rows(cells, X.markets(spark, d)), folds(spark, d, cells), "test")
     return r_all(Q.class_balance(rows))
 
@@ -133,7 +133,7 @@ def class_balance(spark, d):
     SELECT fold, family, train_rows, test_rows, CASE WHEN train_rows = 0 OR test_rows = 0 THEN 'skipped:empty_train_or_test'
       WHEN classes < 2 THEN 'skipped:single_class_train_labels' ELSE 'ok' END AS status FROM c"""))
 def skip_degenerate(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     rows = J.fold_rows(P.supervised_rows(cells, X.markets(spark, d)), folds(spark, d, cells))
     counts = rows.groupBy("fold", "family").agg(
         F.count_if(F.expr("split = 'train'")).alias("train_rows"), F.count_if(F.expr("split = 'test'")).alias("test_rows"),
@@ -181,7 +181,7 @@ def placebo_future_shift(spark, d):
     SELECT f.fold, min(p.ts) AS source_start, max(p.ts) AS source_end, max(p.ts) >= any_value(f.test_start) AS used_test_timestamps
     FROM folds f JOIN panel p ON p.ts BETWEEN f.train_start AND f.train_end OR (f.fold % 2 = 0 AND p.ts BETWEEN f.test_start AND f.test_end) GROUP BY 1"""))
 def leakage_diagnostic(spark, d):
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     f = folds(spark, d, cells)
     used = J.fold_rows(cells, f).where("split = 'train' OR fold % 2 = 0")
     return FO.leakage_diagnostic(used, f)
@@ -224,7 +224,7 @@ X.add_cte("selected", """
 
 def selected(spark, d):
     """Blends of the price with a fixed level, scored on each fold's validation part."""
-    cells = cut_lineage(X.active_panel(spark, d))
+    cells = X.active_panel(spark, d)
     inner = FO.inner_validation(cells, folds(spark, d, cells), **INNER)
     rows = J.fold_rows(P.supervised_rows(cells, X.markets(spark, d)), inner, "test")
     levels = F.array(*[F.struct(F.lit(n).alias("representation"), F.lit(v).alias("v")) for n, v in (("even", 0.5), ("low", 0.2))])
@@ -435,7 +435,15 @@ def paired_loss_test(spark, d):
     return r_all(E.paired_loss_test(pairs(spark, d))).drop("log_loss_p", "brier_p")
 
 
-@query("paired_loss_pvalue")
+def _tail_sql(z):
+    t = f"(1.0::DOUBLE / (1 + 0.3275911 * abs({z}) / sqrt(2.0)))"
+    return (f"((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-({z}) * ({z}) / 2)")
+
+
+@query("paired_loss_pvalue", X.with_views("gains", f"""
+    WITH t AS (SELECT domain, count(*) AS paired_rows, avg(-log_gain) / (stddev_samp(log_gain) / sqrt(count(*))) AS zl,
+      avg(-brier_gain) / (stddev_samp(brier_gain) / sqrt(count(*))) AS zb FROM gains GROUP BY 1)
+    SELECT domain, paired_rows, round({_tail_sql('zl')}, 6) AS log_loss_p, round({_tail_sql('zb')}, 6) AS brier_p FROM t"""))
 def paired_loss_pvalue(spark, d):
     return E.paired_loss_test(pairs(spark, d), ["domain"]).select("domain", "paired_rows", r6("log_loss_p"), r6("brier_p"))
 
@@ -443,20 +451,20 @@ def paired_loss_pvalue(spark, d):
 REPLICATES = 200
 
 
-def _boot_sql(unit, label):
+def _boot_sql(unit, label, gains="gains", extra=""):
     text = " || ':' || ".join("strftime(ts, '%Y-%m-%d %H:%M:%S')" if u == "ts" else u for u in unit)
     steps = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in E.POISSON_STEPS)
     return f"""
-    SELECT '{label}' AS cluster, any_value(n_units) AS n_units, round(any_value(ml), 6) AS log_gain_mean, round(any_value(mb), 6) AS brier_gain_mean,
+    SELECT {extra}'{label}' AS cluster, any_value(n_units) AS n_units, round(any_value(ml), 6) AS log_gain_mean, round(any_value(mb), 6) AS brier_gain_mean,
       round(quantile_cont(lg, 0.025), 6) AS log_gain_ci_low, round(quantile_cont(lg, 0.975), 6) AS log_gain_ci_high,
       round(quantile_cont(bg, 0.025), 6) AS brier_gain_ci_low, round(quantile_cont(bg, 0.975), 6) AS brier_gain_ci_high
     FROM (SELECT r, sum(w * l) / sum(w * n) AS lg, sum(w * b) / sum(w * n) AS bg FROM (
         SELECT r, l, b, n, {steps} AS w FROM (SELECT r, l, b, n, ((a + c * r) % {E.PRIME}) / {float(E.PRIME)}::DOUBLE AS u
           FROM (SELECT sum(log_gain) AS l, sum(brier_gain) AS b, count(*) AS n, CAST('0x' || substr(md5('7:' || {text}), 1, 7) AS BIGINT) AS a,
-                CAST('0x' || substr(md5('7:' || {text}), 8, 7) AS BIGINT) AS c FROM gains GROUP BY {', '.join(unit)}),
+                CAST('0x' || substr(md5('7:' || {text}), 8, 7) AS BIGINT) AS c FROM {gains} GROUP BY {', '.join(unit)}),
                (SELECT unnest(generate_series(1, {REPLICATES})) AS r))) GROUP BY 1),
-      (SELECT count(*) AS n_units, (SELECT avg(log_gain) FROM gains) AS ml, (SELECT avg(brier_gain) FROM gains) AS mb
-       FROM (SELECT DISTINCT {', '.join(unit)} FROM gains))"""
+      (SELECT count(*) AS n_units, (SELECT avg(log_gain) FROM {gains}) AS ml, (SELECT avg(brier_gain) FROM {gains}) AS mb
+       FROM (SELECT DISTINCT {', '.join(unit)} FROM {gains}))"""
 
 
 def _boot(losses, unit, label):
@@ -475,12 +483,24 @@ def bootstrap_cluster(spark, d):
     return M.union_models([_boot(losses, ["market_id"], "market_id"), _boot(losses, ["ts"], "ts")])
 
 
-@query("stat_test_table")
+COMPARISONS = (("prior", "market"), ("shrunk", "market"), ("prior", "shrunk"))
+UNITS = ((["fold", "ts", "market_id"], "row"), (["market_id"], "market_id"), (["ts"], "ts"))
+
+
+def _gains_sql(candidate, baseline):
+    return f"""(SELECT fold, ts, market_id, -(y * ln(pb) + (1 - y) * ln(1 - pb)) + (y * ln(pc) + (1 - y) * ln(1 - pc)) AS log_gain,
+      (pb - y) * (pb - y) - (pc - y) * (pc - y) AS brier_gain FROM (SELECT fold, ts, market_id, y, max(CASE WHEN model = '{candidate}' THEN p_hat END) AS pc,
+      max(CASE WHEN model = '{baseline}' THEN p_hat END) AS pb FROM preds GROUP BY 1, 2, 3, 4))"""
+
+
+@query("stat_test_table", X.with_views("preds", "WITH " + ", ".join(
+    f"g{i} AS {_gains_sql(*c)}" for i, c in enumerate(COMPARISONS)) + " " + " UNION ALL ".join(
+    _boot_sql(u, n, f"g{i}", f"'{c}' AS candidate, '{b}' AS baseline, ") for i, (c, b) in enumerate(COMPARISONS) for u, n in UNITS)))
 def stat_test_table(spark, d):
     p = predictions(spark, d)
     parts = []
-    for candidate, baseline in (("prior", "market"), ("shrunk", "market"), ("prior", "shrunk")):
+    for candidate, baseline in COMPARISONS:
         losses = cut_lineage(E.paired_losses(J.pair_models(p, candidate, baseline, PAIR_KEYS)))
         tag = {"candidate": F.lit(candidate), "baseline": F.lit(baseline)}
-        parts += [_boot(losses, u, n).withColumns(tag) for u, n in ((["fold", "ts", "market_id"], "row"), (["market_id"], "market_id"), (["ts"], "ts"))]
+        parts += [_boot(losses, u, n).withColumns(tag) for u, n in UNITS]
     return M.union_models(parts)
