@@ -158,7 +158,7 @@ def coverage_rank(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Rank of each column by number of values, most first, ties by id."""
     n = columns.select("market_id").distinct().join(
         cells.groupBy("market_id").agg(F.count("p").alias("n")), "market_id", "left"
-    ).select("market_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("one"), )
+    ).select("market_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("one"))
     n = n.withColumn("bucket", -F.col("n"))
     return ordered.running_sum(n, [], "bucket", [F.col("market_id")], ["one"]).select(
         "market_id", "n", F.col("one_upto").alias("rank")

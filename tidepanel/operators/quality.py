@@ -125,7 +125,7 @@ def quality_gates(prices: DataFrame, universe: DataFrame, primary: DataFrame, fi
         "price_bounds": out_of_bounds == 0,
         "active_window_respected": window_violations(filled, prices, universe).agg(F.count("*") == 0).scalar(),
         "excluded_reasons_complete": F.col("excluded_without_reason") == 0,
-        "core_and_satellite_panels_exist": (shape["rows"] > 0) & F.lit(True),
+        "core_and_satellite_panels_exist": shape["rows"] > 0,
     }
     table = u.select(*[c.alias(k) for k, c in flags.items()])
     ready = F.lit(True)
