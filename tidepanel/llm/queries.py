@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
+from tidepanel.llm import langid as G
 from tidepanel.llm import secrets as S
-from tidepanel.llm.common import prepare, table
+from tidepanel.llm.common import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +47,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = G.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    said = G.identify(docs.select("doc_id", "text"), model)
+    return said.select("row.doc_id", "lang_pred", "score", "margin", "rejected").withColumn("held_out", F.coalesce(held_out, F.lit(False))).select(
+        "doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 @query("op3_exact_dedup", r"""
     WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -52,3 +65,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of each document and the row that stays."""
     return X.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_chat")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return C.digests(C.format_conversations(rows.unionByName(own)))
