@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm import bpe as B
 from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
@@ -15,6 +17,7 @@ from tidepanel.llm.common import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -74,3 +77,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return C.digests(C.format_conversations(rows.unionByName(own)))
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole text and the text they decode to, as digests."""
+    return bpe_digests(B.decode(B.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE), WORD_BPE))
+
+
+def bpe_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
