@@ -195,16 +195,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Each encoded row with `decoded`: the vocabulary has no decoder of its own, so tokens are joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(vocabulary(path).tokens, pa.large_string())
+        tokens = pa.array(vocabulary(path).tokens, pa.string())
         for batch in batches:
             ids = batch.column("ids")
-            flat = tokens.take(ids.flatten())
-            lists = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), flat) if ids.offset == 0 else _rebased(ids, flat)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pc.binary_join(lists, " ").cast(pa.string())], names=["row", "ids", "decoded"])
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), tokens.take(ids.flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pc.binary_join(lists, " ")], names=["row", "ids", "decoded"])
 
     return encoded.select("row", "ids").mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
 
-
-def _rebased(ids: pa.ListArray, flat: pa.Array) -> pa.LargeListArray:
-    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-    return pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int64)), flat)
