@@ -12,6 +12,7 @@ from tidepanel.llm import bpe as B
 from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
+from tidepanel.llm import mixing as M
 from tidepanel.llm import secrets as S
 from tidepanel.llm.common import prepare, remainder, table
 
@@ -90,3 +91,68 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# Production weights of the mix: three domains told by the source's number, four languages, and one source that counts double.
+MIX = {
+    "domain": {"domain0": 5, "domain1": 3, "domain2": 2, "*": 1},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2, "*": 1},
+    "source": {"src0": 2, "*": 1},
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 800, 2, 11
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    domain = F.when(number == "", "").otherwise(F.concat(F.lit("domain"), (number.cast("long") % 3).cast("string")))
+    return M.mix(docs, domain, F.col("lang"), F.col("source"), MIX_SHARE, MIX, MIX_EPOCHS, MIX_SEED)
+
+
+def _case(level: str) -> str:
+    return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX[level].items() if k != "*") + f" ELSE {MIX[level]['*']} END"
+
+
+def _divided(name: str, nodes: str, parents: str, order: str) -> str:
+    """SQL views that divide each parent's budget among the nodes."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+    {name}_a AS (SELECT *, budget - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_,
+                 sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+          FROM {nodes} WINDOW w AS ({part} ORDER BY capacity / weight, {order})),
+    {name}_b AS (SELECT *, capacity::HUGEINT * weights <= weight::HUGEINT * left_ AS is_full FROM {name}_a),
+    {name}_c AS (SELECT *, budget - coalesce(sum(capacity) FILTER (is_full) OVER ({part}), 0) AS open_,
+                 sum(weight) FILTER (NOT is_full) OVER ({part}) AS open_weight FROM {name}_b),
+    {name} AS (SELECT * EXCLUDE (left_, weights, is_full, open_, open_weight),
+               CASE WHEN is_full THEN capacity ELSE (weight::HUGEINT * open_) // open_weight END::BIGINT AS given FROM {name}_c)"""
+
+
+def mix_sql(docs: str) -> str:
+    """Views that end in `mixed`: the rows of `docs` with their leaf, tokens and copies."""
+    return f"""
+    d AS (SELECT *, CASE WHEN num = '' THEN '' ELSE 'domain' || (num::BIGINT % 3) END AS domain FROM (
+          SELECT * EXCLUDE (lang, source), lang AS own_lang, source AS own_source, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS num,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM {docs})),
+    l3 AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS capacity, {_case("source")} AS weight
+           FROM d WHERE n_tokens > 0 GROUP BY domain, lang, source),
+    l2 AS (SELECT domain, lang, sum(capacity)::BIGINT AS capacity, {_case("lang")} AS weight FROM l3 GROUP BY domain, lang),
+    l1 AS (SELECT domain, sum(capacity)::BIGINT AS capacity, {_case("domain")} AS weight,
+           (SELECT least((sum(tokens) * {MIX_SHARE}) // 1000, sum(capacity))::BIGINT FROM l3) AS budget FROM l2 GROUP BY domain),
+    {_divided("g1", "l1", "", "domain")},
+    l2b AS (SELECT l2.*, g1.given AS budget FROM l2 JOIN g1 USING (domain)),
+    {_divided("g2", "l2b", "domain", "domain, lang")},
+    l3b AS (SELECT l3.*, g2.given AS budget FROM l3 JOIN g2 USING (domain, lang)),
+    {_divided("g3", "l3b", "domain, lang", "domain, lang, source")},
+    placed AS (SELECT d.*, g.given, g.given // g.tokens AS passes, g.given % g.tokens AS rest,
+               md5('{MIX_SEED}:' || (g.given // g.tokens) || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+               FROM d LEFT JOIN g3 g USING (domain, lang, source)),
+    mixed AS (SELECT *, coalesce(CASE WHEN n_tokens > 0 THEN passes + (sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest)::INT END, 0)::BIGINT AS copies
+              FROM placed)"""
+
+
+@query("op10_mixing", f"""WITH {mix_sql("documents")}
+    SELECT doc_id, domain, lang, source, n_tokens, coalesce(given, 0) AS given, copies FROM mixed""")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is selected for the mix, with its leaf and the leaf's tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix_documents(docs).select("row.doc_id", "domain", "lang", "source", "n_tokens", "given", "copies")
