@@ -14,6 +14,7 @@ from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
 from tidepanel.llm import mixing as M
 from tidepanel.llm import secrets as S
+from tidepanel.llm import toxicity as T
 from tidepanel.llm.common import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,16 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each whole text; labels of held-out rows are not read."""
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    told = T.score(docs, T.fit(docs, labels)).select("row.doc_id", "score")
+    return told.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # Production weights of the mix: three domains told by the source's number, four languages, and one source that counts double.
 MIX = {
     "domain": {"domain0": 5, "domain1": 3, "domain2": 2, "*": 1},
