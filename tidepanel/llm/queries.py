@@ -13,6 +13,7 @@ from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
 from tidepanel.llm import mixing as M
+from tidepanel.llm import neighbours as N
 from tidepanel.llm import secrets as S
 from tidepanel.llm import toxicity as T
 from tidepanel.llm.common import prepare, remainder, table
@@ -94,6 +95,12 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+@query("op8_neighbours")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return N.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of each whole text; labels of held-out rows are not read."""
