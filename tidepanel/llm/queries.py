@@ -13,6 +13,7 @@ from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
 from tidepanel.llm import mixing as M
+from tidepanel.llm import near as D
 from tidepanel.llm import neighbours as N
 from tidepanel.llm import secrets as S
 from tidepanel.llm import toxicity as T
@@ -82,6 +83,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.digests(C.format_conversations(rows.unionByName(own)))
 
 
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates each document is in."""
+    return D.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each whole text and the text they decode to, as digests."""
