@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +28,11 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tidepanel.llm.common import spread, texts
 
-#: Longest word in parts that takes the array path, words encoded at once, words kept by a worker.
-SHORT, AT_ONCE, KEPT = 32, 4096, 200_000
+#: Longest word in parts that takes the array path, words encoded at once, words kept by a worker, code points split into words at once.
+SHORT, AT_ONCE, KEPT, SLICE = 32, 4096, 200_000, 1 << 20
 NONE = np.int64(1) << 40
-_FAR = regex.compile(r"[^\x00-\u052f\u2000-\u206f]")
+# Code points for which engines may differ: beyond Latin, Greek and Cyrillic, the separators 1C to 1F, and the sigma, lowered by context.
+_FAR = re.compile(r"[^\x00-\x1b\x20-\u03a2\u03a4-\u052f\u2010-\u2027]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,12 +50,7 @@ class Vocabulary:
             told = json.load(f)
         model, split = told["model"], told["pre_tokenizer"]["pretokenizers"][0]
         ids, suffix = model["vocab"], model["end_of_word_suffix"]
-        self.tokens = [""] * (max([*ids.values(), *(t["id"] for t in told["added_tokens"])]) + 1)
-        for token, i in ids.items():
-            self.tokens[i] = token
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        for content, i in self.special.items():
-            self.tokens[i] = content
         self.special_split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(_blanks(told)), " "), normalizers.Lowercase()])
@@ -60,14 +58,20 @@ class Vocabulary:
         letters = byte_letters()
         self.inner = np.array([ids[letters[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([ids[letters[b] + suffix] for b in range(256)], dtype=np.int64)
-        self.width = len(self.tokens)
+        self.width = 1 << 20  # more than any id
         pairs = model["merges"]
         keys = np.array([ids[a] * self.width + ids[b] for a, b in pairs], dtype=np.int64)
         made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made  # made is by rank
         self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
-        self.store: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the store anew: the number of each word, and where its ids are in one flat array."""
+        self.number = {"\n" + content: k for k, content in enumerate(self.special)}
+        self.flat = np.array(list(self.special.values()), dtype=np.int32)
+        self.start, self.size = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where it is not in the table or a side is missing (-1)."""
@@ -130,12 +134,16 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not yet in the store, those of like length together."""
-        new = sorted(((w.encode(), w) for w in words if w not in self.store), key=lambda x: len(x[0]))
-        short = [x for x in new if len(x[0]) <= SHORT]
-        for i in range(0, len(short), AT_ONCE):
-            some = short[i:i + AT_ONCE]
-            self.store.update(zip((w for _, w in some), self.short_words([b for b, _ in some])))
-        self.store.update((w, self.long_word(b)) for b, w in new[len(short):])
+        new = sorted(((w.encode(), w) for w in words if w not in self.number), key=lambda x: len(x[0]))
+        if not new:
+            return
+        short = sum(len(b) <= SHORT for b, _ in new)
+        made = [ids for i in range(0, short, AT_ONCE) for ids in self.short_words([b for b, _ in new[i:min(i + AT_ONCE, short)]])]
+        made += [self.long_word(b) for b, _ in new[short:]]
+        sizes = np.array(list(map(len, made)))
+        self.number.update((w, len(self.start) + k) for k, (_, w) in enumerate(new))
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.size, self.flat = np.r_[self.size, sizes], np.concatenate([self.flat, *made])
 
     def words(self, text: str) -> list[str]:
         """The words of a text as the encoder sees them; a special token stands as itself, marked by a line break no word holds."""
@@ -149,30 +157,48 @@ class Vocabulary:
         return out + self.split(text[at:])
 
     def split(self, text: str) -> list[str]:
-        """Words by the vocabulary's pattern. Which code points are letters depends on the engine's Unicode version, so
-        beyond the Latin, Greek and Cyrillic blocks the library's own splitter decides."""
-        plain = self.normalizer.normalize_str(text)
-        if _FAR.search(plain):
-            return [w for w, _ in self.splitter.pre_tokenize_str(plain)]
-        return self.pattern.findall(plain)
+        """Words by the vocabulary's pattern. Blanks need no folding, since no word holds one. Where engines or Unicode versions
+        may differ, the library's own normaliser and splitter decide."""
+        if _FAR.search(text):
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
-        if len(self.store) > KEPT:
-            self.store.clear()
-        self.store.update(("\n" + c, np.array([i], np.int32)) for c, i in self.special.items())
-        split = [self.words(t) for t in batch]
-        self.learn(set().union(*split))
-        found = [self.store[w] for words in split for w in words]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ends = np.r_[0, np.cumsum(sizes)][np.cumsum([len(words) for words in split])] if split else np.empty(0, np.int64)
-        return (np.concatenate(found) if found else np.empty(0, np.int32)), np.diff(ends, prepend=0)
+        """Ids of all texts one after the other, and how many each has; texts are taken by slices, to hold few words at a time."""
+        ids, counts, i = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+        while i < len(batch):
+            j, room = i + 1, SLICE - len(batch[i])
+            while j < len(batch) and len(batch[j]) <= room:
+                room -= len(batch[j])
+                j += 1
+            split = [self.words(t) for t in batch[i:j]]
+            if len(self.number) > KEPT:
+                self.forget()
+            self.learn(set().union(*split))
+            found = np.fromiter((self.number[w] for words in split for w in words), dtype=np.int64)
+            sizes = self.size[found]
+            ids.append(self.flat[spread(self.start[found], sizes)])
+            counts.append(np.diff(np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, split)])]))
+            i = j
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def _blanks(told: dict) -> str:
     return next(n["pattern"]["Regex"] for n in told["normalizer"]["normalizers"] if n["type"] == "Replace")
 
 
+@lru_cache(maxsize=2)
+def token_strings(path: str) -> list[str]:
+    """The string of each id, special ones included."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    named = told["model"]["vocab"] | {t["content"]: t["id"] for t in told["added_tokens"]}
+    strings = [""] * (max(named.values()) + 1)
+    for token, i in named.items():
+        strings[i] = token
+    return strings
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -195,7 +221,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Each encoded row with `decoded`: the vocabulary has no decoder of its own, so tokens are joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(vocabulary(path).tokens, pa.string())
+        tokens = pa.array(token_strings(path), pa.string())
         for batch in batches:
             ids = batch.column("ids")
             counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
