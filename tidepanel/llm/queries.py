@@ -12,6 +12,7 @@ from tidepanel.llm import bpe as B
 from tidepanel.llm import chat as C
 from tidepanel.llm import exact as X
 from tidepanel.llm import langid as G
+from tidepanel.llm import lines as L
 from tidepanel.llm import mixing as M
 from tidepanel.llm import near as D
 from tidepanel.llm import neighbours as N
@@ -102,6 +103,32 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+# Pairs of lines are met through equal halves; the edit is then checked from the first place where they differ.
+LINE_SQL = """
+    WITH ln AS (SELECT doc_id, i - 1 AS line_no, trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM (
+        SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+    d AS (SELECT line, length(line) AS n, min(doc_id::HUGEINT * 100000000 + line_no) AS at FROM ln WHERE line <> '' GROUP BY line),
+    k AS (SELECT *, n || 'l' || left(line, n // 2) AS key FROM d WHERE n >= 20 UNION ALL SELECT *, n || 'r' || substr(line, n // 2 + 1) FROM d WHERE n >= 20
+          UNION ALL SELECT *, (n - 1) || 'l' || left(line, (n - 1) // 2) FROM d WHERE n >= 20
+          UNION ALL SELECT *, (n - 1) || 'r' || substr(line, (n - 1) // 2 + 2) FROM d WHERE n >= 20),
+    p AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS na, b.n AS nb FROM k a JOIN k b USING (key) WHERE a.at < b.at),
+    e AS (SELECT *, coalesce([i FOR i IN range(1, least(na, nb) + 1) IF substr(a, i, 1) <> substr(b, i, 1)][1], least(na, nb) + 1) AS f FROM p),
+    near AS (SELECT DISTINCT b AS line FROM e WHERE (na = nb AND substr(a, f + 1) = substr(b, f + 1)) OR (na + 1 = nb AND substr(a, f) = substr(b, f + 1))
+             OR (na = nb + 1 AND substr(a, f + 1) = substr(b, f))),
+    t AS (SELECT ln.*, ln.line <> '' AND doc_id::HUGEINT * 100000000 + line_no > d.at AS exact, near.line IS NOT NULL AS is_near
+          FROM ln LEFT JOIN d USING (line) LEFT JOIN near USING (line))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact AND is_near) AS n_near,
+           coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (exact OR is_near), '') AS removed
+    FROM t GROUP BY doc_id"""
+
+
+@query("op7_line_dedup", LINE_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that repeat an earlier line, exactly or within one edit."""
+    found = L.line_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
+
+
 @query("op8_neighbours")
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors found for every hundredth vector."""
