@@ -35,7 +35,7 @@ SEGMENT, CHUNK, BLOCK = 4 << 20, 1 << 16, 512
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 4
+    words: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 6

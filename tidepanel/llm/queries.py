@@ -87,7 +87,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near-duplicates each document is in."""
-    return D.near_groups(table(spark, sf_dir, "documents"))
+    return D.near_groups(table(spark, sf_dir, "documents"), D.Settings(words=4))
 
 
 @query("op6_bpe")
