@@ -1,0 +1,59 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import EDGES
+from tidepanel.llm import secrets as S
+
+PATTERNS = {
+    "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    "access": (r"AKIA[A-Z0-9]+", 20),
+    "hex": (r"[0-9a-f]+", 24),
+}
+
+
+def plain(text):
+    """The base spans by the patterns as given, one after the other."""
+    out = {}
+    for kind, (pattern, least) in PATTERNS.items():
+        found = re.finditer(pattern, text, re.A | re.I if kind == "assign" else re.A)
+        out[kind] = [m.span() for m in found if len(m[2] if kind == "assign" else m[0]) >= least]
+    return out
+
+
+PIECES = ["password", "Token", "api_key", "APIKEY", "=", ": ", " ", "'", '"', "abcdef", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "\n", "é", "ſecret", "==", ":="]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14))
+def test_base_spans_are_those_of_the_patterns(parts):
+    text = "".join(parts)
+    assert S.base_spans(text) == plain(text)
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ('k = "s3cr3tV4lue9"; password = k\n', ["s3cr3tV4lue9"]),
+    ('{"dbPassword": "Hunter2Xyz!9", "user": "bob"}', ["Hunter2Xyz!9"]),
+    ('const authToken = "abc" + "DEF123ghi"', ["abc", "DEF123ghi"]),
+    ("config[\"api-key\"] = 'zX9_kkQ12'", ["zX9_kkQ12"]),
+    ("AWS_SECRET_KEY=abcdEFGH1234+/x", ["abcdEFGH1234+/x"]),
+    ('public_key_id = "abcdEFGH1234"', []),
+    ('privateKey = "changeme-please"', []),
+    ('if authToken == "abcDEF123456": pass', []),
+    ("the key: a word that opens doors", []),
+])
+def test_literals_that_reach_sensitive_names(text, found):
+    assert [text[a:b] for a, b in S.literal_spans(text)] == found
+
+
+def test_query_columns_on_edge_texts(corpus, edges):
+    got = S.find_secrets(edges).collect()
+    assert len(got) == len(EDGES)
+    texts = sorted((t or "") for _, t, *_ in EDGES)
+    spans = sorted([(s.start, s.end) for s in r.found if s.kind != "literal"] for r in got)
+    assert spans == sorted(sorted(s for k in plain(t).values() for s in k) for t in texts)
+    assert S.digest([]) == hashlib.sha256(b"").hexdigest()
+    assert S.find_secrets(edges.limit(0)).count() == 0
