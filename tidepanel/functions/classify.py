@@ -109,7 +109,8 @@ def extract_threshold(question: Column) -> Column:
 
 
 def infer_direction(question: Column) -> Column:
-    return F.when(has_word(question, BELOW_WORDS), "below").when(has_word(question, ABOVE_WORDS), "above")
+    text = F.lower(question)
+    return F.when(has_word(text, BELOW_WORDS), "below").when(has_word(text, ABOVE_WORDS), "above")
 
 
 def classify_selection(text: Column, question: Column) -> Column:

@@ -85,13 +85,14 @@ def trade_to_yes_price(price, asset, outcome, yes_token, no_token) -> Column:
     )
 
 
-# Date layouts met in the raw payloads, tried in this order (fixed values).
-DATE_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
+# Date layouts met in the raw payloads beside the standard one (fixed values).
+DATE_LAYOUTS = ("MM/dd/yyyy",)
 
 
 def tolerant_timestamp(text, layouts: tuple[str, ...] = DATE_LAYOUTS) -> Column:
-    tries = [F.try_to_timestamp(_c(text), F.lit(x)) for x in layouts]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """A date, or a date and time with or without fraction, `Z` or offset, as UTC; the named layouts; else null."""
+    standard = F.when(F.trim(_c(text)).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(_c(text))))
+    return F.coalesce(standard, *[F.try_to_timestamp(_c(text), F.lit(x)) for x in layouts]).cast("timestamp_ntz")
 
 
 def label_map(outcome) -> Column:

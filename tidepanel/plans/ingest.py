@@ -69,11 +69,13 @@ def raw_markets(spark, d):
 
 
 def written_markets(spark, d):
-    """The raw objects as files of JSON arrays, a hundred markets to the line, read back."""
+    """The raw objects as files of one indented JSON array each, a hundred markets to the file, read back."""
     path = scratch_path(spark, "raw-markets")
     objects = raw_markets(spark, d)
-    line = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*objects.columns))), ","), F.lit("]"))
-    objects.groupBy(F.floor(F.col("id").cast("long") / 100).alias("bunch")).agg(line.alias("value")).select("value").write.text(path)
+    each = F.to_json(F.struct(*objects.columns), {"pretty": "true"})
+    text = F.concat(F.lit("[\n"), F.array_join(F.collect_list(each), ",\n"), F.lit("\n]"))
+    bunches = objects.groupBy(F.floor(F.col("id").cast("long") / 100).alias("bunch")).agg(text.alias("value"))
+    bunches.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return I.scan_raw_markets(spark, path)
 
 
@@ -309,12 +311,16 @@ def chunk_time_range(spark, d):
 
 
 @query("tolerant_timestamp", """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE date_trunc('day', o_orderdate) END AS day FROM orders""")
+    SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 4 THEN NULL WHEN o_orderkey % 8 = 7 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY
+      ELSE date_trunc('day', o_orderdate) END AS day FROM orders""")
 def tolerant_timestamp(spark, d):
-    k = F.col("o_orderkey") % 5
+    k = F.col("o_orderkey") % 8
     text = (
         F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-        .when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 3, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("soon"))
+        .when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 3, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k == 4, "soon")
+        .when(k == 5, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T16:10:01.538Z")))
+        .when(k == 6, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 16:31:01+00")))
+        .otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:30:00+02:00"))))
     return X.table(spark, d, "orders").select("o_orderkey", P.floor_to(S.tolerant_timestamp(text), "day").alias("day"))
 
 

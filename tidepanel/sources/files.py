@@ -23,6 +23,8 @@ RAW_TRADE_SCHEMA = """
                          size double, transactionHash string>>
 """
 RAW_HISTORY_SCHEMA = "market_id string, token_id string, payload string"
+# Files at most per month or fold of a sink, whatever the number of tasks before it.
+FILES = 16
 POINT = "array<struct<t bigint, timestamp bigint, p double, price double>>"
 
 
@@ -34,9 +36,12 @@ def scan_parquet(spark: SparkSession, path: str, ids: list[str] | None = None, d
     return df.withColumns(casts) if casts else df
 
 
-def scan_raw_markets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Market objects from files of JSON arrays; an array per line can be split between tasks."""
-    return spark.read.schema(RAW_MARKET_SCHEMA).json(path, multiLine=multi_line)
+def scan_raw_markets(spark: SparkSession, path: str, array_per_line: bool = False) -> DataFrame:
+    """Market objects from files that hold one JSON array each, on any number of lines.
+
+    Files with an array per line can be split between tasks: `array_per_line`. Text that is not such JSON fails the job.
+    """
+    return spark.read.schema(RAW_MARKET_SCHEMA).json(path, multiLine=not array_per_line, mode="FAILFAST")
 
 
 def scan_raw_trades(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +163,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_panel(cells: DataFrame, stats: DataFrame, path: str) -> DataFrame:
     """The panel as Parquet by month beside its one-row description, which is returned."""
-    cells.withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode("overwrite").partitionBy("month").parquet(f"{path}/panel")
+    cells.withColumn("month", F.date_format("ts", "yyyy-MM")).repartition("month", F.pmod(F.xxhash64("market_id"), F.lit(FILES))).write.mode(
+        "overwrite").partitionBy("month").parquet(f"{path}/panel")
     stats.write.mode("overwrite").json(f"{path}/metadata")
     return cells.sparkSession.read.schema(stats.schema).json(f"{path}/metadata")
 
@@ -173,5 +179,6 @@ def write_folds(rows: DataFrame, path: str, skip_existing: bool = True) -> DataF
         except Exception as exc:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
                 raise
-    rows.write.mode("overwrite" if not skip_existing else "append").partitionBy("fold").parquet(path)
+    dealt = rows.repartition("fold", F.pmod(F.xxhash64(*rows.columns), F.lit(FILES)))
+    dealt.write.mode("overwrite" if not skip_existing else "append").partitionBy("fold").parquet(path)
     return spark.read.parquet(path)
