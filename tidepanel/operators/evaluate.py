@@ -164,7 +164,8 @@ def paired_loss_test(pairs: DataFrame, keys: list[str] | None = None) -> DataFra
 # A prime just under 2^28: unit and replicate are mixed as (a + b * replicate) mod PRIME, with a and
 # b taken from a digest of the unit, so weights are independent across units and reproducible.
 PRIME = 268435399
-POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+# Steps up to the finest share that a draw resolves.
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
 
 def resample_weight(a: Column, b: Column, replicate: Column) -> Column:
@@ -193,5 +194,7 @@ def bootstrap(losses: DataFrame, keys: list[str], unit: list[str], gains: list[s
     bands = reps.groupBy(*keys).agg(*[
         F.percentile(g, q).alias(f"{g}_{name}") for g in gains for name, q in (("ci_low", 0.025), ("ci_high", 0.975))])
     point = sums.groupBy(*keys).agg(F.count("*").alias("n_units"), *[(F.sum(g) / F.sum("n")).alias(f"{g}_mean") for g in gains])
-    return point.join(bands, keys) if keys else point.withColumns(
-        {c: bands.select(c).scalar() for c in bands.columns})
+    if keys:
+        return point.join(bands, keys)
+    held = bands.select(F.struct(*bands.columns)).scalar()  # one subquery, so the replicates are drawn once
+    return point.withColumn("__bands", held).select(*point.columns, *[F.col("__bands")[c].alias(c) for c in bands.columns])

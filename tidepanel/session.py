@@ -58,8 +58,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a step of an iterative job to the shared folder and read it back; survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/tidepanel/checkpoints")
-    return df.checkpoint(eager=True)
+    """Write a step to the shared folder as Parquet and read it back: survives lost executors, and later steps read only their columns."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
