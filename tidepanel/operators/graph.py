@@ -24,6 +24,8 @@ NEIGHBOURHOOD_SIZES = (10, 20, 40)
 
 # A task of a blocked product holds at most two dense blocks of this many hours by markets (2 MB each).
 BLOCK, CHUNK_HOURS = 256, 1024
+# Groups that neighbourhoods are dealt to for description; a neighbourhood is at most 41 * 40 / 2 pairs.
+OWNER_GROUPS = 4096
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
@@ -106,10 +108,11 @@ def correlations(cells: DataFrame, keys: list[str] | None = None, min_hours: int
     sums = pair_sums(centred, keys, blocks or block_count(cells), chunk_hours).where(F.col("n") >= min_hours)
     n = F.col("n").cast("double")
     vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
-    flat = n * n * 1e-14
+    # Flat over the shared hours: nothing but rounding is left of the second moment.
+    varies = (vx > 1e-11 * n * F.col("sxx")) & (vy > 1e-11 * n * F.col("syy"))
     r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    return sums.select(*keys, "a", "b", "n", F.when((vx > flat) & (vy > flat), bounded).alias("r"))
+    return sums.select(*keys, "a", "b", "n", F.when(varies, bounded).alias("r"))
 
 
 def varying(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -270,15 +273,15 @@ def _both_ways(pairs: DataFrame, keep: list[str]) -> DataFrame:
         pairs.select(F.col("b").alias("owner"), F.col("a").alias("member"), *keep))
 
 
-def nearest(ranked: DataFrame, order: list, k: int) -> DataFrame:
-    by = W.partitionBy("owner").orderBy(*order)
+def nearest(ranked: DataFrame, order: list, k: int, keys: list[str] | None = None) -> DataFrame:
+    by = W.partitionBy(*(keys or []), "owner").orderBy(*order)
     return ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def top_corr_neighbors(corr: DataFrame, k: int) -> DataFrame:
-    """The k markets most correlated with each market, a missing r counting as zero, ties by id."""
+def top_corr_neighbors(corr: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """The k markets most correlated with each market of a key, a missing r counting as zero, ties by id."""
     strength = F.round(F.coalesce(F.abs("r"), F.lit(0.0)), 9)
-    return nearest(_both_ways(corr.withColumn("w", strength), ["w"]), [F.col("w").desc(), F.col("member")], k)
+    return nearest(_both_ways(corr.withColumn("w", strength), [*(keys or []), "w"]), [F.col("w").desc(), F.col("member")], k, keys)
 
 
 def nearest_points(points: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -312,29 +315,29 @@ def nearest_points(points: DataFrame, k: int, blocks: int) -> DataFrame:
     return nearest(near, [F.round("dist", 9), F.col("member")], k)
 
 
-def random_neighbors(ids: DataFrame, k: int, seed: int) -> DataFrame:
-    """k other markets per market, the placebo neighbourhood.
+def random_neighbors(ids: DataFrame, k: int, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """k other markets per market of a key, drawn by digests of the seed, the owner and the draw: the placebo neighbourhood.
 
-    Markets are put on a ring in an order that depends on the seed, and each takes the k that
-    follow it at strides drawn from the seed. No market is compared with all the others.
+    Each owner makes 3k + 8 draws of a place on the listed markets; repeats and the owner are passed over. No market is compared with all others.
     """
+    keys = list(keys or [])
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("market_id")))
-    ids = ids.select("market_id").distinct().withColumns({"key": key, "slice": F.substring(key, 1, 2), "one": F.lit(1)})
-    ring = ordered.running_sum(ids, [], "slice", [F.col("key"), F.col("market_id")], ["one"])
-    ring = ring.select("market_id", (F.col("one_upto") - 1).alias("place"))
-    m = ids.agg(F.count("*")).scalar()
-    owners = ring.withColumn("m", m).select(
-        F.col("market_id").alias("owner"), F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("m") - 1))).alias("rank"),
-        "place", "m")
-    stride = F.greatest(F.floor((F.col("m") - 1) / F.lit(k)), F.lit(1))
-    owners = owners.withColumn("place", F.pmod(F.col("place") + F.col("rank") * stride, F.col("m")))
-    return owners.join(ring.withColumnRenamed("market_id", "member"), "place").select("owner", "member", "rank")
+    ids = ids.select(*keys, "market_id").distinct().withColumns({"key": key, "slice": F.substring(key, 1, 2), "one": F.lit(1)})
+    listed = ordered.running_sum(ids, keys, "slice", [F.col("key"), F.col("market_id")], ["one"])
+    listed = cut_lineage(listed.select(*keys, "market_id", (F.col("one_upto") - 1).alias("place")))
+    sizes = listed.groupBy(*keys).agg(F.count("*").alias("m"))
+    owners = (listed.join(sizes, keys) if keys else listed.withColumn("m", sizes.scalar())).select(*keys, F.col("market_id").alias("owner"), "m")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("owner"), F.col("j"))), 1, 12), 16, 10).cast("long") % F.col("m")
+    drawn = owners.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3 * k + 8)))).withColumn("place", draw)
+    met = drawn.join(listed.withColumnRenamed("market_id", "member"), [*keys, "place"]).where("member <> owner")
+    first = met.groupBy(*keys, "owner", "member").agg(F.min("j").alias("j"))
+    return nearest(first, [F.col("j")], k, keys).select(*keys, "owner", "member", "rank")
 
 
-def with_owner(neighbors: DataFrame) -> DataFrame:
-    """(owner, member) including the owner itself."""
-    return neighbors.select("owner", "member").unionByName(
-        neighbors.select("owner", F.col("owner").alias("member")).distinct())
+def with_owner(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, owner, member) including the owner itself."""
+    by = [*(keys or []), "owner"]
+    return neighbors.select(*by, "member").unionByName(neighbors.select(*by, F.col("owner").alias("member")).distinct())
 
 
 def _small_graph(n: int, a: np.ndarray, b: np.ndarray):
@@ -349,68 +352,87 @@ def _small_graph(n: int, a: np.ndarray, b: np.ndarray):
 
 
 def neighborhood_graphs(neighbors: DataFrame, corr: DataFrame, keys: list[str] | None = None, thresholds=THRESHOLDS) -> DataFrame:
-    """Graph features of each market's neighbourhood, at most k + 1 nodes, per threshold.
+    """Graph features of each market's neighbourhood, at most k + 1 nodes, per key and threshold.
 
-    Each needed pair's correlation is computed once and attached to the owners that share it.
+    Each needed pair's correlation is computed once and attached to the owners that share it; a neighbourhood without a joined pair has no edges.
+    `corr` may have keys of its own (a window), in which every neighbourhood is described.
     """
     keys = list(keys or [])
-    own = with_owner(neighbors)
-    sizes = own.groupBy("owner").agg(F.count("*").alias("n"))
-    inner = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), "owner").where("a < b")
-    weighted = inner.join(corr, ["a", "b"]).select(*keys, "owner", "a", "b", F.coalesce("r", F.lit(0.0)).alias("r"))
-    weighted = weighted.join(sizes, "owner")
-    types = dict(weighted.dtypes)
-
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        a, b = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
-        strength, n = np.round(np.abs(pdf["r"].to_numpy()), 9), int(pdf["n"].iloc[0])
+    mine = [c for c in keys if c in neighbors.columns]
+    shared = [c for c in mine if c in corr.columns]
+    own = with_owner(neighbors, mine)
+    sizes = own.groupBy(*mine, "owner").agg(F.count("*").alias("n"))
+    inner = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), [*mine, "owner"]).where("a < b")
+    weighted = inner.join(corr, [*shared, "a", "b"]).select(*keys, "owner", "a", "b", F.coalesce("r", F.lit(0.0)).alias("r"))
+    weighted = weighted.join(sizes, [*mine, "owner"])
+    types, by = dict(weighted.dtypes), [*keys, "owner"]
+
+    def describe(whole: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for t in thresholds:
-            hit = strength >= t
-            e, c, tri, trip = _small_graph(max(n, len(ids)), a[hit], b[hit])
-            rows.append([*[pdf[k].iloc[0] for k in [*keys, "owner"]], float(t), n, e, round(c), float(tri), float(trip)])
-        return pd.DataFrame(rows, columns=[*keys, "owner", "t", "n", "edges", "components", "triangles", "triples"])
-
-    by = [*keys, "owner"]
+        for head, pdf in whole.groupby(by, sort=False):
+            ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+            a, b = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
+            strength, n = np.round(np.abs(pdf["r"].to_numpy()), 9), int(pdf["n"].iloc[0])
+            for t in thresholds:
+                hit = strength >= t
+                e, c, tri, trip = _small_graph(max(n, len(ids)), a[hit], b[hit])
+                rows.append([*head, float(t), n, e, round(c), float(tri), float(trip)])
+        return pd.DataFrame(rows, columns=[*by, "t", "n", "edges", "components", "triangles", "triples"])
+
+    # Neighbourhoods are dealt to groups, so that a group has many of them.
     schema = ", ".join(f"{k} {types[k]}" for k in by) + ", t double, n long, edges long, components long, triangles double, triples double"
-    return describe_graph(weighted.groupBy(*by).applyInPandas(describe, schema), [*by, "t"])
+    dealt = weighted.withColumn("__deal", F.pmod(F.xxhash64(*by), F.lit(OWNER_GROUPS)))
+    told = dealt.groupBy("__deal").applyInPandas(describe, schema)
+    if set(keys) == set(mine):
+        every = sizes.withColumn("t", F.explode(F.array([F.lit(float(t)) for t in thresholds])))
+        bare = every.join(told, [*by, "t"], "left_anti").select(
+            *by, "t", "n", F.lit(0).cast("long").alias("edges"), F.col("n").alias("components"), F.lit(0.0).alias("triangles"), F.lit(0.0).alias("triples"))
+        told = told.unionByName(bare)
+    return describe_graph(told, [*by, "t"])
 
 
-def neighborhood_controls(neighbors: DataFrame, corr: DataFrame, cells: DataFrame) -> DataFrame:
+def neighborhood_controls(neighbors: DataFrame, corr: DataFrame, cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean and spread of |r| inside each neighbourhood, and of its members' prices over the hours.
 
     Member sums per hour are a grouped sum over (owner, hour), at most k + 1 values each.
     """
-    own = with_owner(neighbors)
-    inner = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), "owner").where("a < b")
-    edges = inner.join(corr, ["a", "b"], "left").groupBy("owner").agg(
+    keys = list(keys or [])
+    shared = [c for c in keys if c in corr.columns]
+    own, by = with_owner(neighbors, keys), [*keys, "owner"]
+    inner = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), by).where("a < b")
+    edges = inner.join(corr, [*shared, "a", "b"], "left").groupBy(*by).agg(
         F.avg(F.coalesce(F.abs("r"), F.lit(0.0))).alias("corr_mean_abs"),
         F.stddev_pop(F.coalesce(F.abs("r"), F.lit(0.0))).alias("corr_std_abs"))
-    hourly = own.join(cells.withColumnRenamed("market_id", "member"), "member").groupBy("owner", "ts").agg(
+    hourly = own.join(cells.withColumnRenamed("market_id", "member"), [*shared, "member"]).groupBy(*by, "ts").agg(
         F.avg("p").alias("m"), F.stddev_pop("p").alias("s"))
-    probs = hourly.groupBy("owner").agg(F.avg("m").alias("prob_mean"), F.avg("s").alias("prob_std"))
-    return edges.join(probs, "owner")
+    probs = hourly.groupBy(*by).agg(F.avg("m").alias("prob_mean"), F.avg("s").alias("prob_std"))
+    return edges.join(probs, by)
 
 
 def dynamic_neighborhood_graphs(
-    cells: DataFrame, index: DataFrame, neighbors: DataFrame, window: int, stride: int, thresholds=THRESHOLDS,
+    cells: DataFrame, index: DataFrame, neighbors: DataFrame, window: int, stride: int, thresholds=THRESHOLDS, keys: list[str] | None = None,
 ) -> DataFrame:
     """Neighbourhood graphs in each strided trailing window.
 
     Only pairs that meet in some neighbourhood are correlated: each market's window vector is
-    joined to those pairs, so the work follows owners * k² rather than all pairs.
+    joined to those pairs, so the work follows owners * k² rather than all pairs. Values are met by hour, whatever hours a market has.
     """
-    own = with_owner(neighbors)
-    pairs = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), "owner").where("a < b").select("a", "b").distinct()
+    keys = list(keys or [])
+    own = with_owner(neighbors, keys)
+    pairs = own.withColumnRenamed("member", "a").join(own.withColumnRenamed("member", "b"), [*keys, "owner"]).where("a < b").select("a", "b").distinct()
     inside = P.window_members(cells, window, stride, P.window_ends(index, window, stride))
     series = inside.groupBy("window_end", "market_id").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "p"))).alias("xs"), F.avg("p").alias("m"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("ts", "p")))).alias("xs"), F.avg("p").alias("m"),
         F.min("p").alias("lo"), F.max("p").alias("hi"))
-    centred = series.select("window_end", "market_id", F.transform("xs", lambda s: s["p"] - F.col("m")).alias("x"), (F.col("hi") > F.col("lo")).alias("varies"))
-    a = centred.select("window_end", F.col("market_id").alias("a"), F.col("x").alias("xa"), F.col("varies").alias("va"))
-    b = centred.select("window_end", F.col("market_id").alias("b"), F.col("x").alias("xb"), F.col("varies").alias("vb"))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    r = F.when(F.col("va") & F.col("vb"), dot("xa", "xb") / F.sqrt(dot("xa", "xa") * dot("xb", "xb")))
+    centred = series.select("window_end", "market_id", F.transform_values("xs", lambda _, p: p - F.col("m")).alias("x"), (F.col("hi") > F.col("lo")).alias("varies"))
+    norm = F.sqrt(F.aggregate(F.map_values("x"), F.lit(0.0), lambda s, z: s + z * z))
+    centred = centred.withColumn("norm", norm)  # once per market and window, not per pair
+    a = centred.select("window_end", F.col("market_id").alias("a"), F.col("x").alias("xa"), F.col("varies").alias("va"), F.col("norm").alias("na"))
+    b = centred.select("window_end", F.col("market_id").alias("b"), F.col("x").alias("xb"), F.col("varies").alias("vb"), F.col("norm").alias("nb"))
+    # With all hours shared, the keys agree in order and the values can be met by position.
+    by_place = F.aggregate(F.zip_with(F.map_values("xa"), F.map_values("xb"), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    by_hour = F.aggregate(F.map_values(F.map_zip_with("xa", "xb", lambda _, p, q: F.coalesce(p * q, F.lit(0.0)))), F.lit(0.0), lambda s, z: s + z)
+    dot = F.when(F.map_keys("xa") == F.map_keys("xb"), by_place).otherwise(by_hour)
+    r = F.when(F.col("va") & F.col("vb"), dot / (F.col("na") * F.col("nb")))
     corr = pairs.join(a, "a").join(b, ["window_end", "b"]).select("window_end", "a", "b", r.alias("r"))
-    return neighborhood_graphs(neighbors, corr, ["window_end"], thresholds)
+    return neighborhood_graphs(neighbors, corr, ["window_end", *keys], thresholds)

@@ -10,8 +10,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.mllib.linalg import DenseMatrix, Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,46 +142,36 @@ def component_counts(ratio: np.ndarray, limit: int) -> dict[str, int]:
 # --- principal components over any number of markets -----------------------------------------
 
 
+#: Most components that are looked for, whatever the size of the matrix; what they leave is reported as not reached.
+COMPONENTS = 64
+
+
 def market_matrix(cells: DataFrame, value: str) -> tuple[RowMatrix, DataFrame]:
-    """A distributed matrix with a row per market and a column per hour, and the market of each row."""
+    """A distributed matrix with a row per market and a column per hour, and the column of each hour."""
     index = cut_lineage(ordered.dense_index(cells))
     n = index.count()
-    rows = cells.join(index, "ts").groupBy("market_id").agg(F.collect_list(F.struct("idx", value)).alias("v")).orderBy("market_id")
-    rows = cut_lineage(rows)
-    vectors = rows.rdd.map(lambda r: Vectors.sparse(n, sorted((int(e[0]), float(e[1])) for e in r["v"])))
-    return RowMatrix(vectors, numCols=n), rows
 
+    @F.pandas_udf("array<double>")
+    def row_of(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for at, v in zip(places, values):
+            row = np.zeros(n)
+            row[at] = v
+            out.append(row)
+        return pd.Series(out)
 
-SMALL = 2048  # widest matrix whose Gram matrix (32 MB) is handed to the driver
+    listed = cells.join(index, "ts").groupBy("market_id").agg(F.collect_list(F.struct("idx", F.col(value).alias("v"))).alias("e"))
+    rows = cut_lineage(listed.select(row_of(F.col("e")["idx"], F.col("e")["v"]).alias("x")))
+    vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("x").alias("x")), "x")
+    return RowMatrix(vectors, numCols=n), index
 
 
-def variance_shares(cells: DataFrame, value: str, upto: float = 0.95) -> np.ndarray:
-    """Leading shares of variance of standardised market series until `upto` of it is reached.
-
-    The hours-by-hours Gram matrix is summed over markets when its size is small; beyond that
-    singular values are found by distributed products, more of them until enough is covered.
-    """
+def variance_shares(cells: DataFrame, value: str) -> np.ndarray:
+    """Leading shares of variance of standardised market series, at most COMPONENTS of them, by distributed products."""
     total = cells.agg(F.sum(F.col(value) ** 2)).first()[0]
-    matrix, rows = market_matrix(cells, value)
-    if matrix.numCols() <= SMALL:
-        roots = np.linalg.eigvalsh(matrix.computeGramianMatrix().toArray())[::-1]
-        return np.maximum(roots[: min(rows.count(), len(roots))], 0.0) / total
-    most, k = min(rows.count(), matrix.numCols()), 16
-    while True:
-        k = min(k, most)
-        share = matrix.computeSVD(k, computeU=False).s.toArray() ** 2 / total
-        if k == most or share.sum() >= upto:
-            return share
-        k *= 2
-
-
-def leading_directions(matrix: RowMatrix, k: int):
-    """The first k right singular vectors, by the same two ways."""
-    if matrix.numCols() <= SMALL:
-        _, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        top = vectors[:, ::-1][:, :k]
-        return DenseMatrix(top.shape[0], k, top.ravel(order="F"))
-    return matrix.computeSVD(k, computeU=False).V
+    matrix, _ = market_matrix(cells, value)
+    k = min(COMPONENTS, matrix.numRows(), matrix.numCols())
+    return matrix.computeSVD(k, computeU=False).s.toArray() ** 2 / total
 
 
 def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
@@ -196,7 +186,7 @@ def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
     spread = F.sqrt((F.col("q") - F.col("c") * F.col("m") ** 2) / F.lit(hours))
     z = cells.join(stats, "market_id").select("ts", "market_id", ((F.col("p") - F.col("m")) / spread).alias("z"))
     total = np.cumsum(variance_shares(z, "z"))
-    reach = lambda s: int(np.searchsorted(total, s) + 1)
+    reach = lambda s: int(np.searchsorted(total, s) + 1) if total[-1] >= s else None
     return dict(zip(names, (reach(0.85), reach(0.90), reach(0.95), float(total[0]), float(total[min(1, len(total) - 1)]), float(total[min(4, len(total) - 1)]))))
 
 
@@ -204,12 +194,12 @@ def market_embedding(cells: DataFrame, dims: int = 5) -> DataFrame:
     """Each market's series in at most five components, hours standardised across markets first."""
     hourly = cells.groupBy("ts").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).where("s > 0")
     z = cells.join(hourly, "ts").select("ts", "market_id", ((F.col("p") - F.col("m")) / F.col("s")).alias("z"))
-    matrix, rows = market_matrix(z, "z")
-    k = min(dims, rows.count() - 1, matrix.numCols())
-    basis = leading_directions(matrix, k)
-    scores = matrix.multiply(basis).rows.zip(rows.rdd.map(lambda r: r["market_id"]))
-    schema = f"market_id {dict(rows.dtypes)['market_id']}, x array<double>"
-    return rows.sparkSession.createDataFrame(scores.map(lambda p: (p[1], [float(v) for v in p[0].toArray()])), schema)
+    matrix, index = market_matrix(z, "z")
+    k = min(dims, matrix.numRows() - 1, matrix.numCols())
+    basis = matrix.computeSVD(k, computeU=False).V.toArray()  # k numbers for each hour
+    directions = z.sparkSession.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(basis)], "idx long, v array<double>")
+    placed = z.join(index, "ts").join(directions, "idx")
+    return placed.groupBy("market_id").agg(F.array(*[F.sum(F.col("z") * F.col("v")[i]) for i in range(k)]).alias("x"))
 
 
 # --- forecasters -----------------------------------------------------------------------------

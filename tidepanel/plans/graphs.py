@@ -8,21 +8,24 @@ from tidepanel import fixtures as X
 from tidepanel.operators import folds as FO
 from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
+from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.plans.registry import query, r6
 from tidepanel.plans.scoring import FOLD, r_all
 from tidepanel.session import cut_lineage
 
-MIN_HOURS, K, WINDOW, STRIDE = 6, 10, 24, 24
+MIN_HOURS, K, STRIDE = 6, 10, 24
+WINDOWS = (24, 72, 168)
 
 X.add_cte("pcorr", f"""
     SELECT a.market_id AS a, b.market_id AS b, count(*) AS n, CASE WHEN min(a.p) < max(a.p) AND min(b.p) < max(b.p) THEN corr(a.p, b.p) END AS r
     FROM panel a JOIN panel b ON a.ts = b.ts AND a.market_id < b.market_id GROUP BY 1, 2 HAVING count(*) >= {MIN_HOURS}""", ["panel"])
-X.add_cte("train", "SELECT d.* FROM dense d WHERE d.ts <= (SELECT train_end FROM folds WHERE fold = 1)", ["dense", "folds"])
-X.add_cte("live", "SELECT * FROM train WHERE market_id IN (SELECT market_id FROM train GROUP BY 1 HAVING min(p) < max(p))", ["train"])
+X.add_cte("train", "SELECT f.fold, d.* FROM dense d JOIN folds f ON d.ts BETWEEN f.train_start AND f.train_end", ["dense", "folds"])
+X.add_cte("live", """
+    SELECT t.* FROM train t JOIN (SELECT fold, market_id FROM train GROUP BY 1, 2 HAVING min(p) < max(p)) USING (fold, market_id)""", ["train"])
 X.add_cte("tcorr", """
-    SELECT a.market_id AS a, b.market_id AS b, count(*) AS n, corr(a.p, b.p) AS r FROM live a JOIN live b ON a.ts = b.ts AND a.market_id < b.market_id
-    GROUP BY 1, 2""", ["live"])
+    SELECT a.fold, a.market_id AS a, b.market_id AS b, count(*) AS n, corr(a.p, b.p) AS r FROM live a JOIN live b ON a.fold = b.fold AND a.ts = b.ts
+      AND a.market_id < b.market_id GROUP BY 1, 2, 3""", ["live"])
 X.add_cte("cuts", "SELECT CAST(unnest([0.3, 0.5, 0.7]) AS DOUBLE) AS t", [])
 
 
@@ -66,53 +69,63 @@ def correlation_summary(spark, d):
 
 
 def train_cells(spark, d, split="train"):
-    """Dense prices of the first fold's hours, markets that vary only."""
+    """Dense prices of every fold's hours, markets that vary there only."""
     h = X.hourly(spark, d)
     cells = P.active_ffill(h, P.active_windows(h, X.markets(spark, d)))
-    first = J.fold_hours(FO.chronological_folds(cells, **FOLD).where("fold = 1")).where(F.col("split") == split)
-    return cut_lineage(G.varying(P.dense_fill(h).join(first.select("ts"), "ts", "left_semi")))
+    hours = J.fold_hours(FO.chronological_folds(cells, **FOLD)).where(F.col("split") == split)
+    return cut_lineage(G.varying(P.dense_fill(h).join(hours.select("fold", "ts"), "ts"), ["fold"]))
 
 
 def train_corr(live):
-    return cut_lineage(G.correlations(live, min_hours=2))
+    return cut_lineage(G.correlations(live, ["fold"], min_hours=2))
+
+
+def neighbours(corr, k=K):
+    return cut_lineage(G.top_corr_neighbors(corr, k, ["fold"]))
 
 
 @query("threshold_graph_features", with_graph(
-    "tcorr cuts", "SELECT t, market_id AS node FROM (SELECT DISTINCT market_id FROM live), cuts", "SELECT t, a, b FROM tcorr, cuts WHERE round(abs(r), 9) >= t", ["t"]))
+    "tcorr cuts", "SELECT fold, t, market_id AS node FROM (SELECT DISTINCT fold, market_id FROM live), cuts",
+    "SELECT fold, t, a, b FROM tcorr, cuts WHERE round(abs(r), 9) >= t", ["fold", "t"]))
 def threshold_graph_features(spark, d):
     live = train_cells(spark, d)
-    sizes = live.agg(F.countDistinct("market_id").alias("n"))
-    per_t = sizes.withColumn("t", F.explode(F.array(*[F.lit(t) for t in G.THRESHOLDS])))
-    return r_all(G.graph_features(G.threshold_edges(train_corr(live), []), per_t, ["t"]), "t")
+    sizes = live.groupBy("fold").agg(F.countDistinct("market_id").alias("n"))
+    return r_all(G.threshold_graphs(train_corr(live), sizes, ["fold"]), "t")
 
 
 X.add_cte("near", f"""
-    SELECT owner, member, rank FROM (SELECT owner, member, row_number() OVER (PARTITION BY owner ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
-      FROM (SELECT a AS owner, b AS member, r FROM tcorr UNION ALL SELECT b, a, r FROM tcorr)) WHERE rank <= {K}""", ["tcorr"])
-X.add_cte("hood", "SELECT owner, member FROM near UNION SELECT owner, owner FROM near", ["near"])
+    SELECT fold, owner, member, rank FROM (SELECT fold, owner, member, row_number() OVER (PARTITION BY fold, owner
+      ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
+      FROM (SELECT fold, a AS owner, b AS member, r FROM tcorr UNION ALL SELECT fold, b, a, r FROM tcorr)) WHERE rank <= {K}""", ["tcorr"])
+X.add_cte("hood", "SELECT fold, owner, member FROM near UNION SELECT fold, owner, owner FROM near", ["near"])
 
 
-@query("top_corr_neighbors", X.with_views("near", "SELECT owner, member, CAST(rank AS INTEGER) AS rank FROM near"))
+@query("top_corr_neighbors", X.with_views("near", "SELECT fold, owner, member, CAST(rank AS INTEGER) AS rank FROM near"))
 def top_corr_neighbors(spark, d):
-    return G.top_corr_neighbors(train_corr(train_cells(spark, d)), K).select("owner", "member", "rank")
+    return G.top_corr_neighbors(train_corr(train_cells(spark, d)), K, ["fold"]).select("fold", "owner", "member", "rank")
 
 
 @query("top_corr_neighbor_sizes", X.with_views("tcorr", """
-    SELECT k, count(*) AS links, round(avg(w), 6) AS mean_abs_corr FROM (SELECT owner, abs(r) AS w, row_number() OVER (PARTITION BY owner
-      ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank FROM (SELECT a AS owner, b AS member, r FROM tcorr UNION ALL SELECT b, a, r FROM tcorr)),
-      (SELECT unnest([10, 20, 40]) AS k) WHERE rank <= k GROUP BY 1"""))
+    SELECT fold, k, count(*) AS links, round(avg(w), 6) AS mean_abs_corr FROM (SELECT fold, owner, abs(r) AS w, row_number() OVER (PARTITION BY fold, owner
+      ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
+      FROM (SELECT fold, a AS owner, b AS member, r FROM tcorr UNION ALL SELECT fold, b, a, r FROM tcorr)),
+      (SELECT unnest([10, 20, 40]) AS k) WHERE rank <= k GROUP BY 1, 2"""))
 def top_corr_neighbor_sizes(spark, d):
-    top = G.top_corr_neighbors(train_corr(train_cells(spark, d)), max(G.NEIGHBOURHOOD_SIZES))
+    top = G.top_corr_neighbors(train_corr(train_cells(spark, d)), max(G.NEIGHBOURHOOD_SIZES), ["fold"])
     sized = top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in G.NEIGHBOURHOOD_SIZES]))).where("rank <= k")
-    return sized.groupBy("k").agg(F.count("*").alias("links"), r6(F.avg("w"), "mean_abs_corr"))
+    return sized.groupBy("fold", "k").agg(F.count("*").alias("links"), r6(F.avg("w"), "mean_abs_corr"))
 
 
+# Draws j = 1 ... 3k + 8 of an owner are places on a list of the markets in an order of their own; repeats and the owner are passed over.
 @query("random_neighbors", X.with_views("live", f"""
-    WITH ring AS (SELECT market_id, row_number() OVER (ORDER BY md5('7:' || market_id)) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT market_id FROM live)),
-    o AS (SELECT market_id AS owner, m, place, unnest(generate_series(1, least({K}, m - 1))) AS rank FROM ring)
-    SELECT o.owner, r.market_id AS member FROM o JOIN ring r ON r.place = (o.place + o.rank * greatest(CAST(floor((o.m - 1) / {K}) AS BIGINT), 1)) % o.m"""))
+    WITH listed AS (SELECT fold, market_id, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || market_id), market_id) - 1 AS place,
+        count(*) OVER (PARTITION BY fold) AS m FROM (SELECT DISTINCT fold, market_id FROM live)),
+    drawn AS (SELECT fold, market_id AS owner, j, ('0x' || substr(md5('7:' || market_id || ':' || j), 1, 12))::BIGINT % m AS place
+        FROM listed, (SELECT unnest(range(1, {3 * K + 8 + 1})) AS j)),
+    met AS (SELECT d.fold, d.owner, l.market_id AS member, min(d.j) AS j FROM drawn d JOIN listed l USING (fold, place) WHERE l.market_id <> d.owner GROUP BY 1, 2, 3)
+    SELECT fold, owner, member FROM (SELECT *, row_number() OVER (PARTITION BY fold, owner ORDER BY j) AS rank FROM met) WHERE rank <= {K}"""))
 def random_neighbors(spark, d):
-    return G.random_neighbors(train_cells(spark, d), K, 7).select("owner", "member")
+    return G.random_neighbors(train_cells(spark, d), K, 7, ["fold"]).select("fold", "owner", "member")
 
 
 @query("nearest_given_coordinates", f"""
@@ -124,83 +137,120 @@ def nearest_given_coordinates(spark, d):
     return G.nearest_points(points, K, G.block_count(points)).select("owner", "member", "rank")
 
 
+# Neighbourhoods of each size by correlation, and of the middle size by random draws.
+X.add_cte("hoods", f"""
+    SELECT fold, 'top_corr' AS method, k, owner, member FROM (SELECT fold, owner, member, row_number() OVER (PARTITION BY fold, owner
+        ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
+        FROM (SELECT fold, a AS owner, b AS member, r FROM tcorr UNION ALL SELECT fold, b, a, r FROM tcorr)),
+      (SELECT unnest([{", ".join(map(str, G.NEIGHBOURHOOD_SIZES))}]) AS k) WHERE rank <= k""", ["tcorr"])
+X.add_cte("hood_all", "SELECT fold, method, k, owner, member FROM hoods UNION SELECT fold, method, k, owner, owner FROM hoods", ["hoods"])
+HOOD = ["fold", "method", "k"]
+
+
+def all_hoods(live, corr):
+    """Neighbourhoods by correlation of every size."""
+    top = G.top_corr_neighbors(corr, max(G.NEIGHBOURHOOD_SIZES), ["fold"])
+    sized = top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in G.NEIGHBOURHOOD_SIZES]))).where("rank <= k")
+    return cut_lineage(sized.select("fold", F.lit("top_corr").alias("method"), "k", "owner", "member"))
+
+
 @query("neighborhood_topology", with_graph(
-    "hood tcorr cuts", "SELECT owner, t, member AS node FROM hood, cuts",
-    "SELECT x.owner, t, c.a, c.b FROM hood x JOIN hood y ON x.owner = y.owner AND x.member < y.member JOIN tcorr c ON c.a = x.member AND c.b = y.member, cuts WHERE round(abs(c.r), 9) >= t",
-    ["owner", "t"]))
+    "hood_all tcorr cuts", "SELECT fold, method, k, owner, t, member AS node FROM hood_all, cuts",
+    "SELECT x.fold, x.method, x.k, x.owner, t, c.a, c.b FROM hood_all x JOIN hood_all y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner "
+    "AND x.member < y.member JOIN tcorr c ON c.fold = x.fold AND c.a = x.member AND c.b = y.member, cuts WHERE round(abs(c.r), 9) >= t",
+    [*HOOD, "owner", "t"]))
 def neighborhood_topology(spark, d):
-    corr = train_corr(train_cells(spark, d))
-    return r_all(G.neighborhood_graphs(cut_lineage(G.top_corr_neighbors(corr, K)), corr), "t")
+    live = train_cells(spark, d)
+    corr = train_corr(live)
+    return r_all(G.neighborhood_graphs(all_hoods(live, corr), corr, HOOD), "t")
 
 
-@query("neighborhood_controls", X.with_views("hood tcorr live", """
-    WITH e AS (SELECT x.owner, avg(abs(coalesce(c.r, 0))) AS m, stddev_pop(abs(coalesce(c.r, 0))) AS s FROM hood x JOIN hood y ON x.owner = y.owner AND x.member < y.member
-      JOIN tcorr c ON c.a = x.member AND c.b = y.member GROUP BY 1),
-    q AS (SELECT owner, avg(m) AS m, avg(s) AS s FROM (SELECT h.owner, l.ts, avg(l.p) AS m, stddev_pop(l.p) AS s FROM hood h JOIN live l ON l.market_id = h.member GROUP BY 1, 2) GROUP BY 1)
-    SELECT e.owner, round(e.m, 6) AS corr_mean_abs, round(e.s, 6) AS corr_std_abs, round(q.m, 6) AS prob_mean, round(q.s, 6) AS prob_std FROM e JOIN q USING (owner)"""))
+@query("neighborhood_controls", X.with_views("hood_all tcorr live", """
+    WITH e AS (SELECT x.fold, x.method, x.k, x.owner, avg(abs(coalesce(c.r, 0))) AS m, stddev_pop(abs(coalesce(c.r, 0))) AS s FROM hood_all x
+      JOIN hood_all y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner AND x.member < y.member
+      LEFT JOIN tcorr c ON c.fold = x.fold AND c.a = x.member AND c.b = y.member GROUP BY ALL),
+    q AS (SELECT fold, method, k, owner, avg(m) AS m, avg(s) AS s FROM (SELECT h.fold, h.method, h.k, h.owner, l.ts, avg(l.p) AS m, stddev_pop(l.p) AS s
+      FROM hood_all h JOIN live l ON l.fold = h.fold AND l.market_id = h.member GROUP BY ALL) GROUP BY ALL)
+    SELECT fold, method, k, owner, round(e.m, 6) AS corr_mean_abs, round(e.s, 6) AS corr_std_abs, round(q.m, 6) AS prob_mean, round(q.s, 6) AS prob_std
+    FROM e JOIN q USING (fold, method, k, owner)"""))
 def neighborhood_controls(spark, d):
     live = train_cells(spark, d)
     corr = train_corr(live)
-    return r_all(G.neighborhood_controls(cut_lineage(G.top_corr_neighbors(corr, K)), corr, live))
+    return r_all(G.neighborhood_controls(all_hoods(live, corr), corr, live, HOOD))
 
 
 @query("leakage_control", X.with_views("dense folds", f"""
-    WITH f AS (SELECT * FROM folds WHERE fold = 1), d AS (SELECT d.* FROM dense d, f WHERE d.ts BETWEEN f.test_start AND f.test_end),
-    lv AS (SELECT * FROM d WHERE market_id IN (SELECT market_id FROM d GROUP BY 1 HAVING min(p) < max(p))),
-    c AS (SELECT a.market_id AS a, b.market_id AS b, corr(a.p, b.p) AS r FROM lv a JOIN lv b ON a.ts = b.ts AND a.market_id < b.market_id GROUP BY 1, 2)
-    SELECT owner, member, CAST(rank AS INTEGER) AS rank, 'test' AS source, true AS used_test_timestamps, false AS is_valid FROM (
-      SELECT owner, member, row_number() OVER (PARTITION BY owner ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
-      FROM (SELECT a AS owner, b AS member, r FROM c UNION ALL SELECT b, a, r FROM c)) WHERE rank <= {K}"""))
+    WITH d AS (SELECT f.fold, d.* FROM dense d JOIN folds f ON d.ts BETWEEN f.test_start AND f.test_end),
+    lv AS (SELECT d.* FROM d JOIN (SELECT fold, market_id FROM d GROUP BY 1, 2 HAVING min(p) < max(p)) USING (fold, market_id)),
+    c AS (SELECT a.fold, a.market_id AS a, b.market_id AS b, corr(a.p, b.p) AS r FROM lv a JOIN lv b ON a.fold = b.fold AND a.ts = b.ts AND a.market_id < b.market_id GROUP BY 1, 2, 3),
+    late AS (SELECT fold, count(*) FILTER (lv.ts > f.train_end) > 0 AS used FROM lv JOIN folds f USING (fold) GROUP BY 1)
+    SELECT fold, owner, member, CAST(rank AS INTEGER) AS rank, 'test' AS source, used AS used_test_timestamps, NOT used AS is_valid FROM (
+      SELECT fold, owner, member, row_number() OVER (PARTITION BY fold, owner ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
+      FROM (SELECT fold, a AS owner, b AS member, r FROM c UNION ALL SELECT fold, b, a, r FROM c)) JOIN late USING (fold) WHERE rank <= {K}"""))
 def leakage_control(spark, d):
-    """Neighbourhoods built on the test hours: the control that must be marked invalid."""
-    top = G.top_corr_neighbors(train_corr(train_cells(spark, d, "test")), K)
-    return top.select("owner", "member", "rank", F.lit("test").alias("source"), F.lit(True).alias("used_test_timestamps"), F.lit(False).alias("is_valid"))
+    """Neighbourhoods built on the test hours; the flags follow from the hours that were used."""
+    cells = train_cells(spark, d, "test")
+    ends = FO.chronological_folds(X.active_panel(spark, d), **FOLD).select("fold", "train_end")
+    late = cells.join(ends, "fold").groupBy("fold").agg((F.count_if(F.col("ts") > F.col("train_end")) > 0).alias("used_test_timestamps"))
+    top = G.top_corr_neighbors(train_corr(cells), K, ["fold"]).join(late, "fold")
+    return top.select("fold", "owner", "member", "rank", F.lit("test").alias("source"), "used_test_timestamps", (~F.col("used_test_timestamps")).alias("is_valid"))
 
 
 X.add_cte("wins", f"""
-    SELECT e.ts AS window_end, d.ts, d.market_id, d.p FROM (SELECT h.ts FROM hours h, span WHERE hour(h.ts) % {STRIDE} = 0
-      AND h.ts >= lo + INTERVAL {WINDOW - 1} HOUR) e JOIN dense d ON d.ts > e.ts - INTERVAL {WINDOW} HOUR AND d.ts <= e.ts""", ["hours", "span", "dense"])
+    SELECT e.window_hours, e.ts AS window_end, d.ts, d.market_id, d.p FROM (SELECT w.window_hours, h.ts FROM hours h, span, (SELECT unnest([{", ".join(map(str, WINDOWS))}]) AS window_hours) w
+      WHERE hour(h.ts) % {STRIDE} = 0 AND h.ts >= lo + to_hours(w.window_hours - 1)) e
+      JOIN dense d ON d.ts > e.ts - to_hours(e.window_hours) AND d.ts <= e.ts""", ["hours", "span", "dense"])
 X.add_cte("wlive", """
-    SELECT w.* FROM wins w JOIN (SELECT window_end, market_id FROM wins GROUP BY 1, 2 HAVING min(p) < max(p)) USING (window_end, market_id)""", ["wins"])
+    SELECT w.* FROM wins w JOIN (SELECT window_hours, window_end, market_id FROM wins GROUP BY 1, 2, 3 HAVING min(p) < max(p))
+      USING (window_hours, window_end, market_id)""", ["wins"])
 X.add_cte("wcorr", """
-    SELECT a.window_end, a.market_id AS a, b.market_id AS b, corr(a.p, b.p) AS r FROM wlive a
-    JOIN wlive b ON a.window_end = b.window_end AND a.ts = b.ts AND a.market_id < b.market_id GROUP BY 1, 2, 3""", ["wlive"])
+    SELECT a.window_hours, a.window_end, a.market_id AS a, b.market_id AS b, corr(a.p, b.p) AS r FROM wlive a
+    JOIN wlive b ON a.window_hours = b.window_hours AND a.window_end = b.window_end AND a.ts = b.ts AND a.market_id < b.market_id GROUP BY 1, 2, 3, 4""", ["wlive"])
+X.add_cte("wenough", "SELECT window_hours, window_end FROM wlive GROUP BY 1, 2 HAVING count(DISTINCT market_id) >= 4", ["wlive"])
+WINDOW = ["window_hours", "window_end"]
+
+
+def each_window(make):
+    """The same graphs for windows of every length."""
+    return M.union_models([make(w).withColumn("window_hours", F.lit(w)) for w in WINDOWS])
 
 
 @query("rolling_corr_graph", with_graph(
-    "wcorr cuts", "SELECT window_end, t, market_id AS node FROM (SELECT DISTINCT window_end, market_id FROM wlive), cuts WHERE window_end IN "
-    "(SELECT window_end FROM wlive GROUP BY 1 HAVING count(DISTINCT market_id) >= 4)",
-    "SELECT window_end, t, a, b FROM wcorr, cuts WHERE round(abs(r), 9) >= t AND window_end IN (SELECT window_end FROM wlive GROUP BY 1 HAVING count(DISTINCT market_id) >= 4)",
-    ["window_end", "t"]))
+    "wcorr wenough cuts", "SELECT window_hours, window_end, t, market_id AS node FROM (SELECT DISTINCT window_hours, window_end, market_id FROM wlive JOIN wenough USING (window_hours, window_end)), cuts",
+    "SELECT window_hours, window_end, t, a, b FROM wcorr JOIN wenough USING (window_hours, window_end), cuts WHERE round(abs(r), 9) >= t", [*WINDOW, "t"]))
 def rolling_corr_graph(spark, d):
     h = X.hourly(spark, d)
-    out = G.rolling_graphs(P.dense_fill(h), P.hour_index(h), WINDOW, STRIDE, G.block_count(h))
-    return r_all(out, "t")
+    dense, index, blocks = cut_lineage(P.dense_fill(h)), P.hour_index(h), G.block_count(h)
+    return r_all(each_window(lambda w: G.rolling_graphs(dense, index, w, STRIDE, blocks)), "t")
 
 
 X.add_cte("dyn", f"""
-    SELECT h.window_end, h.owner, c.t, count(*) FILTER (w.r IS NOT NULL AND round(abs(w.r), 9) >= c.t) AS edges, count(*) AS pairs
-    FROM (SELECT e.window_end, x.owner, x.member AS a, y.member AS b FROM (SELECT DISTINCT window_end FROM wins) e, hood x JOIN hood y
-          ON x.owner = y.owner AND x.member < y.member) h
-    LEFT JOIN wcorr w ON w.window_end = h.window_end AND w.a = h.a AND w.b = h.b CROSS JOIN cuts c GROUP BY 1, 2, 3""", ["wins", "hood", "wcorr", "cuts"])
+    SELECT h.window_hours, h.fold, h.window_end, h.owner, c.t, count(*) FILTER (w.r IS NOT NULL AND round(abs(w.r), 9) >= c.t) AS edges, count(*) AS pairs
+    FROM (SELECT e.window_hours, e.window_end, x.fold, x.owner, x.member AS a, y.member AS b FROM (SELECT DISTINCT window_hours, window_end FROM wins) e, hood x
+          JOIN hood y ON x.fold = y.fold AND x.owner = y.owner AND x.member < y.member) h
+    LEFT JOIN wcorr w ON w.window_hours = h.window_hours AND w.window_end = h.window_end AND w.a = h.a AND w.b = h.b CROSS JOIN cuts c GROUP BY 1, 2, 3, 4, 5""",
+    ["wins", "hood", "wcorr", "cuts"])
+
+
+def dynamic_graphs(spark, d):
+    h = X.hourly(spark, d)
+    near = neighbours(train_corr(train_cells(spark, d)))
+    dense, index = cut_lineage(P.dense_fill(h)), P.hour_index(h)
+    return each_window(lambda w: G.dynamic_neighborhood_graphs(dense, index, near, w, STRIDE, keys=["fold"]))
 
 
 @query("dynamic_local_graph", X.with_views("dyn", """
-    SELECT window_end, owner, t, edges, round(edges / pairs, 6) AS edge_density, round(lag(edges / pairs) OVER w, 6) AS edge_density_lag1,
-      round(edges / pairs - lag(edges / pairs) OVER w, 6) AS edge_density_delta FROM dyn WINDOW w AS (PARTITION BY owner, t ORDER BY window_end)"""))
+    SELECT window_hours, fold, window_end, owner, t, edges, round(edges / pairs, 6) AS edge_density, round(lag(edges / pairs) OVER w, 6) AS edge_density_lag1,
+      round(edges / pairs - lag(edges / pairs) OVER w, 6) AS edge_density_delta FROM dyn WINDOW w AS (PARTITION BY window_hours, fold, owner, t ORDER BY window_end)"""))
 def dynamic_local_graph(spark, d):
-    h = X.hourly(spark, d)
-    near = cut_lineage(G.top_corr_neighbors(train_corr(train_cells(spark, d)), K))
-    g = G.dynamic_neighborhood_graphs(P.dense_fill(h), P.hour_index(h), near, WINDOW, STRIDE)
-    out = FO.lag_and_delta(g.withColumnRenamed("window_end", "ts"), ["owner", "t"], ["edge_density"]).withColumnRenamed("ts", "window_end")
-    return out.select("window_end", "owner", "t", "edges", r6("edge_density"), r6("edge_density_lag1"), r6("edge_density_delta"))
+    g = dynamic_graphs(spark, d).withColumnRenamed("window_end", "ts")
+    out = FO.lag_and_delta(g, ["window_hours", "fold", "owner", "t"], ["edge_density"]).withColumnRenamed("ts", "window_end")
+    return out.select("window_hours", "fold", "window_end", "owner", "t", "edges", r6("edge_density"), r6("edge_density_lag1"), r6("edge_density_delta"))
 
 
 @query("dynamic_local_graph_features", with_graph(
-    "wins hood wcorr cuts", "SELECT window_end, owner, t, member AS node FROM (SELECT DISTINCT window_end FROM wins), hood, cuts",
-    "SELECT w.window_end, x.owner, t, w.a, w.b FROM hood x JOIN hood y ON x.owner = y.owner AND x.member < y.member "
-    "JOIN wcorr w ON w.a = x.member AND w.b = y.member, cuts WHERE round(abs(w.r), 9) >= t", ["window_end", "owner", "t"]))
+    "wins hood wcorr cuts", "SELECT window_hours, window_end, fold, owner, t, member AS node FROM (SELECT DISTINCT window_hours, window_end FROM wins), hood, cuts",
+    "SELECT w.window_hours, w.window_end, x.fold, x.owner, t, w.a, w.b FROM hood x JOIN hood y ON x.fold = y.fold AND x.owner = y.owner AND x.member < y.member "
+    "JOIN wcorr w ON w.a = x.member AND w.b = y.member, cuts WHERE round(abs(w.r), 9) >= t", [*WINDOW, "fold", "owner", "t"]))
 def dynamic_local_graph_features(spark, d):
-    h = X.hourly(spark, d)
-    near = cut_lineage(G.top_corr_neighbors(train_corr(train_cells(spark, d)), K))
-    return r_all(G.dynamic_neighborhood_graphs(P.dense_fill(h), P.hour_index(h), near, WINDOW, STRIDE), "t")
+    return r_all(dynamic_graphs(spark, d), "t")

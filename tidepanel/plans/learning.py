@@ -13,7 +13,7 @@ from tidepanel.operators import learn as L
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.operators import topology as T
-from tidepanel.plans.graphs import K, train_cells, train_corr
+from tidepanel.plans.graphs import K, neighbours, train_cells, train_corr
 from tidepanel.plans.panels import FAMILY_PIVOT
 from tidepanel.plans.quality import SPECS, pool
 from tidepanel.plans.registry import query, r6
@@ -232,8 +232,12 @@ def reconstruction_baselines(spark, d):
 
 @query("nearest_pca_neighbors")
 def nearest_pca_neighbors(spark, d):
-    points = cut_lineage(L.market_embedding(train_cells(spark, d)))
-    return G.nearest_points(points, K, G.block_count(points)).select("owner", "member", "rank", r6("dist"))
+    live, parts = train_cells(spark, d), []
+    for r in live.select("fold").distinct().orderBy("fold").collect():
+        points = cut_lineage(L.market_embedding(live.where(F.col("fold") == r["fold"]).drop("fold")))
+        near = G.nearest_points(points, K, G.block_count(points))
+        parts.append(near.select(F.lit(r["fold"]).alias("fold"), "owner", "member", "rank", r6("dist")))
+    return M.union_models(parts)
 
 
 # --- forecasters -------------------------------------------------------------------------------
@@ -284,7 +288,7 @@ def ridge_forecast(spark, d):
 @query("boosted_trees_forecast")
 def boosted_trees_forecast(spark, d):
     def fit(s, fold, train, test):
-        got = L.forecast(train, test, PCA, kind="trees", scaled=False, rounds=20, step=0.15)
+        got = L.forecast(train, test, PCA, kind="trees", scaled=False)
         return [tag(got, fold, "trees_pca")] if got else []
 
     return scored(run_folds(spark, d, fit), "fold", "model")
@@ -292,13 +296,16 @@ def boosted_trees_forecast(spark, d):
 
 @query("feature_importance")
 def feature_importance(spark, d):
+    """Importances of the boosted trees in every fold, and their mean over folds."""
     s = Setup(spark, d)
-    fold = s.fold_ids()[-1]
-    train, test = s.modelling_rows(fold, s.vectors(), 5)
+    v, rows = s.vectors(), []
     cols = [*BASE, *[f"pca_{i}" for i in range(1, 6)]]
-    _, model = L.forecast(train, test, cols, kind="trees", scaled=False, rounds=20, step=0.15)
-    rows = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
-    return r_all(spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance")).limit(20))
+    for fold in s.fold_ids():
+        got = L.forecast(*s.modelling_rows(fold, v, 5), cols, kind="trees", scaled=False)
+        rows += [(fold, c, float(x)) for c, x in zip(cols, got[1].featureImportances.toArray())] if got else []
+    out = spark.createDataFrame(rows, "fold int, feature string, importance double")
+    mean = out.groupBy("feature").agg(F.avg("importance").alias("mean_importance"))
+    return r_all(FO.top_n_per_group(out.join(mean, "feature"), ["fold"], [F.round("importance", 9).desc(), F.col("feature")], 20))
 
 
 @query("coefficient_effects")
@@ -353,10 +360,10 @@ def ablation_groups(spark, d):
     v, clipped = s.vectors(), s.vectors(10.0)
     live = train_cells(spark, d)
     corr = train_corr(live)
-    near = cut_lineage(G.top_corr_neighbors(corr, K))
-    graph = G.neighborhood_graphs(near, corr).where("t = 0.5").select(F.col("owner").alias("market_id"), "edge_density", "clustering")
-    ctrl = G.neighborhood_controls(near, corr, live).withColumnRenamed("owner", "market_id")
-    side = cut_lineage(graph.join(ctrl, "market_id"))
+    near = neighbours(corr)
+    graph = G.neighborhood_graphs(near, corr, ["fold"]).where("t = 0.5").select("fold", F.col("owner").alias("market_id"), "edge_density", "clustering")
+    ctrl = G.neighborhood_controls(near, corr, live, ["fold"]).withColumnRenamed("owner", "market_id")
+    side = cut_lineage(graph.join(ctrl, ["fold", "market_id"]))
     h0, h1 = T.stat_columns()[:4], T.stat_columns()[4:]
     groups = {"h0": h0, "h1": h1, "h0_h1": h0 + h1, "edge_density": ["edge_density"], "clustering": ["clustering"],
               "controls": ["corr_mean_abs", "corr_std_abs", "prob_mean", "prob_std"]}
@@ -364,7 +371,7 @@ def ablation_groups(spark, d):
     for fold in s.fold_ids():
         points, dgms, keys = fold_topology(s, clipped, fold)
         stats = cut_lineage(T.diagram_stats(dgms, points, keys).withColumnRenamed("window_end", "ts"))
-        train, test = (cut_lineage(J.asof_backward(x, stats, h0 + h1).join(side, "market_id", "left")) for x in s.modelling_rows(fold, v))
+        train, test = (cut_lineage(J.asof_backward(x, stats, h0 + h1).join(side.where(F.col("fold") == fold).drop("fold"), "market_id", "left")) for x in s.modelling_rows(fold, v))
         for name, extra in groups.items():
             got = L.forecast(train, test, [*PCA, *extra], c=0.01)
             parts += [tag(got, fold, f"pca_{name}")] if got else []
@@ -374,10 +381,11 @@ def ablation_groups(spark, d):
 @query("kmeans_silhouette")
 def kmeans_silhouette(spark, d):
     s = Setup(spark, d)
-    fold = s.fold_ids()[-1]
-    rows = L.best_silhouette(s.vectors().where(F.col("fold") == fold))
-    out = spark.createDataFrame(rows, "k int, silhouette double")
-    return r_all(out.withColumn("is_best", F.col("silhouette") == out.agg(F.max("silhouette")).scalar()))
+    v = s.vectors()
+    rows = [(fold, *r) for fold in s.fold_ids() for r in L.best_silhouette(v.where(F.col("fold") == fold))]
+    out = spark.createDataFrame(rows, "fold int, k int, silhouette double")
+    best = out.groupBy("fold").agg(F.max("silhouette").alias("best"))
+    return r_all(out.join(best, "fold").withColumn("is_best", F.col("silhouette") == F.col("best")).drop("best"))
 
 
 @query("trajectory_stats", X.with_views("fstate", """
