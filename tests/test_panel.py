@@ -140,3 +140,33 @@ def test_feature_at_t_ignores_later_rows(spark, hourly):
     full = rows(P.dense_fill(hourly).where(F.col("ts") <= at(4)), "ts", "market_id", "p")
     cut = spark.createDataFrame([(at(0), 1, 0.1), (at(2), 2, 0.0), (at(6), 1, 0.7), (at(6), 2, 0.3)], "ts timestamp_ntz, market_id bigint, p double")
     assert rows(P.dense_fill(cut).where(F.col("ts") <= at(4)), "ts", "market_id", "p") == full
+
+
+def test_tolerant_timestamps(spark):
+    from tidepanel.functions import scalars as S
+
+    told = {
+        "2020-10-02T16:10:01.538Z": "2020-10-02 16:10:01.538", "2020-11-02 16:31:01+00": "2020-11-02 16:31:01", "2021-01-01T00:30:00+02:00": "2020-12-31 22:30:00",
+        "2021-01-01": "2021-01-01 00:00:00", "03/04/2021": "2021-03-04 00:00:00", "12:30": None, "soon": None, "2021": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in told], "text string").select("text", S.tolerant_timestamp("text").cast("string").alias("ts"))
+    assert {r.text: r.ts for r in df.collect()} == told
+
+
+def test_direction_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from tidepanel.functions import classify as C
+
+    df = spark.createDataFrame([("Reach 10?",), ("reach 10?",), ("FALL below 5",), ("stay",)], "q string")
+    assert [r[0] for r in df.select(C.infer_direction(F.col("q"))).collect()] == ["above", "above", "below", None]
+
+
+def test_raw_market_files_of_either_layout(spark, tmp_path):
+    from tidepanel.sources import files as I
+
+    (tmp_path / "whole").mkdir(), (tmp_path / "lines").mkdir()
+    (tmp_path / "whole" / "a.json").write_text('[\n  {\n    "id": "1"\n  },\n  {\n    "id": "2"\n  }\n]\n')
+    (tmp_path / "lines" / "a.json").write_text('[{"id": "1"}]\n[{"id": "2"}]\n')
+    assert sorted(r.id for r in I.scan_raw_markets(spark, str(tmp_path / "whole")).collect()) == ["1", "2"]
+    assert sorted(r.id for r in I.scan_raw_markets(spark, str(tmp_path / "lines"), array_per_line=True).collect()) == ["1", "2"]
