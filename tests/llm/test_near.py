@@ -80,17 +80,18 @@ def test_hard_groups(corpus):
     assert ordered(D.near_groups(docs).collect()) == ordered(plain(rows, 5))
 
 
-def test_blocks_find_every_pair(corpus, monkeypatch):
-    """Members of one bucket that only their signatures connect, dealt to many blocks."""
-    monkeypatch.setattr(D, "BLOCK", 7)
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_blocks_join_what_is_linked(corpus, monkeypatch, block):
+    """Members of one bucket, dealt to one or to many blocks, each pair told by the first band it shares."""
+    monkeypatch.setattr(D, "BLOCK", block)
     rng = random.Random(3)
-    rows = [(i, " ".join(edited(rng, [f"p{k // 4}-{j}" for j in range(100)], 1))) for i, k in enumerate(range(120))]
+    rows = [(i, " ".join(edited(rng, [f"p{i // 4}-{j}" for j in range(100)], 1))) for i in range(120)]
     docs = corpus.createDataFrame(rows, "doc_id long, text string")
     search = D.Search(docs, D.Settings())
-    keyed = search.classes.selectExpr("cls", "1L AS key", f"{len(rows)}L AS size", "cls AS comp")
-    found = {(r.a, r.b) for r in search.rest(keyed).collect()}
+    found = search.rest(search.apart(D.components(corpus.createDataFrame([], "a long, b long"))))
     ids = {r.cls: r.doc_id for r in search.members.collect()}
-    assert {tuple(sorted((ids[a], ids[b]))) for a, b in found} == {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 4 == b // 4}
+    got = {ids[r.cls]: ids[r.comp] // 4 for r in D.components(found).collect()}
+    assert got == {i: i // 4 for i in range(120) if i % 4}
 
 
 def test_edges(edges):

@@ -7,9 +7,11 @@ have an empty set and are linked with nothing.
 1. Documents with equal sets are one class, so copies cost one row each and meet nobody.
 2. A class has `bands` band keys of `rows` minima each and a signature of one byte per minimum. Classes that share a key are a bucket.
 3. A bucket is not paired off. First every member is compared with the smallest member, then, in buckets that are not yet one component,
-   with the member that has most links; what is then still apart is compared by signature in blocks of bounded size, so that a bucket
-   of any size is worked off completely, by as many tasks as it needs.
-4. A pair must pass its signature (six deviations below the threshold) and then its full sets, which only candidates build again.
+   with the member that has most links; what is then still apart is compared in blocks of bounded size, each pair in the first band it
+   shares, and a block tells only the links that join components. So a bucket of any size is worked off completely, by as many tasks
+   as it needs, and no list of its pairs is written.
+4. A pair must pass its signature (six deviations below the threshold) and then its full sets, which only candidates build again: a bit
+   set of fixed size tells each scan which texts may be wanted, and a join removes the false hits.
 5. Components come from alternating large-star and small-star steps, each written to the shared folder.
 
 A link at the threshold is missed with a probability of (1 - s^rows)^bands, 5e-6 for the defaults. Repeated rows are documents of their own
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import texts, written
+from tidepanel.llm.common import spread, texts, written
 
-#: Bytes hashed at once, shingles whose minima are taken at once, members of a bucket compared in one block.
-SEGMENT, CHUNK, BLOCK = 4 << 20, 1 << 16, 512
+#: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block, bits of the set of wanted texts.
+SEGMENT, CHUNK, BLOCK, BITS = 4 << 20, 1 << 16, 1 << 20, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -184,9 +186,9 @@ class Search:
         first = self.members.where("row = cls and n > 0").select("row")
         reps = self.all.join(first, "row", "left_semi").withColumnRenamed("row", "cls")
         self.classes = written(reps, "near-classes")
-        keyed = self.classes.select("cls", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        self.buckets = written(keyed.join(shared, "key"), "near-buckets")
+        keyed = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+        self.buckets = written(keyed.drop("n").join(shared, "key"), "near-buckets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that pass their sizes, their signatures and their full sets; written."""
@@ -203,33 +205,42 @@ class Search:
 
         candidates = written(both.mapInArrow(alike, "a long, b long, na long, nb long"), "near-candidates")
         named = candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))).distinct()
-        needed = written(self.classes.join(named, "cls", "left_semi").select("cls", "text_hash", "d1", "d2"), "near-needed")
-        sets = written(self.sets_of(needed), "near-sets")
+        sets = self.sets_of(named)
         joined = candidates.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
         return written(common.where(close_enough("common", "na", "nb", percent)).select("a", "b"), "near-links")
 
-    def sets_of(self, needed: DataFrame) -> DataFrame:
-        """cls and shingles of the needed classes, built again from their texts."""
+    def sets_of(self, named: DataFrame) -> DataFrame:
+        """cls and shingles of the named classes, built again from their texts; written."""
         words = self.settings.words
-        rows = self.docs.select(F.xxhash64("text").alias("text_hash"), "text")
-        rows = rows.join(needed.select("text_hash").distinct(), "text_hash", "left_semi")
+        needed = written(self.classes.join(named, "cls", "left_semi").select("cls", "text_hash", "d1", "d2"), "near-needed")
+        place = F.pmod("text_hash", F.lit(BITS))
+        parts = needed.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
+        bits = np.zeros(BITS >> 3, np.uint8)
+        for r in parts.collect():  # 4 KB for each of BITS / 32768 parts at most
+            bits[r["part"] << 12:(r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+        held = self.docs.sparkSession.sparkContext.broadcast(bits)
+        rows = self.docs.select(F.pmod(F.xxhash64("text"), F.lit(BITS)).alias("place"), "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = set()  # copies of a text build the same set; a task tells it once
             for batch in batches:
-                sets = shingle_sets(texts(batch), words)
-                digests = [_set_digest(s) for s in sets]
+                at = batch.column("place").to_numpy()
+                wanted = batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                new = {}
+                for s in shingle_sets(texts(wanted), words):
+                    if (d := _set_digest(s)) not in told:
+                        told.add(d)
+                        new[d] = s.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    [pa.array([d[0] for d in new], pa.int64()), pa.array([d[1] for d in new], pa.int64()), pa.array(list(new.values()), pa.list_(pa.int64()))],
                     names=["d1", "d2", "shingles"])
 
-        # Copies of a needed text build the same set; one of each is kept.
         built = rows.mapInArrow(run, "d1 long, d2 long, shingles array<bigint>")
-        keys = needed.select("cls", "d1", "d2")
-        return built.join(keys, ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
+        return written(built.join(needed.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
 
     def apart(self, labels: DataFrame) -> DataFrame:
-        """key, cls, comp, size of the buckets that are not one component yet."""
+        """The rows of the buckets that are not one component yet, with the component of each."""
         told = self.buckets.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         return told.join(split, "key", "left_semi")
@@ -241,53 +252,68 @@ class Search:
         return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
 
     def rest(self, rows: DataFrame) -> DataFrame:
-        """Pairs of members of different components that pass their signatures, found block by block."""
+        """Links between members of different components, found block by block on full sets: enough of them to join what they join; written."""
         low, percent = self.settings.least_matches, self.settings.percent
-        many = F.ceil(F.col("size") / BLOCK).cast("long")
-        placed = rows.withColumn("g", many).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("g")))
-        sig = self.classes.select("cls", "n", "signature")
-        placed = placed.join(sig, "cls").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        placed = placed.select("key", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "cls", "comp", "n", "signature")
+        rows = written(rows, "near-rest")
+        sets = self.sets_of(rows.select("cls").distinct())
+        many = F.ceil(F.col("shingles") / BLOCK).cast("long")
+        placed = rows.withColumn("g", many).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("g"))).drop("shingles")
+        about = self.classes.select("cls", "n", "signature", "bands").join(sets, "cls")
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).join(about, "cls")
+        placed = placed.select("key", "band", F.least("i", "other").alias("x"), F.greatest("i", "other").alias("y"), "i", "cls", "comp", "n", "signature", "bands", "shingles")
         dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
-        def pairs(t: pa.Table) -> list[tuple[int, int]]:
-            cls, comp, n, i, x, y = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "i", "x", "y"))
-            if len(cls) < 2:
-                return []
-            sigs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(cls), -1)
-            left = np.flatnonzero(i == x[0])
-            right = np.flatnonzero(i == y[0])
-            out = []
-            for a in left:
-                b = right[(comp[right] != comp[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))]
-                if x[0] == y[0]:
-                    b = b[b > a]
-                b = b[(sigs[b] == sigs[a]).sum(axis=1) >= low]
-                out += [(min(cls[a], c), max(cls[a], c)) for c in cls[b]]
-            return out
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: pa.Table | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 t = pa.Table.from_batches([batch])
-                t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None else t
+                t = pa.concat_tables([kept, t]) if kept is not None else t
                 key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
-                new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-                ends = [0, *new.tolist()]
-                yield told([p for a, b in zip(ends, ends[1:]) for p in pairs(t.slice(a, b - a))])
+                ends = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+                yield told([p for a, b in zip(ends, ends[1:]) for p in joining_links(t.slice(a, b - a), low, percent)])
                 kept = t.slice(ends[-1])
-            yield told(pairs(kept) if kept is not None else [])
+            yield told(joining_links(kept, low, percent) if kept is not None else [])
 
         def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        return dealt.mapInArrow(run, "a long, b long").distinct()
+        return written(dealt.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def joining_links(block: pa.Table, low: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the two sides of a block that join components not yet joined in it."""
+    cls, comp, n, i, x, y, band = (block.column(c).to_numpy() for c in ("cls", "comp", "n", "i", "x", "y", "band"))
+    if len(cls) < 2:
+        return []
+    signatures = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint8).reshape(len(cls), -1)
+    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+    shingles = block.column("shingles").combine_chunks()
+    flat = shingles.flatten().to_numpy()
+    ends = np.cumsum(n)
+    _, root = np.unique(comp, return_inverse=True)  # the component of each member, renamed as they join
+    right_side, out = np.flatnonzero(i == y[0]), []
+    for a in np.flatnonzero(i == x[0]):
+        b = right_side if x[0] != y[0] else right_side[right_side > a]
+        b = b[(root[b] != root[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
+        b = b[(bands[b] == bands[a]).argmax(axis=1) == band[0]] if len(b) else b
+        b = b[(signatures[b] == signatures[a]).sum(axis=1) >= low] if len(b) else b
+        if not len(b):
+            continue
+        mine = np.sort(flat[ends[a] - n[a]:ends[a]])
+        theirs = flat[spread(ends[b] - n[b], n[b])]
+        there = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(there, np.r_[0, np.cumsum(n[b])[:-1]], dtype=np.int64)
+        for c in b[100 * common >= percent * (n[a] + n[b] - common)]:
+            if root[c] != root[a]:
+                out.append((min(cls[a], cls[c]), max(cls[a], cls[c])))
+                root[root == root[c]] = root[a]
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cls and comp (its smallest reachable node) of every node of the edges (a, b), by alternating large-star and small-star."""
+    """cls and comp (the smallest node reachable) of every node of the edges (a, b) that is not its own least, by alternating stars."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
     before = None
     while True:
@@ -306,6 +332,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "star-small")
 
 
+def stars_of(labels: DataFrame) -> DataFrame:
+    """The components found so far, as edges."""
+    return labels.select(F.col("cls").alias("a"), F.col("comp").alias("b"))
+
+
 def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     search = Search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), settings)
@@ -316,12 +347,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("degree"))
     left = written(search.apart(labels).where("size > 2"), "near-apart")
     known = left.join(ends, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    tried = search.stars(known, -F.col("degree"))
-    links = written(links.union(search.confirmed(tried)), "near-links-2")
-    labels = components(links)
-
-    last = search.confirmed(search.rest(search.apart(labels).where("size > 2")))
-    labels = components(written(links.union(last), "near-links-3"))
+    labels = components(stars_of(labels).union(search.confirmed(search.stars(known, -F.col("degree")))))
+    labels = components(stars_of(labels).union(search.rest(search.apart(labels).where("size > 2"))))
     placed = search.members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("doc_id", "n", "comp", "row")
     # An empty set is linked with nothing, not even with its like.
     placed = placed.withColumn("comp", F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("comp")))
