@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class Inputs:
+    """The tables of one query: the ticks are read once for all that is made of the prices."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def hourly(self) -> DataFrame:
+        return hourly(self.spark, self.sf_dir)
+
+    @cached_property
+    def markets(self) -> DataFrame:
+        return markets(self.spark, self.sf_dir)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return cut_lineage(P.active_ffill(self.hourly, P.active_windows(self.hourly, self.markets)))
+
+    @cached_property
+    def supervised(self) -> DataFrame:
+        return P.supervised_rows(self.panel, self.markets)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly last prices, written once: every panel reads them several times, the ticks only once."""
     return cut_lineage(P.bucket_last(prices(spark, sf_dir)))
@@ -63,11 +88,11 @@ def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def active_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filled prices inside each market's activity window, written once for readers that need them twice."""
-    return cut_lineage(filled_panel(spark, sf_dir))
+    return Inputs(spark, sf_dir).panel
 
 
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.supervised_rows(active_panel(spark, sf_dir), markets(spark, sf_dir))
+    return Inputs(spark, sf_dir).supervised
 
 
 # --- the same views in SQL -------------------------------------------------------------------
@@ -138,7 +163,7 @@ def with_views(names: str, body: str) -> str:
 
     for name in names.split():
         visit(name)
-    ctes = ",\n".join(f"{name} AS ({_CTES[name]})" for name in order)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({_CTES[name]})" for name in order)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tidepanel import fixtures as X
@@ -34,13 +36,17 @@ class Setup:
     """Panel, folds and scaled state shared by the queries below, written once per query."""
 
     def __init__(self, spark, d):
-        self.hourly, self.markets = X.hourly(spark, d), X.markets(spark, d)
-        self.cells = cut_lineage(P.active_ffill(self.hourly, P.active_windows(self.hourly, self.markets)))
-        self.index = P.hour_index(self.hourly)
-        self.folds = cut_lineage(FO.chronological_folds(self.cells, **FOLD))
-        self.members = J.fold_hours(self.folds)
-        self.rows = cut_lineage(P.supervised_rows(self.cells, self.markets))
-        self.long = cut_lineage(L.state_features(P.family_state(self.cells, self.markets), self.index, FAMILY_PIVOT))
+        self.inputs = X.Inputs(spark, d)
+
+    # Each table is built and written when a query first asks for it.
+    hourly = property(lambda self: self.inputs.hourly)
+    markets = property(lambda self: self.inputs.markets)
+    cells = property(lambda self: self.inputs.panel)
+    index = cached_property(lambda self: P.hour_index(self.hourly))
+    folds = cached_property(lambda self: cut_lineage(FO.chronological_folds(self.cells, **FOLD)))
+    members = cached_property(lambda self: J.fold_hours(self.folds))
+    rows = cached_property(lambda self: cut_lineage(self.inputs.supervised))
+    long = cached_property(lambda self: cut_lineage(L.state_features(P.family_state(self.cells, self.markets), self.index, FAMILY_PIVOT)))
 
     def fold_ids(self):
         return [r["fold"] for r in self.folds.select("fold").orderBy("fold").collect()]

@@ -252,7 +252,7 @@ X.add_cte("overlap", """
 
 @query("overlap_panel", X.with_views("overlap", "SELECT ts, market_id, round(p, 6) AS p FROM overlap"))
 def overlap_panel(spark, d):
-    return P.overlap_panel(X.active_panel(spark, d), X.hourly(spark, d)).select("ts", "market_id", r6("p"))
+    return P.overlap_panel((x := X.Inputs(spark, d)).panel, x.hourly).select("ts", "market_id", r6("p"))
 
 
 X.add_cte("lifetimes", """
@@ -356,7 +356,7 @@ def timestamp_metadata(spark, d):
       LEFT JOIN panel a ON a.market_id = s.market_id AND a.ts = s.ts + INTERVAL 24 HOUR
       LEFT JOIN panel b ON b.market_id = s.market_id AND b.ts = s.ts + INTERVAL 72 HOUR)"""))
 def future_targets(spark, d):
-    out = P.future_targets(X.supervised(spark, d), X.active_panel(spark, d))
+    out = P.future_targets((x := X.Inputs(spark, d)).supervised, x.panel)
     return out.select(
         "ts", "market_id", r6("future_price_24h"), r6("future_price_72h"), r6("abs_move_24h"), "large_move_24h",
         r6("abs_move_72h"), "large_move_72h", r6("abs_error"), r6("squared_error"), "miscalibrated")

@@ -35,7 +35,7 @@ def core_ids(spark, d):
       round(1 - count(p.p) / (SELECT count(DISTINCT market_id) FROM hourly), 6) AS missing_fraction
     FROM hours h LEFT JOIN panel p ON p.ts = h.ts LEFT JOIN markets m ON m.market_id = p.market_id GROUP BY 1"""))
 def timestamp_coverage(spark, d):
-    h, cells = X.hourly(spark, d), X.active_panel(spark, d)
+    h, cells = (x := X.Inputs(spark, d)).hourly, x.panel
     out = Q.timestamp_coverage(cells, P.hour_index(h), h, J.semi(cells, core_ids(spark, d), "market_id"))
     return out.withColumn("missing_fraction", r6("missing_fraction"))
 
@@ -54,7 +54,7 @@ def window_violations(spark, d):
     SELECT round(max(epoch(p.ts) - epoch(h.ts)) / 3600, 6) AS max_staleness_hours
     FROM panel p ASOF JOIN hourly h ON p.market_id = h.market_id AND p.ts >= h.ts"""))
 def max_staleness_hours(spark, d):
-    return Q.max_staleness(X.active_panel(spark, d), X.hourly(spark, d)).select(r6("max_staleness_hours"))
+    return Q.max_staleness((x := X.Inputs(spark, d)).panel, x.hourly).select(r6("max_staleness_hours"))
 
 
 def gappy(spark, d):
@@ -230,8 +230,8 @@ def candidate_membership(spark, d):
       round(median_abs_corr, 6) AS median_abs_corr, round(liq, 6) AS liquidity_score, round(rel, 6) AS relationship_score,
       round(0.30 * balance + 0.20 * liq + 0.20 * greatest(0, cover) + 0.10 * rel, 6) AS overall_score FROM k"""))
 def candidate_summary(spark, d):
-    h = X.hourly(spark, d)
-    s = Q.candidate_summary(pool(spark, d), h, X.active_panel(spark, d), SPECS, MIN_HOURS)
+    x = X.Inputs(spark, d)
+    s = Q.candidate_summary(pool(spark, d), x.hourly, x.panel, SPECS, MIN_HOURS)
     return s.select(
         "universe", "metadata_market_count", "panel_market_count", "timestamp_count", "timestamp_min", "timestamp_max", r6("yes_rate"),
         r6("class_entropy"), r6("avg_volume"), r6("panel_missingness"), "active_market_median", "family_count", "domain_count", "pairs",
@@ -261,12 +261,13 @@ def pairwise_jaccard(spark, d):
 
 @query("avg_overlap", X.with_views("avgjac", "SELECT market_id, round(average_overlap, 6) AS average_overlap FROM avgjac"))
 def avg_overlap(spark, d):
-    h = X.hourly(spark, d)
-    return G.average_overlap(G.jaccard(X.active_panel(spark, d)), h).select("market_id", r6("average_overlap"))
+    x = X.Inputs(spark, d)
+    return G.average_overlap(G.jaccard(x.panel), x.hourly).select("market_id", r6("average_overlap"))
 
 
 def _overlap(spark, d):
-    stats = G.overlap_stats(cut_lineage(G.jaccard(X.active_panel(spark, d))), X.hourly(spark, d))
+    x = X.Inputs(spark, d)
+    stats = G.overlap_stats(cut_lineage(G.jaccard(x.panel)), x.hourly)
     return stats.withColumns({c: r6(c) for c in stats.columns if c != "pairs"})
 
 
@@ -323,10 +324,9 @@ X.add_cte("keep", "SELECT t.universe, a.market_id FROM avgjac a JOIN (VALUES " +
 
 
 def constrained(spark, d):
-    h = X.hourly(spark, d)
-    cells = X.active_panel(spark, d)
-    pairs = cut_lineage(G.jaccard(cells))
-    return Q.constrained_universes(G.average_overlap(pairs, h), pairs, cells, cells, P.hour_index(h), X.markets(spark, d), THRESHOLDS)
+    x = X.Inputs(spark, d)
+    pairs = cut_lineage(G.jaccard(x.panel))
+    return Q.constrained_universes(G.average_overlap(pairs, x.hourly), pairs, x.panel, x.panel, P.hour_index(x.hourly), x.markets, THRESHOLDS)
 
 
 @query("overlap_constrained_universes", X.with_views("constrained", f"""
@@ -356,9 +356,9 @@ def recommend_universe(spark, d):
       round(median(active_duration_hours / 24), 6) AS median_days, round(median(observed_hours), 6) AS median_observed_hours
     FROM lifetimes JOIN avgjac USING (market_id) GROUP BY 1, 2, 3"""))
 def lifetime_summary(spark, d):
-    h = X.hourly(spark, d)
-    avg = cut_lineage(G.average_overlap(G.jaccard(X.active_panel(spark, d)), h))
-    out = Q.lifetime_summary(P.market_lifetimes(h, X.markets(spark, d)), avg)
+    x = X.Inputs(spark, d)
+    avg = cut_lineage(G.average_overlap(G.jaccard(x.panel), x.hourly))
+    out = Q.lifetime_summary(P.market_lifetimes(x.hourly, x.markets), avg)
     return out.withColumns({c: r6(c) for c in ("mean_overlap", "median_days", "median_observed_hours")})
 
 

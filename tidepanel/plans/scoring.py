@@ -273,7 +273,7 @@ def score_auc(spark, d):
     SELECT s.family, count(*) AS n_obs, round(avg((b.p - s.p) * (b.p - s.p)), 6) AS mse, round(avg(abs(b.p - s.p)), 6) AS mae
     FROM sup s JOIN panel b ON b.market_id = s.market_id AND b.ts = s.ts + INTERVAL 24 HOUR GROUP BY 1"""))
 def score_regression(spark, d):
-    rows = P.shift_join(X.supervised(spark, d), X.active_panel(spark, d), 24, "later")
+    rows = P.shift_join((x := X.Inputs(spark, d)).supervised, x.panel, 24, "later")
     return r_all(E.score_regression(rows, ["family"], "later", "p"))
 
 
