@@ -12,6 +12,7 @@ one language every text with a letter has it, with score 1. Ties go to the langu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,10 +46,12 @@ class Model:
 
 
 CARRIER = b"0123456789 " * 8
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def prepared(text: str) -> bytes:
-    return b" " + text.lower().encode() + b" "
+    """Lower-case words with single blanks: marks and digits tell no language, and would keep words from matching."""
+    return f" {_OTHER.sub(' ', text.lower())} ".encode()
 
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> Model:

@@ -24,15 +24,12 @@ from tidepanel.llm.common import texts
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-LEAST = {"assign": 6, "access": 20, "hex": 24}
+ASSIGN_LEAST = 6
+# `AKIA[A-Z0-9]+` of 20 characters and `[0-9a-f]+` of 24: what is long enough is the same run, so shorter ones need no step of their own.
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-# A run that is long enough is the whole run, so shorter ones need not be stepped over one by one.
-_ACCESS_LONG = re.compile(r"AKIA[A-Z0-9]{16,}")
-_HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-
 # Weights of the words of a target name; the heaviest word decides, a damping word lowers it.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
@@ -77,9 +74,9 @@ def signed_lines(text: str) -> Iterator[Span]:
 def base_spans(text: str) -> dict[str, list[Span]]:
     """Leftmost non-overlapping matches of each base pattern, those below the least length dropped."""
     return {
-        "assign": [m.span() for line in signed_lines(text) for m in ASSIGN.finditer(text, *line) if len(m[2]) >= LEAST["assign"]],
-        "access": [m.span() for m in _ACCESS_LONG.finditer(text)],
-        "hex": [m.span() for m in _HEX_LONG.finditer(text)],
+        "assign": [m.span() for line in signed_lines(text) for m in ASSIGN.finditer(text, *line) if len(m[2]) >= ASSIGN_LEAST],
+        "access": [m.span() for m in ACCESS.finditer(text)],
+        "hex": [m.span() for m in HEX.finditer(text)],
     }
 
 
