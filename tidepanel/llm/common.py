@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,26 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+#: Bits of a set that tells scans which rows may be wanted: 8 MB, whatever the number of rows.
+BITS = 1 << 26
+
+
+def bit_set(hashes: DataFrame, column: str) -> Broadcast:
+    """The hashes as a bit set of fixed size, held by every worker. A crowded set lets more through; a join must remove false hits."""
+    place = F.pmod(column, F.lit(BITS))
+    parts = hashes.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
+    bits = np.zeros(BITS >> 3, np.uint8)
+    for r in parts.collect():  # 4 KB for each of BITS / 32768 parts at most
+        bits[r["part"] << 12:(r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def maybe_in(held: Broadcast, batch: pa.RecordBatch, place: str) -> pa.RecordBatch:
+    """The rows of a batch whose place (a hash modulo BITS) is in the set."""
+    at = batch.column(place).to_numpy()
+    return batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(lengths)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import written
+from tidepanel.llm.common import BITS, bit_set, maybe_in, written
 
 NEAR_CHARS = 20
 LINE = ["h1", "h2"]
@@ -96,6 +96,19 @@ def variants(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, f"variant long, place long, h1 long, h2 long, first {kinds['first']}")
 
 
+def holders_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """text of the documents in which the lines occur first, and of a few others."""
+    by_id = lambda i: F.xxhash64(i.cast("string"))
+    held = bit_set(lines.select(by_id(F.col("first.id")).alias("hash")), "hash")
+    rows = docs.select(F.pmod(by_id(F.col("doc_id")), F.lit(BITS)).alias("place"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield maybe_in(held, batch, "place").select(["text"])
+
+    return rows.mapInArrow(run, "text string")
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of lines that have an earlier neighbour."""
     keyed = distinct.where("halves is not null").select("h1", F.explode("halves").alias("key"))
@@ -104,10 +117,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     candidates = distinct.where("halves is not null").join(named, "h1", "left_semi").select(*LINE, "first")
     candidates = written(candidates, "line-candidates")
 
-    # Their texts, each from the document of its first occurrence.
-    where = candidates.select(*LINE, "first", F.col("first.id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    holders = docs.join(where.select("doc_id").distinct().withColumnRenamed("doc_id", "holder"), F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-    cut = holders.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("line_no", "piece"))
+    # Their texts, from the documents of their first occurrences: a bit set of fixed size picks these in the scan.
+    cut = holders_of(docs, candidates).select(F.explode(pieces(F.col("text"))).alias("piece"))
     line = cut.select(F.xxhash64(line_of(F.col("piece"))).alias("h1"), F.xxhash64(F.lit(7), line_of(F.col("piece"))).alias("h2"), line_of(F.col("piece")).alias("line"))
     read = written(line.join(candidates, LINE).groupBy(*LINE).agg(F.first("line").alias("line"), F.first("first").alias("first")), "line-texts")
 

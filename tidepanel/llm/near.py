@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import spread, texts, written
+from tidepanel.llm.common import BITS, bit_set, maybe_in, spread, texts, written
 
-#: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block, bits of the set of wanted texts.
-SEGMENT, CHUNK, BLOCK, BITS = 4 << 20, 1 << 16, 1 << 20, 1 << 26
+#: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block.
+SEGMENT, CHUNK, BLOCK = 4 << 20, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -214,19 +214,13 @@ class Search:
         """cls and shingles of the named classes, built again from their texts; written."""
         words = self.settings.words
         needed = written(self.classes.join(named, "cls", "left_semi").select("cls", "text_hash", "d1", "d2"), "near-needed")
-        place = F.pmod("text_hash", F.lit(BITS))
-        parts = needed.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
-        bits = np.zeros(BITS >> 3, np.uint8)
-        for r in parts.collect():  # 4 KB for each of BITS / 32768 parts at most
-            bits[r["part"] << 12:(r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-        held = self.docs.sparkSession.sparkContext.broadcast(bits)
+        held = bit_set(needed, "text_hash")
         rows = self.docs.select(F.pmod(F.xxhash64("text"), F.lit(BITS)).alias("place"), "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             told = set()  # copies of a text build the same set; a task tells it once
             for batch in batches:
-                at = batch.column("place").to_numpy()
-                wanted = batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                wanted = maybe_in(held, batch, "place")
                 new = {}
                 for s in shingle_sets(texts(wanted), words):
                     if (d := _set_digest(s)) not in told:
@@ -237,7 +231,10 @@ class Search:
                     names=["d1", "d2", "shingles"])
 
         built = rows.mapInArrow(run, "d1 long, d2 long, shingles array<bigint>")
-        return written(built.join(needed.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
+        sets = built.join(needed.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
+        sets = written(sets, "near-sets")
+        held.destroy()
+        return sets
 
     def apart(self, labels: DataFrame) -> DataFrame:
         """The rows of the buckets that are not one component yet, with the component of each."""
