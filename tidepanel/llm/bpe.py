@@ -29,7 +29,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from tidepanel.llm.common import spread, texts
 
 #: Longest word in parts that takes the array path, words encoded at once, words kept by a worker, code points split into words at once.
-SHORT, AT_ONCE, KEPT, SLICE = 32, 4096, 200_000, 1 << 20
+SHORT, AT_ONCE, KEPT, SLICE = 32, 4096, 100_000, 1 << 19
 NONE = np.int64(1) << 40
 # Code points for which engines may differ: beyond Latin, Greek and Cyrillic, the separators 1C to 1F, and the sigma, lowered by context.
 _FAR = re.compile(r"[^\x00-\x1b\x20-\u03a2\u03a4-\u052f\u2010-\u2027]")

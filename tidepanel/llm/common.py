@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel.session import configure, scratch_path
 
 #: Arrow batches to Python are cut by rows and, where Spark knows the setting, by bytes: very long texts stay few to a batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 3 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import written
 
 #: Bytes of records, and of distinct texts in a table, that a task may hold; spill files a bucket is dealt to.
-BUDGET, FANOUT_BITS = 128 << 20, 4
+BUDGET, FANOUT_BITS = 64 << 20, 4
 
 
 def normalised(text: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import BITS, bit_set, maybe_in, spread, texts, written
 
 #: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block.
-SEGMENT, CHUNK, BLOCK = 4 << 20, 1 << 16, 1 << 20
+SEGMENT, CHUNK, BLOCK = 1 << 20, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
