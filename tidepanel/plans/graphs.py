@@ -137,7 +137,7 @@ def nearest_given_coordinates(spark, d):
     return G.nearest_points(points, K, G.block_count(points)).select("owner", "member", "rank")
 
 
-# Neighbourhoods of each size by correlation, and of the middle size by random draws.
+# Neighbourhoods of each size by correlation.
 X.add_cte("hoods", f"""
     SELECT fold, 'top_corr' AS method, k, owner, member FROM (SELECT fold, owner, member, row_number() OVER (PARTITION BY fold, owner
         ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
