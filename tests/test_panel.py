@@ -170,3 +170,14 @@ def test_raw_market_files_of_either_layout(spark, tmp_path):
     (tmp_path / "lines" / "a.json").write_text('[{"id": "1"}]\n[{"id": "2"}]\n')
     assert sorted(r.id for r in I.scan_raw_markets(spark, str(tmp_path / "whole")).collect()) == ["1", "2"]
     assert sorted(r.id for r in I.scan_raw_markets(spark, str(tmp_path / "lines"), array_per_line=True).collect()) == ["1", "2"]
+
+
+def test_blocks_of_the_wide_form_hold_every_market_and_hour(spark):
+    """More markets than a block has places, and an hour in which only one outside 1-8 has a price."""
+    told = {(at(m % 5), m): m / 200 for m in range(1, 131)} | {(at(9), 77): 0.5}
+    cells = spark.createDataFrame([(*k, v) for k, v in told.items()], "ts timestamp_ntz, market_id bigint, p double")
+    places = P.market_places(cells)
+    spot = {(r.block, r.place): r.market_id for r in places.collect()}
+    assert sorted(spot.values()) == list(range(1, 131)) and max(b for b, _ in spot) == 2
+    wide = P.pivot_blocks(cells, places).collect()
+    assert {(r.ts, spot[r.block, i]): v for r in wide for i, v in enumerate(r["values"]) if v is not None} == told

@@ -14,6 +14,8 @@ from tidepanel.functions import ordered
 from tidepanel.functions.scalars import probability_clip
 from tidepanel.session import cut_lineage
 
+#: Markets side by side in one row of the wide form.
+PIVOT_WIDTH = 64
 
 
 def floor_to(ts, unit: str = "hour") -> Column:
@@ -148,6 +150,23 @@ def panel_stats(cells: DataFrame, index: DataFrame, columns: DataFrame) -> DataF
     return out.withColumn("missingness", 1 - F.col("cells") / size).drop("cells")
 
 
+def market_places(cells: DataFrame, width: int = PIVOT_WIDTH) -> DataFrame:
+    """(market_id, block, place) of every market of the cells, in an order by digest cut into blocks of `width` places."""
+    key = F.md5(F.col("market_id").cast("string"))
+    ids = cells.select("market_id").where(F.col("market_id").isNotNull()).distinct()
+    ids = ids.withColumns({"key": key, "slice": F.substring(key, 1, 2), "one": F.lit(1)})
+    rank = F.col("one_upto") - 1
+    return ordered.running_sum(ids, [], "slice", [F.col("key"), F.col("market_id")], ["one"]).select(
+        "market_id", F.floor(rank / width).cast("long").alias("block"), (rank % width).cast("int").alias("place"))
+
+
+def pivot_blocks(cells: DataFrame, places: DataFrame, width: int = PIVOT_WIDTH) -> DataFrame:
+    """Wide form of all markets, one row per block and hour with a price: `values[place]` is a market's price, null where it has none."""
+    spots = list(range(width))
+    wide = cells.join(places, "market_id").groupBy("block", "ts").pivot("place", spots).agg(F.first("p"))
+    return wide.select("block", "ts", F.array(*[F.col(str(i)) for i in spots]).alias("values"))
+
+
 def busy_rows(cells: DataFrame, min_active: int) -> DataFrame:
     """Cells of the hours that have at least `min_active` values."""
     keep = cells.groupBy("ts").agg(F.count("p").alias("n")).where(F.col("n") >= min_active).select("ts")

@@ -102,6 +102,27 @@ def pivot_panel(spark, d):
     return wide.select("ts", *[r6(F.col(str(i)), f"m{i}") for i in ids])
 
 
+X.add_cte("places", f"""
+    SELECT market_id, (rn // {P.PIVOT_WIDTH})::BIGINT AS block, (rn % {P.PIVOT_WIDTH})::INTEGER AS place FROM (
+      SELECT market_id, row_number() OVER (ORDER BY md5(market_id::VARCHAR), market_id) - 1 AS rn FROM (SELECT DISTINCT market_id FROM hourly))""", ["hourly"])
+
+
+@query("pivot_panel_places", X.with_views("places", "SELECT * FROM places"))
+def pivot_panel_places(spark, d):
+    return P.market_places(X.hourly(spark, d))
+
+
+@query("pivot_panel_blocks", X.with_views("hourly places", f"""
+    SELECT block, ts, list(round(p, 6) ORDER BY place) AS values FROM (
+      SELECT w.block, w.ts, s.place, h.p FROM (SELECT DISTINCT block, ts FROM hourly JOIN places USING (market_id)) w
+        CROSS JOIN (SELECT unnest(range({P.PIVOT_WIDTH})) AS place) s LEFT JOIN places m ON m.block = w.block AND m.place = s.place
+        LEFT JOIN hourly h ON h.market_id = m.market_id AND h.ts = w.ts) GROUP BY 1, 2"""))
+def pivot_panel_blocks(spark, d):
+    """The wide form of all markets; pivot_panel is the view of eight named ones."""
+    h = X.hourly(spark, d)
+    return P.pivot_blocks(h, P.market_places(h)).select("block", "ts", F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+
+
 @query("continuous_grid", X.with_views("grid", "SELECT ts, market_id, round(p, 6) AS p FROM grid"))
 def continuous_grid(spark, d):
     return P.continuous_grid(X.hourly(spark, d)).select("ts", "market_id", r6("p"))
