@@ -57,3 +57,26 @@ def test_query_columns_on_edge_texts(corpus, edges):
     assert spans == sorted(sorted(s for k in plain(t).values() for s in k) for t in texts)
     assert S.digest([]) == hashlib.sha256(b"").hexdigest()
     assert S.find_secrets(edges.limit(0)).count() == 0
+
+
+def test_all_parts_of_a_long_sum_and_long_names_are_told():
+    parts = [f"aB3{i:05d}" for i in range(500)]
+    text = 'k = ""\n' + "".join(f'k = k + "{p}"\n' for p in parts) + "password = k\ntoken = k\n"
+    assert [text[a:b] for a, b in S.literal_spans(text)] == parts
+    tail = 'k = ""\n' + 'k = k + "aaaaaaaaaaaaaaaa"\n' * 300 + 'k = k + "B3_xyzQRSTUV45"\npassword = k\n'
+    assert len(S.literal_spans(tail)) == 301  # the last part is beyond 4,096 characters
+    for target in (f'"{"n" * 90}_private_key"', f'{"n" * 300}_private_key', f'c["{"n" * 90}_private_key"]', "private_key" + " " * 400):
+        text = f'{target}: "Hunter2Xyz!9"'
+        assert [text[a:b] for a, b in S.literal_spans(text)] == ["Hunter2Xyz!9"]
+    for dummy in ('k = "aB3chan"; k = k + "geme9Z"; password = k', 'k = "<aB3dE6gH9aB3dE6gH9"; k = k + "x8>"; password = k'):
+        assert S.literal_spans(dummy) == []
+    assert len(S.literal_spans('k = "aB3dE6"\n' + "k = k + k\n" * 3000 + "password = k")) == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "_", "9", "$", ".", "-", " ", "\t", '"', "'", "[", "]", "key", "/", "é"]), max_size=12))
+def test_targets_are_those_of_the_pattern(parts):
+    pattern = r"""(?:(["'])(?P<quoted>[A-Za-z_][\w .$/-]*)\1|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)(?:\[(["'])(?P<sub>[\w .-]+)\4\])?)[ \t]*$"""
+    gap = "".join(parts)
+    m = re.search(pattern, gap, re.A)
+    assert S.target_of(gap) == (m and (m["quoted"] or (f"{m['name']}.{m['sub']}" if m["sub"] else m["name"])))

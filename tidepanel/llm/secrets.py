@@ -2,7 +2,8 @@
 
 Three base patterns (assignments to secret-like keys, access keys, long hex runs) are found in every whole text. Beside them, source
 and configuration syntax is lexed into statements `name = value`: string literals, bare words, names and sums of those. Names carry the
-literals last assigned to them, so `k = "..."; password = k` leads back to the literal. A literal is reported when the words of the
+literals last assigned to them, so `k = "..."; password = k` leads back to the literal: a name holds references to the parts of its
+value, however many, and what the score needs is added up part by part. A literal is reported when the words of the
 name it reaches, weighed together with how random it looks, pass a threshold.
 
 Null and empty texts have no spans. Repeated rows are reported once per row; rows are independent, so there is no shuffle. Offsets are
@@ -38,17 +39,18 @@ SENSITIVE = {
 }
 DAMPING = {"public": 0.5, "id": 0.4, "name": 0.4, "count": 0.6, "max": 0.6, "min": 0.6, "type": 0.5, "url": 0.3, "path": 0.4, "file": 0.3,
            "length": 0.6, "limit": 0.6, "primary": 0.4, "foreign": 0.4}
-PLACEHOLDER = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|sample|redacted|x{4,}|\*{3,}|^<.*>$|^\$\{.*\}$|^%.*%$|^\{\{.*\}\}$", re.I)
+PLACEHOLDER = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|sample|redacted|x{4,}|\*{3,}", re.I)
+WRAPPED = re.compile(r"<.*>|\$\{.*\}|%.*%|\{\{.*\}\}")
+#: Code points kept from both ends of a value; no placeholder word needs more to be found across a joint.
+_EDGE = 16
 THRESHOLD = 0.55
 
-# A statement is found by its sign; the target is read before it, the terms of the value after it.
+# A statement is found by its sign; the target is read back from it, the terms of the value after it.
 _SIGN = re.compile(r":=|=>|==|!=|=|:")
-_TARGET = re.compile(
-    r"""(?:(["'])(?P<quoted>[A-Za-z_][\w .$/-]{0,80})\1|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)(?:\[(["'])(?P<sub>[\w .-]{1,80})\4\])?)[ \t]*$""",
-    re.A,
-)
-#: Code points before a sign in which its target is looked for; longer names are known by their ends.
-_REACH = 200
+_QUOTED = re.compile(r"[A-Za-z_][\w .$/-]*", re.A)
+_SUBSCRIPT = re.compile(r"[\w .-]+", re.A)
+_NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-"
+_PIECE = re.compile(r"[\w$]+|[.-]", re.A)
 _BLANK = re.compile(r"[ \t]*")
 _TERM = re.compile(
     r"""[rRbBuUfF]?"(?P<double>(?:[^"\\\n]|\\.)*)"|[rRbBuUfF]?'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`|(?P<bare>[^\s"'`,;(){}\[\]<>|]+)"""
@@ -88,24 +90,89 @@ def name_weight(name: str) -> float:
     return max(0.0, weight - sum(DAMPING.get(w, 0.0) for w in words))
 
 
+class Tally:
+    """What the score needs of a value: counts of its code points, both ends, and whether a placeholder word is in it."""
+
+    __slots__ = ("counts", "n", "head", "tail", "dummy")
+
+    def __init__(self, value: str = ""):
+        self.counts, self.n = Counter(value), len(value)
+        self.head, self.tail, self.dummy = value[:_EDGE], value[-_EDGE:], PLACEHOLDER.search(value) is not None
+
+    def copy(self) -> Tally:
+        other = Tally()
+        other.counts, other.n, other.head, other.tail, other.dummy = self.counts.copy(), self.n, self.head, self.tail, self.dummy
+        return other
+
+    def add(self, other: Tally) -> None:
+        self.dummy = self.dummy or other.dummy or PLACEHOLDER.search(self.tail + other.head) is not None
+        self.head = self.head if self.n >= _EDGE else (self.head + other.head)[:_EDGE]
+        self.tail = other.tail if other.n >= _EDGE else (self.tail + other.tail)[-_EDGE:]
+        self.n += other.n
+        for c, k in other.counts.items():
+            self.counts[c] += k
+        if self.n.bit_length() > 1000:  # `k = k + k` over and over: only the shares matter
+            self.counts = Counter({c: max(1, k >> 900) for c, k in self.counts.items()})
+            self.n = self.counts.total()
+
+    def weight(self) -> float:
+        if self.n < 6 or self.dummy or any(c.isspace() for c in self.counts):
+            return 0.0
+        if WRAPPED.fullmatch(self.head + self.tail if self.n > _EDGE else self.head):
+            return 0.0
+        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
+        entropy = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
+        return min(1.0, 0.25 * (len(kinds) - 1) + min(entropy, 4.0) / 8 + min(self.n, 24) / 96)
+
+
 def literal_weight(value: str) -> float:
     """How much a literal looks like a credential: its length, mix of character classes and entropy; placeholders count nothing."""
-    if len(value) < 6 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    classes = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, 0.25 * (classes - 1) + min(entropy, 4.0) / 8 + min(n, 24) / 96)
+    return Tally(value).weight()
+
+
+def trailing_name(text: str) -> str | None:
+    """The longest dotted or dashed name that ends the text; each part of it begins with no digit."""
+    run = text[len(text.rstrip(_NAME_CHARS)):]
+    best, word_next = None, True
+    for piece in reversed(list(_PIECE.finditer(run))):
+        word = piece[0] not in ".-"
+        if word != word_next:
+            break
+        if word:
+            digits = len(piece[0]) - len(piece[0].lstrip("0123456789"))
+            if digits == len(piece[0]):
+                break
+            best = piece.start() + digits
+            if digits:
+                break
+        word_next = not word
+    return None if best is None else run[best:]
+
+
+def target_of(gap: str) -> str | None:
+    """The name that ends what lies before a sign: a quoted one, a name, or a name with a quoted subscript, of any length."""
+    gap = gap.rstrip(" \t")
+    if gap[-1:] in ('"', "'"):
+        body = gap[gap.rfind(gap[-1], 0, -1) + 1:-1]
+        return body if len(body) < len(gap) - 1 and _QUOTED.fullmatch(body) else None
+    if gap[-2:] in ('"]', "']"):
+        opening = gap.rfind(gap[-2], 0, -2)
+        if opening < 1 or gap[opening - 1] != "[" or not _SUBSCRIPT.fullmatch(gap, opening + 1, len(gap) - 2):
+            return None
+        name = trailing_name(gap[:opening - 1])
+        return name and f"{name}.{gap[opening + 1:-2]}"
+    return trailing_name(gap)
 
 
 def statements(text: str) -> Iterator[tuple[str, list[tuple[str | None, int, int, str, bool]]]]:
     """(target, terms) of each statement; a term is (name or None, start, end, value, quoted)."""
     for start, stop in signed_lines(text):
-        at = start
+        at = low = start
         while sign := _SIGN.search(text, at, stop):
-            at = sign.end()
-            m = _TARGET.search(text[max(start, sign.start() - _REACH):sign.start()])
-            if m is None or sign[0] in ("==", "!="):
+            # No sign is part of a target, so none reaches back over the sign before.
+            low, target = sign.end(), target_of(text[low:sign.start()])
+            at = low
+            if target is None or sign[0] in ("==", "!="):
                 continue
             at = _BLANK.match(text, at, stop).end()
             terms = []
@@ -120,30 +187,59 @@ def statements(text: str) -> Iterator[tuple[str, list[tuple[str | None, int, int
                     break
                 at = joint.end()
             if terms:
-                target = m["quoted"] or (f"{m['name']}.{m['sub']}" if m["sub"] else m["name"])
                 yield target, terms
                 if len(terms) == 1 and not terms[0][4]:
                     at = terms[0][1]  # a bare word may itself be the target of the next sign, as in `a = b = "c"`
 
 
+class Value:
+    """What a name holds: spans and other values, told at most once; the score is kept by the names, not by the parts."""
+
+    __slots__ = ("parts", "told")
+
+    def __init__(self, parts: list[Span | Value]):
+        self.parts, self.told = parts, False
+
+    def tell(self, found: set[Span]) -> None:
+        rest = [self]
+        while rest:
+            value = rest.pop()
+            if not value.told:
+                value.told = True
+                found.update(p for p in value.parts if isinstance(p, tuple))
+                rest += [p for p in value.parts if isinstance(p, Value)]
+
+
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive target, directly or through names, in order of their place."""
-    held: dict[str, tuple[str, tuple[Span, ...]]] = {}
+    held: dict[str, tuple[Value, Tally | str]] = {}
     found: set[Span] = set()
     for target, terms in statements(text):
-        value, spans, quoted = "", (), False
+        parts, tallies, quoted = [], [], False
         for name, start, end, literal, is_quoted in terms:
             known = held.get(name) if name else None
             if known:
-                value, spans, quoted = value + known[0], spans + known[1], True
+                parts.append(known[0])
+                tallies.append(known[1])
+                quoted = True
             elif name is None or len(terms) == 1:  # an unknown name inside a sum tells nothing
-                value, quoted = value + literal, quoted or is_quoted
-                spans += ((start, end),) if end > start else ()
-        # A value of many parts is known by its first ones; the whole of each part is still reported.
-        held[target] = held[target.rpartition(".")[2]] = (value[:4096], spans[:64])
+                quoted = quoted or is_quoted
+                tallies.append(literal)
+                if end > start:
+                    parts.append((start, end))
+        # One part is kept as it is, and counted when a sensitive name is reached; sums are counted at once.
+        tally = tallies[0] if len(tallies) == 1 else ""
+        if len(tallies) > 1:
+            tally = tallies[0].copy() if isinstance(tallies[0], Tally) else Tally(tallies[0])
+            for t in tallies[1:]:
+                tally.add(t if isinstance(t, Tally) else Tally(t))
+        value = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
+        held[target] = held[target.rpartition(".")[2]] = (value, tally)
         weight = name_weight(target)
-        if weight and weight * (0.45 + 0.55 * quoted) * 0.5 + literal_weight(value) * 0.5 * (weight > 0.3) >= THRESHOLD and literal_weight(value):
-            found.update(spans)
+        if weight:
+            looks = (tally if isinstance(tally, Tally) else Tally(tally)).weight()
+            if looks and weight * (0.45 + 0.55 * quoted) * 0.5 + looks * 0.5 * (weight > 0.3) >= THRESHOLD:
+                value.tell(found)
     return sorted(found)
 
 
