@@ -7,7 +7,9 @@ value, however many, and what the score needs is added up part by part. A litera
 name it reaches, weighed together with how random it looks, pass a threshold.
 
 Null and empty texts have no spans. Repeated rows are reported once per row; rows are independent, so there is no shuffle. Offsets are
-code points, ends exclusive. Lines of any length are scanned whole.
+code points, ends exclusive. Lines of any length are scanned whole. The base patterns stop at the line; a value may go on over line
+breaks: in triple quotes, backticks and YAML block scalars, inside parentheses, after a sign, around an operator and after a backslash.
+It is weighed without breaks and indents. Elements of lists are no values of the list's name, and comments inside sums end them.
 """
 
 from __future__ import annotations
@@ -53,9 +55,23 @@ _NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.
 _PIECE = re.compile(r"[\w$]+|[.-]", re.A)
 _BLANK = re.compile(r"[ \t]*")
 _TERM = re.compile(
-    r"""[rRbBuUfF]?"(?P<double>(?:[^"\\\n]|\\.)*)"|[rRbBuUfF]?'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`\n]*)`|(?P<bare>[^\s"'`,;(){}\[\]<>|]+)"""
+    r"""[rRbBuUfF]?\"{3}(?P<double3>(?:[^\\]|\\[\s\S])*?)\"{3}|[rRbBuUfF]?'{3}(?P<single3>(?:[^\\]|\\[\s\S])*?)'{3}|"""
+    r"""[rRbBuUfF]?"(?P<double>(?:[^"\\\n]|\\.)*)"|[rRbBuUfF]?'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`]*)`|(?P<bare>[^\s"'`,;(){}\[\]<>|]+)"""
 )
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.|&)?[ \t]*(?=[rRbBuUfF]?[\"'`])|[ \t]*(?:\+|&|\.\.)[ \t]*(?=[A-Za-z_$])")
+# Blanks with any line breaks, with escaped ones only, and with breaks before indented lines only.
+_ANY, _ESCAPED, _INDENTED = r"[ \t]*+(?:\\?\r?\n[ \t]*+)*+", r"[ \t]*+(?:\\\r?\n[ \t]*+)*+", r"[ \t]*+(?:\\?\r?\n[ \t]++)*+"
+_OPENS = r"(?=[rRbBuUfF]?[\"'`])"
+_VALUE = re.compile(rf"{_ANY}(?P<open>(?:\({_ANY})*+)")
+#: Joints of a sum: a line ends after an operator, or the next one begins with it, indented; inside parentheses lines do not count.
+_JOIN = re.compile(
+    rf"{_ESCAPED}{_OPENS}|[ \t]*\.[ \t]*{_OPENS}|(?:[ \t]++|[ \t]*+(?:\\?\r?\n[ \t]++)++)\.{_ANY}{_OPENS}"
+    rf"|{_INDENTED}(?:\+|\.\.|&){_ANY}{_OPENS}|{_INDENTED}(?:\+|&|\.\.){_ANY}(?=[A-Za-z_$])")
+_JOIN_INSIDE = re.compile(rf"{_ANY}(?:\+|\.\.|\.|&)?{_ANY}{_OPENS}|{_ANY}(?:\+|&|\.\.){_ANY}(?=[A-Za-z_$])")
+_KEY_SIGN = re.compile(r"[ \t]*[:=]")
+_ENDS_LINE = re.compile(r"[ \t]*[;,]?[ \t]*(?:\r?\n|\Z)")
+_BLOCK = re.compile(r"[ \t]*[|>][-+1-9]{0,2}[ \t]*(?:(?<=[ \t])#[^\n]*)?\r?\n")
+_KEY_INDENT = re.compile(r"[ \t]*(?:-[ \t]+)*")
+_ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$", re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -63,7 +79,7 @@ Span = tuple[int, int]
 
 
 def signed_lines(text: str) -> Iterator[Span]:
-    """The lines with a sign of assignment; no assignment lies outside them, and none goes beyond its line."""
+    """The lines with a sign of assignment; no base pattern's assignment lies outside them, and none goes beyond its line."""
     at = 0
     while m := _SIGN.search(text, at):
         start = text.rfind("\n", at, m.start()) + 1 or at
@@ -164,32 +180,86 @@ def target_of(gap: str) -> str | None:
     return trailing_name(gap)
 
 
-def statements(text: str) -> Iterator[tuple[str, list[tuple[str | None, int, int, str, bool]]]]:
-    """(target, terms) of each statement; a term is (name or None, start, end, value, quoted)."""
-    for start, stop in signed_lines(text):
-        at = low = start
-        while sign := _SIGN.search(text, at, stop):
-            # No sign is part of a target, so none reaches back over the sign before.
-            low, target = sign.end(), target_of(text[low:sign.start()])
-            at = low
-            if target is None or sign[0] in ("==", "!="):
+def block_scalar(text: str, at: int, stop: int, column: int) -> Span | None:
+    """The lines from `at` that are indented beyond the column of their key, as far as the first one's indent goes."""
+    start, end, indent = None, None, column + 1
+    while at < stop:
+        line_end = text.find("\n", at, stop)
+        line_end = stop if line_end < 0 else line_end
+        first = _BLANK.match(text, at, line_end).end()
+        if first < line_end and text[first] != "\r":
+            if first - at < indent:
+                break
+            if start is None:
+                start, indent = first, first - at
+            end = line_end - (text[line_end - 1] == "\r")
+        at = line_end + 1
+    return None if start is None else (start, end)
+
+
+def flat(value: str) -> str:
+    """A value of several lines as it is weighed: without breaks, indents and the frame of a PEM block."""
+    return "".join(line for line in map(str.strip, value.split("\n")) if not _ARMOUR.fullmatch(line))
+
+
+def statements(text: str) -> Iterator[tuple[str, list[tuple[str | None, int, int, str | None, bool]]]]:
+    """(target, terms) of each statement; a term is (name or None, start, end, value, quoted), without the value if it has several lines."""
+    # What lies inside a value of several lines is lexed too, up to its end; then reading goes on after the statement.
+    ends = [(len(text), len(text))]
+    at = low = 0
+    last_break = text.rfind("\n")
+    while True:
+        stop = ends[-1][0]
+        sign = _SIGN.search(text, at, stop)
+        if sign is None:
+            if len(ends) == 1:
+                return
+            at = low = ends.pop()[1]
+            continue
+        # No sign is part of a target, so none reaches back over the sign before.
+        gap, low = text[low:sign.start()], sign.end()
+        target, at = target_of(gap), low
+        if target is None or sign[0] in ("==", "!="):
+            continue
+        line = gap[gap.rfind("\n") + 1:]
+        if sign[0] == ":" and at <= last_break and (head := _BLOCK.match(text, at, stop)):
+            span = block_scalar(text, head.end(), stop, _KEY_INDENT.match(line).end())
+            if span:
+                yield target, [(None, *span, None, True)]
+                ends.append((span[1], span[1]))
+                at = low = span[0]
                 continue
-            at = _BLANK.match(text, at, stop).end()
-            terms = []
-            while t := _TERM.match(text, at, stop):
-                at = t.end()
-                group = t.lastgroup
-                value, (start, end) = t[group], t.span(group)
-                bare_name = group == "bare" and _NAME.match(value) is not None
-                terms.append((value if bare_name else None, start, end, value, group != "bare"))
-                joint = _JOIN.match(text, at, stop)
-                if joint is None:
+        opening = _VALUE.match(text, at, stop)
+        wrapped, inside = "\n" in text[at:opening.end()], bool(opening["open"])
+        join = _JOIN_INSIDE if inside else _JOIN
+        at = opening.end()
+        terms = []
+        while t := _TERM.match(text, at, stop):
+            group = t.lastgroup
+            value, (start, end) = t[group], t.span(group)
+            joint = join.match(text, t.end(), stop)
+            if wrapped and not terms and not inside:
+                # On the next line a key is no value; a bare word must be all of an indented line, and the target of a colon all of its own.
+                if _KEY_SIGN.match(text, t.end(), stop):
                     break
-                at = joint.end()
-            if terms:
-                yield target, terms
-                if len(terms) == 1 and not terms[0][4]:
-                    at = terms[0][1]  # a bare word may itself be the target of the next sign, as in `a = b = "c"`
+                if group == "bare" and (text[start - 1] not in " \t" or not (joint or _ENDS_LINE.match(text, t.end(), stop))
+                                        or sign[0] == ":" and line.strip(" \t\"'-") != target.strip("-")):
+                    break
+            at = t.end()
+            bare_name = group == "bare" and _NAME.match(value) is not None
+            terms.append((value if bare_name else None, start, end, None if "\n" in value else value, group != "bare"))
+            if joint is None:
+                break
+            at = joint.end()
+        if terms:
+            yield target, terms
+            if len(terms) == 1 and not terms[0][4]:
+                at = terms[0][1]  # a bare word may itself be the target of the next sign, as in `a = b = "c"`
+            elif long := [t for t in terms if t[3] is None]:
+                ends.append((long[-1][2], at))
+                at = low = long[0][1]
+        else:
+            at = low
 
 
 class Value:
@@ -212,8 +282,13 @@ class Value:
 
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive target, directly or through names, in order of their place."""
-    held: dict[str, tuple[Value, Tally | str]] = {}
+    held: dict[str, tuple[Value, Tally | str | Span]] = {}
     found: set[Span] = set()
+
+    def counted(said: Tally | str | Span) -> Tally:
+        """A value of several lines is held by its place, so that values inside values take no space of their own."""
+        return said if isinstance(said, Tally) else Tally(said if isinstance(said, str) else flat(text[slice(*said)]))
+
     for target, terms in statements(text):
         parts, tallies, quoted = [], [], False
         for name, start, end, literal, is_quoted in terms:
@@ -224,20 +299,20 @@ def literal_spans(text: str) -> list[Span]:
                 quoted = True
             elif name is None or len(terms) == 1:  # an unknown name inside a sum tells nothing
                 quoted = quoted or is_quoted
-                tallies.append(literal)
+                tallies.append((start, end) if literal is None else literal)
                 if end > start:
                     parts.append((start, end))
         # One part is kept as it is, and counted when a sensitive name is reached; sums are counted at once.
         tally = tallies[0] if len(tallies) == 1 else ""
         if len(tallies) > 1:
-            tally = tallies[0].copy() if isinstance(tallies[0], Tally) else Tally(tallies[0])
+            tally = tallies[0].copy() if isinstance(tallies[0], Tally) else counted(tallies[0])
             for t in tallies[1:]:
-                tally.add(t if isinstance(t, Tally) else Tally(t))
+                tally.add(counted(t))
         value = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
         held[target] = held[target.rpartition(".")[2]] = (value, tally)
         weight = name_weight(target)
         if weight:
-            looks = (tally if isinstance(tally, Tally) else Tally(tally)).weight()
+            looks = counted(tally).weight()
             if looks and weight * (0.45 + 0.55 * quoted) * 0.5 + looks * 0.5 * (weight > 0.3) >= THRESHOLD:
                 value.tell(found)
     return sorted(found)
