@@ -63,6 +63,14 @@ def test_random_neighbors_are_distinct_others(spark):
     assert (got.owner != got.member).all() and got.groupby("owner").member.nunique().eq(5).all() and got.owner.nunique() == 23
 
 
+@pytest.mark.parametrize("m,k", [(11, 10), (6, 10), (2, 3)])
+def test_random_neighbors_are_never_short(spark, m, k):
+    ids = spark.createDataFrame([(g, i) for g in ("a", "b") for i in range(m)], "g string, market_id bigint")
+    got = G.random_neighbors(ids, k, 7, ["g"]).toPandas()
+    assert (got.owner != got.member).all() and len(got) == 2 * m * min(k, m - 1)
+    assert got.groupby(["g", "owner"]).member.nunique().eq(min(k, m - 1)).all()
+
+
 def reduce_matrix(dist):
     """Loops by reducing the whole boundary matrix."""
     n = len(dist)

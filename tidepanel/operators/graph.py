@@ -318,7 +318,8 @@ def nearest_points(points: DataFrame, k: int, blocks: int) -> DataFrame:
 def random_neighbors(ids: DataFrame, k: int, seed: int, keys: list[str] | None = None) -> DataFrame:
     """k other markets per market of a key, drawn by digests of the seed, the owner and the draw: the placebo neighbourhood.
 
-    Each owner makes 3k + 8 draws of a place on the listed markets; repeats and the owner are passed over. No market is compared with all others.
+    Each owner makes 3k + 8 draws of a place on the listed markets; repeats and the owner are passed over. Behind them come the k + 1 places from a
+    drawn start on, so that an owner has min(k, m - 1) neighbours in any case. No market is compared with all others.
     """
     keys = list(keys or [])
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("market_id")))
@@ -327,8 +328,11 @@ def random_neighbors(ids: DataFrame, k: int, seed: int, keys: list[str] | None =
     listed = cut_lineage(listed.select(*keys, "market_id", (F.col("one_upto") - 1).alias("place")))
     sizes = listed.groupBy(*keys).agg(F.count("*").alias("m"))
     owners = (listed.join(sizes, keys) if keys else listed.withColumn("m", sizes.scalar())).select(*keys, F.col("market_id").alias("owner"), "m")
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("owner"), F.col("j"))), 1, 12), 16, 10).cast("long") % F.col("m")
-    drawn = owners.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(3 * k + 8)))).withColumn("place", draw)
+    draws, last = 3 * k + 8, F.col("j") > 3 * k + 8
+    owners = owners.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(draws + k + 1))))
+    text = F.concat_ws(":", F.lit(seed), F.col("owner"), F.when(last, F.lit(0)).otherwise(F.col("j")))
+    draw = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    drawn = owners.withColumn("place", (draw + F.when(last, F.col("j") - draws - 1).otherwise(F.lit(0))) % F.col("m"))
     met = drawn.join(listed.withColumnRenamed("market_id", "member"), [*keys, "place"]).where("member <> owner")
     first = met.groupBy(*keys, "owner", "member").agg(F.min("j").alias("j"))
     return nearest(first, [F.col("j")], k, keys).select(*keys, "owner", "member", "rank")
