@@ -10,6 +10,7 @@ import pytest
 from tidepanel.operators import graph as G
 from tidepanel.operators import learn as L
 from tidepanel.operators import topology as T
+from tidepanel.plans.graphs import all_hoods
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -71,6 +72,15 @@ def test_random_neighbors_are_never_short(spark, m, k):
     assert got.groupby(["g", "owner"]).member.nunique().eq(min(k, m - 1)).all()
 
 
+def test_neighbourhoods_of_every_method_and_size(spark, cells):
+    live = G.varying(cells.selectExpr("1 AS fold", "*"), ["fold"])
+    hoods = all_hoods(live, G.correlations(live, ["fold"], min_hours=2)).toPandas()
+    assert set(hoods.method) == {"top_corr", "random", "nearest_pca"} and (hoods.owner != hoods.member).all()
+    for (_, k, _), members in hoods.groupby(["method", "k", "owner"]).member:
+        assert members.nunique() == len(members) == min(k, 19)
+    assert hoods.groupby("method").owner.nunique().eq(20).all()
+
+
 def reduce_matrix(dist):
     """Loops by reducing the whole boundary matrix."""
     n = len(dist)

@@ -8,6 +8,7 @@ from tidepanel import fixtures as X
 from tidepanel.operators import folds as FO
 from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
+from tidepanel.operators import learn as L
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.plans.registry import query, r6
@@ -145,38 +146,102 @@ X.add_cte("hoods", f"""
       (SELECT unnest([{", ".join(map(str, G.NEIGHBOURHOOD_SIZES))}]) AS k) WHERE rank <= k""", ["tcorr"])
 X.add_cte("hood_all", "SELECT fold, method, k, owner, member FROM hoods UNION SELECT fold, method, k, owner, owner FROM hoods", ["hoods"])
 HOOD = ["fold", "method", "k"]
+KMAX = max(G.NEIGHBOURHOOD_SIZES)
+
+# Random neighbourhoods of each size, the first k of the largest one's; behind the draws come the k + 1 places from draw 0 on.
+X.add_cte("rlisted", """
+    SELECT fold, market_id, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || market_id), market_id) - 1 AS place,
+      count(*) OVER (PARTITION BY fold) AS m FROM (SELECT DISTINCT fold, market_id FROM live)""", ["live"])
+X.add_cte("rmet", f"""
+    SELECT d.fold, d.owner, l.market_id AS member, min(d.j) AS j FROM (SELECT fold, market_id AS owner, j,
+        (('0x' || substr(md5('7:' || market_id || ':' || CASE WHEN j > {3 * KMAX + 8} THEN 0 ELSE j END), 1, 12))::BIGINT + greatest(j - {3 * KMAX + 9}, 0)) % m AS place
+        FROM rlisted, (SELECT unnest(range(1, {4 * KMAX + 10})) AS j)) d JOIN rlisted l USING (fold, place) WHERE l.market_id <> d.owner GROUP BY 1, 2, 3""", ["rlisted"])
+X.add_cte("rhoods", f"""
+    SELECT fold, 'random' AS method, k, owner, member FROM (SELECT *, row_number() OVER (PARTITION BY fold, owner ORDER BY j) AS rank FROM rmet),
+      (SELECT unnest([{", ".join(map(str, G.NEIGHBOURHOOD_SIZES))}]) AS k) WHERE rank <= k""", ["rmet"])
+X.add_cte("rhood_all", "SELECT fold, method, k, owner, member FROM rhoods UNION SELECT fold, method, k, owner, owner FROM rhoods", ["rhoods"])
+
+
+def pca_neighbours(live, k):
+    """The k nearest markets of each fold's embedding; a fold with one market has none."""
+    parts = []
+    for r in live.groupBy("fold").agg(F.countDistinct("market_id").alias("n")).where("n > 1").orderBy("fold").collect():
+        points = cut_lineage(L.market_embedding(live.where(F.col("fold") == r["fold"]).drop("fold")))
+        parts.append(G.nearest_points(points, k, G.block_count(points)).select(F.lit(r["fold"]).alias("fold"), "owner", "member", "rank"))
+    return M.union_models(parts)
+
+
+def all_hoods(live, corr, methods=("top_corr", "random", "nearest_pca")):
+    """Neighbourhoods of every size by each method: correlation, random draws (the placebo), distance in the fold's components."""
+    make = {
+        "top_corr": lambda: G.top_corr_neighbors(corr, KMAX, ["fold"]),
+        "random": lambda: G.random_neighbors(live, KMAX, 7, ["fold"]),
+        "nearest_pca": lambda: pca_neighbours(live, KMAX),
+    }
+    every = M.union_models([make[m]().select("fold", F.lit(m).alias("method"), "owner", "member", "rank") for m in methods])
+    sized = every.withColumn("k", F.explode(F.array(*[F.lit(k) for k in G.NEIGHBOURHOOD_SIZES]))).where("rank <= k")
+    return cut_lineage(sized.select("fold", "method", "k", "owner", "member"))
+
+
+def hood_topology_sql(hoods):
+    return with_graph(
+        f"{hoods} tcorr cuts", f"SELECT fold, method, k, owner, t, member AS node FROM {hoods}, cuts",
+        f"SELECT x.fold, x.method, x.k, x.owner, t, c.a, c.b FROM {hoods} x JOIN {hoods} y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner "
+        "AND x.member < y.member JOIN tcorr c ON c.fold = x.fold AND c.a = x.member AND c.b = y.member, cuts WHERE round(abs(c.r), 9) >= t",
+        [*HOOD, "owner", "t"])
+
+
+def hood_topology(spark, d, method):
+    live = train_cells(spark, d)
+    corr = train_corr(live)
+    return r_all(G.neighborhood_graphs(all_hoods(live, corr, [method]), corr, HOOD), "t")
 
 
-def all_hoods(live, corr):
-    """Neighbourhoods by correlation of every size."""
-    top = G.top_corr_neighbors(corr, max(G.NEIGHBOURHOOD_SIZES), ["fold"])
-    sized = top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in G.NEIGHBOURHOOD_SIZES]))).where("rank <= k")
-    return cut_lineage(sized.select("fold", F.lit("top_corr").alias("method"), "k", "owner", "member"))
+@query("neighborhood_topology", hood_topology_sql("hood_all"))
+def neighborhood_topology(spark, d):
+    return hood_topology(spark, d, "top_corr")
 
 
-@query("neighborhood_topology", with_graph(
-    "hood_all tcorr cuts", "SELECT fold, method, k, owner, t, member AS node FROM hood_all, cuts",
-    "SELECT x.fold, x.method, x.k, x.owner, t, c.a, c.b FROM hood_all x JOIN hood_all y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner "
-    "AND x.member < y.member JOIN tcorr c ON c.fold = x.fold AND c.a = x.member AND c.b = y.member, cuts WHERE round(abs(c.r), 9) >= t",
-    [*HOOD, "owner", "t"]))
-def neighborhood_topology(spark, d):
-    live = train_cells(spark, d)
-    corr = train_corr(live)
-    return r_all(G.neighborhood_graphs(all_hoods(live, corr), corr, HOOD), "t")
+@query("neighborhood_topology_random", hood_topology_sql("rhood_all"))
+def neighborhood_topology_random(spark, d):
+    return hood_topology(spark, d, "random")
+
 
+@query("neighborhood_topology_pca")
+def neighborhood_topology_pca(spark, d):
+    return hood_topology(spark, d, "nearest_pca")
 
-@query("neighborhood_controls", X.with_views("hood_all tcorr live", """
-    WITH e AS (SELECT x.fold, x.method, x.k, x.owner, avg(abs(coalesce(c.r, 0))) AS m, stddev_pop(abs(coalesce(c.r, 0))) AS s FROM hood_all x
-      JOIN hood_all y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner AND x.member < y.member
+
+def hood_controls_sql(hoods):
+    return X.with_views(f"{hoods} tcorr live", f"""
+    WITH e AS (SELECT x.fold, x.method, x.k, x.owner, avg(abs(coalesce(c.r, 0))) AS m, stddev_pop(abs(coalesce(c.r, 0))) AS s FROM {hoods} x
+      JOIN {hoods} y ON x.fold = y.fold AND x.method = y.method AND x.k = y.k AND x.owner = y.owner AND x.member < y.member
       LEFT JOIN tcorr c ON c.fold = x.fold AND c.a = x.member AND c.b = y.member GROUP BY ALL),
     q AS (SELECT fold, method, k, owner, avg(m) AS m, avg(s) AS s FROM (SELECT h.fold, h.method, h.k, h.owner, l.ts, avg(l.p) AS m, stddev_pop(l.p) AS s
-      FROM hood_all h JOIN live l ON l.fold = h.fold AND l.market_id = h.member GROUP BY ALL) GROUP BY ALL)
+      FROM {hoods} h JOIN live l ON l.fold = h.fold AND l.market_id = h.member GROUP BY ALL) GROUP BY ALL)
     SELECT fold, method, k, owner, round(e.m, 6) AS corr_mean_abs, round(e.s, 6) AS corr_std_abs, round(q.m, 6) AS prob_mean, round(q.s, 6) AS prob_std
-    FROM e JOIN q USING (fold, method, k, owner)"""))
-def neighborhood_controls(spark, d):
+    FROM e JOIN q USING (fold, method, k, owner)""")
+
+
+def hood_controls(spark, d, method):
     live = train_cells(spark, d)
     corr = train_corr(live)
-    return r_all(G.neighborhood_controls(all_hoods(live, corr), corr, live, HOOD))
+    return r_all(G.neighborhood_controls(all_hoods(live, corr, [method]), corr, live, HOOD))
+
+
+@query("neighborhood_controls", hood_controls_sql("hood_all"))
+def neighborhood_controls(spark, d):
+    return hood_controls(spark, d, "top_corr")
+
+
+@query("neighborhood_controls_random", hood_controls_sql("rhood_all"))
+def neighborhood_controls_random(spark, d):
+    return hood_controls(spark, d, "random")
+
+
+@query("neighborhood_controls_pca")
+def neighborhood_controls_pca(spark, d):
+    return hood_controls(spark, d, "nearest_pca")
 
 
 @query("leakage_control", X.with_views("dense folds", f"""
