@@ -153,3 +153,12 @@ def test_variance_shares(spark, monkeypatch):
     assert np.allclose(L.variance_shares(df, "z")[:5], want[:5])
     monkeypatch.setattr(L, "COMPONENTS", 3)
     assert np.allclose(L.variance_shares(df, "z"), want[:3])
+
+
+def test_unreached_shares_are_told_from_an_empty_panel(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(30, 12))
+    df = spark.createDataFrame([(DAY + dt.timedelta(hours=t), m, float(x[t, m])) for t in range(30) for m in range(12)], "ts timestamp_ntz, market_id int, p double")
+    monkeypatch.setattr(L, "COMPONENTS", 3)
+    got = L.compressibility(df)
+    assert got["pc_85"] is None and got["components_found"] == 3 and 0 < got["share_reached"] < 0.85
+    assert L.compressibility(df.where("market_id = 0"))["components_found"] is None

@@ -175,11 +175,11 @@ def variance_shares(cells: DataFrame, value: str) -> np.ndarray:
 
 
 def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
-    """How few components carry a panel; empty below two varying columns or a day of hours."""
+    """How few components carry a panel, how many were found and what share they reach; empty below two varying columns or a day of hours."""
     stats = cells.groupBy("market_id").agg(
         F.avg("p").alias("m"), F.sum((F.col("p")) ** 2).alias("q"), F.count("p").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("hi > lo")
     hours, cols = cells.agg(F.countDistinct("ts")).first()[0], stats.count()
-    names = ("pc_85", "pc_90", "pc_95", "pc1_variance", "pc2_cumulative_variance", "pc5_cumulative_variance")
+    names = ("pc_85", "pc_90", "pc_95", "pc1_variance", "pc2_cumulative_variance", "pc5_cumulative_variance", "components_found", "share_reached")
     if cols < 2 or hours < 24:
         return dict.fromkeys(names)
     # Missing hours are filled with the mean, so they add nothing to the spread.
@@ -187,7 +187,8 @@ def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
     z = cells.join(stats, "market_id").select("ts", "market_id", ((F.col("p") - F.col("m")) / spread).alias("z"))
     total = np.cumsum(variance_shares(z, "z"))
     reach = lambda s: int(np.searchsorted(total, s) + 1) if total[-1] >= s else None
-    return dict(zip(names, (reach(0.85), reach(0.90), reach(0.95), float(total[0]), float(total[min(1, len(total) - 1)]), float(total[min(4, len(total) - 1)]))))
+    return dict(zip(names, (reach(0.85), reach(0.90), reach(0.95), float(total[0]), float(total[min(1, len(total) - 1)]), float(total[min(4, len(total) - 1)]),
+                            len(total), float(total[-1]))))
 
 
 def market_embedding(cells: DataFrame, dims: int = 5) -> DataFrame:

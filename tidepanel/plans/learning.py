@@ -199,7 +199,8 @@ def pca_compressibility(spark, d):
         ids = Q.candidate_membership(m, [spec]).where("in_panel").select("market_id")
         cells = cut_lineage(P.overlap_panel(J.semi(filled, ids, "market_id"), J.semi(h, ids, "market_id")))
         rows.append((spec["universe"], *L.compressibility(cells).values()))
-    return r_all(spark.createDataFrame(rows, "universe string, pc_85 int, pc_90 int, pc_95 int, pc1_variance double, pc2_cumulative_variance double, pc5_cumulative_variance double"))
+    return r_all(spark.createDataFrame(rows, "universe string, pc_85 int, pc_90 int, pc_95 int, pc1_variance double, pc2_cumulative_variance double, pc5_cumulative_variance double, "
+                                        "components_found int, share_reached double"))
 
 
 @query("pca_reconstruction_backtest")
