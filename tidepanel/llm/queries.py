@@ -18,6 +18,7 @@ from tidepanel.llm import near as D
 from tidepanel.llm import neighbours as N
 from tidepanel.llm import secrets as S
 from tidepanel.llm import toxicity as T
+from tidepanel.llm import trie as E
 from tidepanel.llm.common import prepare, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +209,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is selected for the mix, with its leaf and the leaf's tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix_documents(docs).select("row.doc_id", "domain", "lang", "source", "n_tokens", "given", "copies")
+
+
+# Conversations rebuilt on the first turns of another; a node is the text of its turns' digests. The CRC goes byte by byte over a table made by its rule.
+TRIE_SQL = """
+    WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+                 FROM range(256) r(i)),
+    own AS (SELECT conv_id, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) AS pos, s FROM (
+            SELECT *, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+    built AS (SELECT c.conv_id, b.pos, b.s, b.size FROM convs c JOIN own b ON b.conv_id = c.base AND b.pos <= c.h
+              UNION ALL SELECT c.conv_id, o.pos + 8, o.s, o.size FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+    prefixes AS (SELECT conv_id, 0 AS depth, '' AS key, 0 AS size FROM convs
+                 UNION ALL SELECT conv_id, row_number() OVER w, string_agg(s, '') OVER w, size FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+    nodes AS (SELECT key, depth, left(key, 32 * (depth - 1)) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved
+              FROM prefixes GROUP BY key, depth),
+    kids AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+    below AS (SELECT left(key, 32 * d) AS key, sum((n_children IS NULL)::INT) AS n_leaves, sum(saved) AS saved_tokens
+              FROM (SELECT n.*, k.n_children, unnest(range(n.depth + 1)) AS d FROM nodes n LEFT JOIN kids k USING (key)) GROUP BY 1),
+    ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(key, depth) AS key FROM prefixes GROUP BY conv_id) GROUP BY key)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves,
+           saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM nodes n LEFT JOIN nodes p ON p.key = n.parent AND n.depth > 0 LEFT JOIN kids k ON k.key = n.key JOIN below b ON b.key = n.key LEFT JOIN ends e ON e.key = n.key"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the conversations, each rebuilt on the first turns of the conversation its id is rounded down to."""
+    seqs = E.sequences(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return E.prefix_trie(E.grafted(seqs, c - c % 5, remainder(c, 9), 8))
