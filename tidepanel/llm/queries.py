@@ -16,6 +16,7 @@ from tidepanel.llm import lines as L
 from tidepanel.llm import mixing as M
 from tidepanel.llm import near as D
 from tidepanel.llm import neighbours as N
+from tidepanel.llm import runs as R
 from tidepanel.llm import secrets as S
 from tidepanel.llm import toxicity as T
 from tidepanel.llm import trie as E
@@ -240,3 +241,29 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = E.sequences(table(spark, sf_dir, "conversations"))
     c = F.col("conv_id")
     return E.prefix_trie(E.grafted(seqs, c - c % 5, remainder(c, 9), 8))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by the CRC of its id repeats a stretch of its own words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    g = F.floor(h / 10)
+    told = docs.select("doc_id", "text", g.alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"))
+    told = told.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    told = told.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    made = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i)))
+    return told.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words in each text, the strongest of them, and digests of all runs and of the collapsed text."""
+    found = R.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    stronger = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    first = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(stronger(r, best), r).otherwise(best))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", first).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
