@@ -73,3 +73,16 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows joined with the class of their key; `size` of a class is the number of its rows, and goes.
+
+    Both should be read from files. A class of more than a thousandth of the rows would meet in one task. There are at most a thousand such classes,
+    whatever the input, so they are broadcast; all others are joined by shuffle.
+    """
+    total = rows.count()
+    large = F.col(size) * 1000 > total
+    hot = F.broadcast(classes.where(large).drop(size))
+    others = rows.join(F.broadcast(classes.where(large).select(*key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(classes.where(~large).drop(size), key))

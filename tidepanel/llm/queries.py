@@ -18,6 +18,7 @@ from tidepanel.llm import near as D
 from tidepanel.llm import neighbours as N
 from tidepanel.llm import runs as R
 from tidepanel.llm import secrets as S
+from tidepanel.llm import simhash as H
 from tidepanel.llm import toxicity as T
 from tidepanel.llm import trie as E
 from tidepanel.llm.common import prepare, remainder, table
@@ -267,3 +268,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash fingerprint of each document and the component of linked fingerprints it is in."""
+    found = H.near_groups(table(spark, sf_dir, "documents"), H.Settings())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
