@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
 from tidepanel.llm import near as D
@@ -99,11 +100,34 @@ def test_edges(edges):
     assert ordered(D.near_groups(edges).collect()) == ordered(plain(rows, 5))
     kept = D.keep_one(edges)
     assert kept.columns == edges.columns
-    gone = {i for i, _, _, k in plain(rows, 5) if not k and i is not None}
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in gone), key=str)
+    empty = [i for i, n, _, _ in plain(rows, 5) if not n]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*empty, *{c for _, n, c, _ in plain(rows, 5) if n}], key=str)
     assert D.near_groups(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("from_files", [False, True])
+def test_one_row_of_each_component_stays(corpus, tmp_path, from_files):
+    """An id met twice, once as a near copy and once alone; near copies without ids; repeated rows."""
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    lone = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (None, lone), (None, lone + " y"), (None, lone), (3, ""), (3, ""), (None, None)]
+    corpus.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(7)).write.parquet(f"{tmp_path}/d")
+    kept = D.keep_one(corpus.read.parquet(f"{tmp_path}/d"), from_files=from_files)
+    assert kept.columns == ["doc_id", "text", "row"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got in [sorted([(1, " ".join(base)), (2, other), (None, t), (3, ""), (3, ""), (None, None)], key=str) for t in (lone, lone + " y")]
+
+
+def test_a_third_of_the_rows_in_one_class(corpus):
+    rng = random.Random(4)
+    hot = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(hot)) for i in range(0, 1200, 3)] + [(i, " ".join(edited(rng, hot, 1))) for i in range(1, 1200, 3)]
+    rows += [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(2, 1200, 3)]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(D.near_groups(docs, D.Settings(words=4)).collect()) == ordered(plain(rows, 4))
+
+
 def test_query(corpus):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in corpus.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -11,7 +11,8 @@ have an empty set and are linked with nothing.
    shares, and a block tells only the links that join components. So a bucket of any size is worked off completely, by as many tasks
    as it needs, and no list of its pairs is written.
 4. A pair must pass its signature (six deviations below the threshold) and then its full sets, which only candidates build again: a bit
-   set of fixed size tells each scan which texts may be wanted, and a join removes the false hits.
+   set of fixed size tells each scan which texts may be wanted, and a join removes the false hits. Candidates of a pivot stream past the
+   pivot's set, so a task holds one set and no row carries two.
 5. Components come from alternating large-star and small-star steps, each written to the shared folder.
 
 A link at the threshold is missed with a probability of (1 - s^rows)^bands, 5e-6 for the defaults. Repeated rows are documents of their own
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import BITS, bit_set, maybe_in, spread, texts, written
+from tidepanel.llm.common import BITS, bit_set, join_classes, maybe_in, spread, texts, written
 
 #: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block.
 SEGMENT, CHUNK, BLOCK = 1 << 20, 1 << 16, 1 << 20
@@ -170,10 +171,6 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
     return rows.mapInArrow(run, f"row long, doc_id {kind}, text_hash long, n long, d1 long, d2 long, bands array<bigint>, signature binary")
 
 
-def close_enough(common: str, left: str, right: str, percent: int):
-    return F.expr(f"100 * {common} >= {percent} * ({left} + {right} - {common})")
-
-
 class Search:
     """Classes, their buckets, and the confirmation of candidate pairs."""
 
@@ -181,8 +178,8 @@ class Search:
         self.docs, self.settings = docs, settings
         self.all = written(signed(docs, settings), "near-signed")
         thin = self.all.select("row", "doc_id", "n", "d1", "d2")
-        classes = thin.groupBy("d1", "d2", "n").agg(F.min("row").alias("cls"))
-        self.members = written(thin.join(classes, ["d1", "d2", "n"]).select("row", "doc_id", "n", "cls"), "near-members")
+        classes = thin.groupBy("d1", "d2", "n").agg(F.min("row").alias("cls"), F.count("*").alias("size"))
+        self.members = written(join_classes(thin, written(classes, "near-told"), ["d1", "d2", "n"], "size").select("row", "doc_id", "n", "cls"), "near-members")
         first = self.members.where("row = cls and n > 0").select("row")
         reps = self.all.join(first, "row", "left_semi").withColumnRenamed("row", "cls")
         self.classes = written(reps, "near-classes")
@@ -191,24 +188,45 @@ class Search:
         self.buckets = written(keyed.drop("n").join(shared, "key"), "near-buckets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that pass their sizes, their signatures and their full sets; written."""
+        """The pairs (pivot, cls) that pass their sizes, their signatures and their full sets, as links (a, b); written."""
         low, percent = self.settings.least_matches, self.settings.percent
         sig = self.classes.select("cls", "n", "signature")
-        both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
-        both = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+        both = pairs.join(sig.toDF("pivot", "np", "sp"), "pivot").join(sig.toDF("cls", "nc", "sc"), "cls")
+        both = both.where(F.expr(f"100 * least(np, nc) >= {percent} * greatest(np, nc)"))
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                    yield batch.select(["a", "b", "na", "nb"]).filter(pa.array((left == right).sum(axis=1) >= low))
-
-        candidates = written(both.mapInArrow(alike, "a long, b long, na long, nb long"), "near-candidates")
-        named = candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))).distinct()
-        sets = self.sets_of(named)
-        joined = candidates.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        common = joined.withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
-        return written(common.where(close_enough("common", "na", "nb", percent)).select("a", "b"), "near-links")
+                    left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sp", "sc"))
+                    yield batch.select(["pivot", "cls", "nc"]).filter(pa.array((left == right).sum(axis=1) >= low))
+
+        candidates = written(both.mapInArrow(alike, "pivot long, cls long, nc long"), "near-candidates")
+        sets = self.sets_of(candidates.select("cls").union(candidates.select("pivot")).distinct())
+        # A pivot with many candidates is copied to slots of bounded size; a slot streams its candidates past the pivot's set.
+        slots = candidates.groupBy("pivot").agg(F.ceil(F.sum("nc") / BLOCK).cast("long").alias("slots"))
+        dealt = candidates.join(slots, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), "slots").alias("slot"), "cls")
+        heads = slots.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.col("pivot").alias("cls"))
+        rows = heads.withColumn("own", F.lit(0)).union(dealt.withColumn("own", F.lit(1))).join(sets, "cls")
+        rows = rows.repartition("pivot", "slot").sortWithinPartitions("pivot", "slot", "own")
+
+        def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, mine = None, None
+            for batch in batches:
+                pivot, slot, cls, own = (batch.column(c).to_numpy() for c in ("pivot", "slot", "cls", "own"))
+                shingles, found = batch.column("shingles"), []
+                for k in range(batch.num_rows):
+                    theirs = shingles[k].values.to_numpy()
+                    if not own[k]:
+                        held, mine = (pivot[k], slot[k]), np.sort(theirs)
+                        continue
+                    if held != (pivot[k], slot[k]):
+                        raise ValueError("a candidate without its pivot")
+                    common = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum())
+                    if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                        found.append((min(pivot[k], cls[k]), max(pivot[k], cls[k])))
+                yield pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        return written(rows.mapInArrow(verified, "a long, b long"), "near-links")
 
     def sets_of(self, named: DataFrame) -> DataFrame:
         """cls and shingles of the named classes, built again from their texts; written."""
@@ -245,8 +263,7 @@ class Search:
     def stars(self, rows: DataFrame, best) -> DataFrame:
         """Pairs of each bucket's member that is least by `best` with its other members of other components."""
         pivot = rows.groupBy("key").agg(F.min(F.struct(best.alias("best"), F.col("cls").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p")).select("key", "p.pivot", "p.pivot_comp")
-        met = rows.join(pivot, "key").where("cls <> pivot and comp <> pivot_comp")
-        return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+        return rows.join(pivot, "key").where("cls <> pivot and comp <> pivot_comp").select("pivot", "cls").distinct()
 
     def rest(self, rows: DataFrame) -> DataFrame:
         """Links between members of different components, found block by block on full sets: enough of them to join what they join; written."""
@@ -334,9 +351,9 @@ def stars_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("cls").alias("a"), F.col("comp").alias("b"))
 
 
-def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    search = Search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), settings)
+def placed_rows(docs: DataFrame, settings: Settings) -> DataFrame:
+    """row, doc_id, n, component_id and first_row (the row of that id in the component, the least one) of every row of `docs` (doc_id, text)."""
+    search = Search(docs, settings)
     alone = search.buckets.withColumn("comp", F.col("cls"))
     links = search.confirmed(search.stars(alone, F.lit(0)))
     labels = components(links)
@@ -346,14 +363,35 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     known = left.join(ends, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     labels = components(stars_of(labels).union(search.confirmed(search.stars(known, -F.col("degree")))))
     labels = components(stars_of(labels).union(search.rest(search.apart(labels).where("size > 2"))))
-    placed = search.members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("doc_id", "n", "comp", "row")
+
+    # Ids are compared among classes, then told to the rows, so that a class or component of any size meets in no task.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row").alias("first_row"))).alias("first")
+    classes = written(search.members.where("n > 0").groupBy("cls").agg(F.count("*").alias("size"), first), "near-firsts")
+    placed = written(classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-placed")
+    named = written(placed.groupBy("comp").agg(F.count("*").alias("classes"), F.min("first").alias("least")), "near-named")
+    told = join_classes(placed.select("cls", "size", "comp"), named, ["comp"], "classes")
+    told = written(told.select("cls", "size", F.col("least.doc_id").alias("component_id"), "least.first_row"), "near-ids")
     # An empty set is linked with nothing, not even with its like.
-    placed = placed.withColumn("comp", F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("comp")))
-    named = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(named, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    empty = search.members.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("row").alias("first_row"))
+    return join_classes(search.members.where("n > 0"), told, ["cls"], "size").select("row", "doc_id", "n", "component_id", "first_row").union(empty)
 
 
-def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: the one with the smallest id of each component."""
-    gone = written(near_groups(docs, settings, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)), "near-gone")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    rows = placed_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), settings)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns: one row of each component, with its smallest id (nulls last), the first of repeated ones.
+
+    Rows are told by their place. A table that is computed is written first, since its rows may come in another order next time; one that is
+    read `from_files` is not.
+    """
+    docs = docs if from_files else written(docs, "near-input")
+    gone = placed_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), settings).where("row <> first_row")
+    at = "row"
+    while at in docs.columns:
+        at += "_"
+    numbered = docs.withColumn(at, F.monotonically_increasing_id())
+    return numbered.join(written(gone.select(F.col("row").alias(at)), "near-gone"), at, "left_anti").select(docs.columns)
