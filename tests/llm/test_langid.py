@@ -1,4 +1,9 @@
+import math
+import re
+import unicodedata
+
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
@@ -36,3 +41,46 @@ def test_few_languages(edges, languages, expected):
     r = next(r for r in G.identify(edges, model).collect() if r.row.doc_id == 1)
     assert (r.lang_pred, r.score) == expected
     assert len(G.identify(edges, model).collect()) == len(EDGES)
+
+
+def plain(text, model):
+    """Language and sizes by fresh encoders for every block."""
+    said = "".join(ch if unicodedata.category(ch)[0] in "LM" or ch in "'’" else " " for ch in text.lower())
+    data = f" {re.sub(' +', ' ', said)} ".encode()
+    found = []
+    for content in model.contents:
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=12)
+        size = 0
+        for i in range(0, len(data), 16384):
+            one = zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size += len(one.compress(b"0123456789 " * 8 + data[i:i + 16384]))
+        found.append(size)
+    return model.languages[found.index(min(found))], found
+
+
+def test_query_against_plain_classifier(corpus):
+    sf = "/root/testdata/sf0.001"
+    docs = corpus.read.parquet(f"{sf}/documents.parquet")
+    train = F.udf(lambda i: crc_mod(i, 4) != 2, "boolean")
+    model = G.fit(docs, train("doc_id"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op2_language"](corpus, sf).collect():
+        if any(map(str.isalpha, texts[r.doc_id])):
+            best, found = plain(texts[r.doc_id], model)
+            least, second = sorted(found)[:2]
+            assert (r.lang_pred, r.margin) == (best, (second - least) / second)
+            assert abs(r.score - 1 / sum(math.exp((least - x) / 6) for x in found)) < 1e-9 and r.rejected == (r.margin < 0.005)
+
+
+def test_marks_stay():
+    for text in ("हिन्दी भाषा में लिखा", "ภาษาไทยเขียนแบบนี้", "l'été d’hiver"):
+        assert G.prepared(text).decode().strip() == text
+
+
+def test_no_switch_by_length(corpus):
+    """One dictionary for texts of any length: a text around a kilobyte keeps its language as it grows."""
+    docs = corpus.read.parquet(f"{SF}/documents.parquet")
+    model = G.fit(docs, F.lit(True))
+    base = "the people of the town went to the market and bought some bread for the children "
+    assert {G.classify(base * n, model)[0] for n in (1, 5, 12, 13, 14, 200, 500)} == {"en"}

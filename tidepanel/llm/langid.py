@@ -1,9 +1,9 @@
 """Language identification by compression.
 
-Each language has raw-content zstandard dictionaries made of training texts. A text is encoded with every language's dictionary and
-takes the language of the fewest bytes. Long texts are encoded in blocks, each against the dictionary alone, so every part of the text
-counts alike; short texts are set in a neutral carrier, because a block of a few bytes would be stored raw whatever the dictionary, and
-use a fuller dictionary at a slower level. The call is rejected when the runner-up is within `margin` of the winner.
+Each language has a raw-content zstandard dictionary made of training texts. A text is encoded with every language's dictionary and
+takes the language of the fewest bytes. It is encoded in blocks, each against the dictionary alone, so every part of the text counts
+alike, and every block is set in a neutral carrier, because a few bytes alone would be stored raw whatever the dictionary. All texts, short
+or long, meet the same dictionaries at the same level. The call is rejected when the runner-up is within `margin` of the winner.
 
 Training reads `sample` windows of `window` code points per language at most, taken by hash over all labelled rows; each dictionary is
 thus bounded whatever the table. Null and letterless texts are `und` with score 0, as is everything when no language was learned; with
@@ -12,13 +12,13 @@ one language every text with a letter has it, with score 1. Ties go to the langu
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +28,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 256  # windows of a language's fuller dictionary
-    few: int = 64  # windows of its block dictionary
+    sample: int = 256  # windows of a language's dictionary
     window: int = 2000  # code points of a window
-    block: int = 4096  # bytes encoded at once
-    short: int = 1024  # bytes of a text that gets the fuller dictionary
-    levels: tuple[int, int] = (5, 12)  # of blocks and of short texts
+    block: int = 16384  # bytes encoded at once
+    level: int = 12
     margin: float = 0.005  # share of the runner-up's bytes by which the winner must be smaller
     temperature: float = 6.0  # bytes by which a language must be smaller to be e times as likely
 
@@ -41,16 +39,16 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    contents: tuple[tuple[bytes, bytes], ...]  # block and fuller dictionary of each
+    contents: tuple[bytes, ...]  # the dictionary of each
     settings: Settings = Settings()
 
 
 CARRIER = b"0123456789 " * 8
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}'’]+")
 
 
 def prepared(text: str) -> bytes:
-    """Lower-case words with single blanks: marks and digits tell no language, and would keep words from matching."""
+    """Lower-case words of letters, combining marks and apostrophes with single blanks: digits and signs tell no language, and would keep words from matching."""
     return f" {_OTHER.sub(' ', text.lower())} ".encode()
 
 
@@ -65,27 +63,24 @@ def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text",
     for r in sorted(kept, key=lambda r: (r["lang"], r["bucket"])):
         contents.setdefault(r["lang"], []).append(prepared(r["part"]))
     names = tuple(sorted(contents))
-    return Model(names, tuple((b"\n".join(contents[x][: settings.few]), b"\n".join(contents[x])) for x in names), settings)
+    return Model(names, tuple(b"\n".join(contents[x]) for x in names), settings)
 
 
-@lru_cache(maxsize=2)
-def encoders(model: Model) -> tuple[list[zstandard.ZstdCompressor], list[zstandard.ZstdCompressor]]:
-    def one(content: bytes, level: int) -> zstandard.ZstdCompressor:
+@lru_cache(maxsize=1)
+def encoders(model: Model) -> list[zstandard.ZstdCompressor]:
+    def one(content: bytes) -> zstandard.ZstdCompressor:
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=level)
+        words.precompute_compress(level=model.settings.level)
         return zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    return tuple([one(c[i], model.settings.levels[i]) for c in model.contents] for i in (0, 1))
+    return [one(c) for c in model.contents]
 
 
 def sizes(text: str, model: Model) -> np.ndarray:
     """Bytes of the whole text under each language's dictionary."""
-    blocks, full = encoders(model)
     data, step = prepared(text), model.settings.block
-    if len(data) <= model.settings.short:
-        data = CARRIER + data
-        return np.array([len(e.compress(data)) for e in full])
-    return np.array([sum(len(e.compress(data[i:i + step])) for i in range(0, len(data), step)) for e in blocks])
+    blocks = [CARRIER + data[i:i + step] for i in range(0, len(data), step)]
+    return np.array([sum(len(e.compress(b)) for b in blocks) for e in encoders(model)])
 
 
 def classify(text: str | None, model: Model) -> tuple[str, float, float, bool]:
