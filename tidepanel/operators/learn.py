@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -122,14 +122,12 @@ class Components:
         return remain(x)
 
 
-def fit_components(train: DataFrame, width: int | None = None) -> Components:
-    """All components of the array column `x`; each is signed so that its largest loading is positive."""
-    width = width or train.select(F.size("x")).first()[0]
-    model = PCA(k=width, inputCol="v", outputCol="s").fit(train.select(array_to_vector("x").alias("v")))
-    mean = np.array(train.agg(*[F.avg(F.col("x")[i]) for i in range(width)]).first())
-    basis = model.pc.toArray()
+def components_of(mean: np.ndarray, cov: np.ndarray) -> Components:
+    """All components of a covariance; each is signed so that its largest loading is positive."""
+    values, basis = np.linalg.eigh(cov)
+    values, basis = np.maximum(values[::-1], 0.0), basis[:, ::-1]
     top = np.abs(basis).argmax(axis=0)
-    return Components(basis * np.where(basis[top, np.arange(basis.shape[1])] < 0, -1.0, 1.0), model.explainedVariance.toArray(), mean)
+    return Components(basis * np.where(basis[top, np.arange(basis.shape[1])] < 0, -1.0, 1.0), values / values.sum(), mean)
 
 
 def component_counts(ratio: np.ndarray, limit: int) -> dict[str, int]:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidepanel import fixtures as X
 from tidepanel.operators import evaluate as E
+from tidepanel.operators import fits as T
 from tidepanel.operators import folds as FO
 from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
 from tidepanel.operators import learn as L
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
-from tidepanel.operators import topology as T
+from tidepanel.operators import topology as Y
 from tidepanel.plans.graphs import K, neighbours, train_cells, train_corr
 from tidepanel.plans.panels import FAMILY_PIVOT
 from tidepanel.plans.quality import SPECS, pool
@@ -36,7 +39,7 @@ class Setup:
     """Panel, folds and scaled state shared by the queries below, written once per query."""
 
     def __init__(self, spark, d):
-        self.inputs = X.Inputs(spark, d)
+        self.inputs, self.fitted = X.Inputs(spark, d), {}
 
     # Each table is built and written when a query first asks for it.
     hourly = property(lambda self: self.inputs.hourly)
@@ -60,10 +63,15 @@ class Setup:
     def vectors(self, clip=None):
         return cut_lineage(L.state_vectors(self.scaled(clip), ["fold"]))
 
+    def bases(self, vectors):
+        """The components of every fold, from one pass over its training hours."""
+        train = vectors.join(self.members.where("split = 'train'").select("fold", "ts"), ["fold", "ts"], "left_semi")
+        return {int(f): L.components_of(mean, cov) for f, (_, mean, cov) in T.covariances(train, "fold").items()}
+
     def components(self, vectors, fold):
-        train = self.members.where((F.col("split") == "train") & (F.col("fold") == fold)).select("ts")
-        mine = vectors.where(F.col("fold") == fold)
-        return mine, L.fit_components(mine.join(train, "ts", "left_semi"))
+        if self.fitted.get("of") is not vectors:
+            self.fitted = {"of": vectors} | self.bases(vectors)
+        return vectors.where(F.col("fold") == fold), self.fitted[fold]
 
     def modelling_rows(self, fold, vectors=None, k=2):
         """Train and test rows of a fold with the first k component scores."""
@@ -268,28 +276,56 @@ def tag(result, fold, model):
     return result[0].select(F.lit(fold).alias("fold"), F.lit(model).alias("model"), *keep)
 
 
+def project(vectors, bases, k):
+    """fold, ts and pca_1 .. pca_k: the scores of every hour in its fold's first k components."""
+    held = {f: (c.mean, c.loadings[:, :k]) for f, c in bases.items()}
+    row = "fold int, ts timestamp_ntz, " + ", ".join(f"pca_{i + 1} double" for i in range(k))
+
+    def run(frames):
+        for pdf in frames:
+            for fold, at in pdf.groupby("fold").groups.items():
+                mean, basis = held[fold]
+                scores = (np.vstack(pdf.loc[at, "x"].to_numpy()) - mean) @ basis
+                told = pd.DataFrame(np.c_[scores, np.zeros((len(scores), k - scores.shape[1]))], columns=[f"pca_{i + 1}" for i in range(k)])
+                told.insert(0, "ts", pdf.loc[at, "ts"].to_numpy())
+                told.insert(0, "fold", fold)
+                yield told
+
+    return vectors.select("fold", "ts", "x").mapInPandas(run, row)
+
+
+def fold_design(s, k=2):
+    """Rows of every fold and split with the fold's component scores."""
+    v = s.vectors()
+    return s.rows.join(s.members, "ts").join(project(v, s.bases(v), k), ["fold", "ts"])
+
+
+KEEP = ["fold", "ts", "market_id", "y"]
+
+
 @query("logistic_forecast")
 def logistic_forecast(spark, d):
-    def fit(s, fold, train, test):
-        out = [test.select(F.lit(fold).alias("fold"), F.lit("market").alias("model"), "ts", "market_id", "y", F.col("p").alias("p_hat"))]
-        for name, balanced in (("pca_standard", False), ("pca_balanced", True)):
-            got = L.forecast(train, test, PCA, balanced=balanced, c=0.01)
-            out += [tag(got, fold, name)] if got else []
-        return out
+    """The price against the price and two components, plain and with balanced classes: all folds fitted together."""
+    s = Setup(spark, d)
+    fits = [T.Fit("pca_standard", tuple(PCA), 0.01), T.Fit("pca_balanced", tuple(PCA), 0.01, balanced=True)]
+    fitted = T.Fitted(T.Design(fold_design(s), ["fold"], PCA, KEEP), fits)
+    market = s.rows.join(s.members.where("split = 'test'"), "ts").select("fold", F.lit("market").alias("model"), "ts", "market_id", F.col("y").cast("double").alias("y"), F.col("p").alias("p_hat"))
+    return scored(market.unionByName(fitted.tested()), "fold", "model")
 
-    return scored(run_folds(spark, d, fit), "fold", "model")
+
+TARGETS = ("abs_move_24h", "abs_move_72h", "abs_error", "squared_error")
 
 
 @query("ridge_forecast")
 def ridge_forecast(spark, d):
+    """Ridge fits of the coming moves and of the price's error, every fold and target fitted together."""
     s = Setup(spark, d)
-    v = s.vectors()
-    parts = []
-    for fold in s.fold_ids():
-        train, test = (P.future_targets(x, s.cells).where("abs_move_24h IS NOT NULL") for x in s.modelling_rows(fold, v))
-        got = L.forecast(train, test, PCA, kind="ridge", y="abs_move_24h")
-        parts.append(got[0].select(F.lit(fold).alias("fold"), "abs_move_24h", "y_hat"))
-    return r_all(E.score_regression(M.union_models(parts), ["fold"], "abs_move_24h", "y_hat"))
+    rows = P.future_targets(fold_design(s), s.cells)
+    targets = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("v")) for t in TARGETS])
+    rows = rows.withColumn("t", F.explode(targets)).where("t.v IS NOT NULL").withColumns({"target": F.col("t.target"), "y": F.col("t.v")}).drop("t")
+    fitted = T.Fitted(T.Design(rows, ["fold", "target"], PCA, ["fold", "target", "ts", "market_id", "y"]), [T.Fit("ridge_pca", tuple(PCA), 1.0, "ridge")])
+    told = fitted.predictions(fitted.design.rows.where("split = 'test'"))
+    return r_all(E.score_regression(told, ["fold", "target"], "y", "hat"))
 
 
 @query("boosted_trees_forecast")
@@ -333,9 +369,9 @@ def coefficient_effects(spark, d):
 
 def fold_topology(s, vectors, fold, window=24, stride=12):
     mine = vectors.where(F.col("fold") == fold)
-    points = cut_lineage(T.window_points(mine.select("ts", "x"), s.index, window, stride))
+    points = cut_lineage(Y.window_points(mine.select("ts", "x"), s.index, window, stride))
     keys = ["window_hours", "window_end"]
-    dgms = cut_lineage(T.persistence_diagrams(points, keys))
+    dgms = cut_lineage(Y.persistence_diagrams(points, keys))
     return points, dgms, keys
 
 
@@ -349,9 +385,9 @@ def image_logistic(spark, d):
         points, dgms, keys = fold_topology(s, v, fold)
         last = s.members.where((F.col("split") == "train") & (F.col("fold") == fold)).agg(F.max("ts")).scalar()
         loops = dgms.where("dim = 1")
-        limits = cut_lineage(T.image_ranges(loops.where(F.col("window_end") <= last), ["window_hours"]))
-        image = T.persistence_image(T.birth_persistence(loops).join(limits, "window_hours"), keys, 10, 0.5)
-        vec = cut_lineage(T.image_vectors(image, points, keys, 10).select(F.col("window_end").alias("ts"), "features"))
+        limits = cut_lineage(Y.image_ranges(loops.where(F.col("window_end") <= last), ["window_hours"]))
+        image = Y.persistence_image(Y.birth_persistence(loops).join(limits, "window_hours"), keys, 10, 0.5)
+        vec = cut_lineage(Y.image_vectors(image, points, keys, 10).select(F.col("window_end").alias("ts"), "features"))
         vec = vec.withColumnRenamed("features", "image")
         train, test = (cut_lineage(J.asof_backward(x, vec, ["image"]).where("image IS NOT NULL").select("ts", "market_id", "y", *BASE, "image"))
                        for x in s.modelling_rows(fold))
@@ -371,13 +407,13 @@ def ablation_groups(spark, d):
     graph = G.neighborhood_graphs(near, corr, ["fold"]).where("t = 0.5").select("fold", F.col("owner").alias("market_id"), "edge_density", "clustering")
     ctrl = G.neighborhood_controls(near, corr, live, ["fold"]).withColumnRenamed("owner", "market_id")
     side = cut_lineage(graph.join(ctrl, ["fold", "market_id"]))
-    h0, h1 = T.stat_columns()[:4], T.stat_columns()[4:]
+    h0, h1 = Y.stat_columns()[:4], Y.stat_columns()[4:]
     groups = {"h0": h0, "h1": h1, "h0_h1": h0 + h1, "edge_density": ["edge_density"], "clustering": ["clustering"],
               "controls": ["corr_mean_abs", "corr_std_abs", "prob_mean", "prob_std"]}
     parts = []
     for fold in s.fold_ids():
         points, dgms, keys = fold_topology(s, clipped, fold)
-        stats = cut_lineage(T.diagram_stats(dgms, points, keys).withColumnRenamed("window_end", "ts"))
+        stats = cut_lineage(Y.diagram_stats(dgms, points, keys).withColumnRenamed("window_end", "ts"))
         train, test = (cut_lineage(J.asof_backward(x, stats, h0 + h1).join(side.where(F.col("fold") == fold).drop("fold"), "market_id", "left")) for x in s.modelling_rows(fold, v))
         for name, extra in groups.items():
             got = L.forecast(train, test, [*PCA, *extra], c=0.01)

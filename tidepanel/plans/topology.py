@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel import fixtures as X
+from tidepanel.operators import fits
 from tidepanel.operators import folds as FO
 from tidepanel.operators import graph as G
 from tidepanel.operators import learn as L
@@ -183,7 +184,8 @@ def dynamic_family_topology(spark, d):
 @query("residual_topology")
 def residual_topology(spark, d):
     vectors, index, train = scaled_state(spark, d)
-    fitted = L.fit_components(vectors.join(train, "ts", "left_semi"))
+    _, mean, cov = fits.covariances(vectors.join(train, "ts", "left_semi").withColumn("one", F.lit(1)), "one")["1"]
+    fitted = L.components_of(mean, cov)
     rest = cut_lineage(vectors.select("ts", fitted.residuals(F.col("x"), 2).alias("x")))
     points = cut_lineage(state_windows(rest, index))
     dgms = cut_lineage(T.persistence_diagrams(points, KEYS))
