@@ -255,16 +255,6 @@ def threshold_graphs(corr: DataFrame, sizes: DataFrame, keys: list[str], thresho
     return graph_features(threshold_edges(corr, keys, thresholds), per_t, [*keys, "t"])
 
 
-def rolling_graphs(cells: DataFrame, index: DataFrame, window: int, stride: int, blocks: int, min_markets: int = 4) -> DataFrame:
-    """Correlation graphs of the varying markets in each strided trailing window."""
-    inside = P.window_members(cells, window, stride, P.window_ends(index, window, stride))
-    live = varying(inside, ["window_end"])
-    sizes = live.groupBy("window_end").agg(F.countDistinct("market_id").alias("n")).where(F.col("n") >= min_markets)
-    live = live.join(sizes.select("window_end"), "window_end", "left_semi")
-    corr = correlations(live, ["window_end"], 2, blocks, chunk_hours=None)
-    return threshold_graphs(corr, sizes, ["window_end"])
-
-
 # --- neighbourhoods --------------------------------------------------------------------------
 
 

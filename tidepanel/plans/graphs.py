@@ -10,6 +10,7 @@ from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
 from tidepanel.operators import learn as L
 from tidepanel.operators import merge as M
+from tidepanel.operators import pairs as R
 from tidepanel.operators import panel as P
 from tidepanel.plans.registry import query, r6
 from tidepanel.plans.scoring import FOLD, r_all
@@ -91,7 +92,7 @@ def neighbours(corr, k=K):
 def threshold_graph_features(spark, d):
     live = train_cells(spark, d)
     sizes = live.groupBy("fold").agg(F.countDistinct("market_id").alias("n"))
-    return r_all(G.threshold_graphs(train_corr(live), sizes, ["fold"]), "t")
+    return r_all(G.threshold_graphs(cut_lineage(R.strong_pairs(live, ["fold"], min(G.THRESHOLDS))), sizes, ["fold"]), "t")
 
 
 X.add_cte("near", f"""
@@ -103,7 +104,7 @@ X.add_cte("hood", "SELECT fold, owner, member FROM near UNION SELECT fold, owner
 
 @query("top_corr_neighbors", X.with_views("near", "SELECT fold, owner, member, CAST(rank AS INTEGER) AS rank FROM near"))
 def top_corr_neighbors(spark, d):
-    return G.top_corr_neighbors(train_corr(train_cells(spark, d)), K, ["fold"]).select("fold", "owner", "member", "rank")
+    return R.top_correlated(train_cells(spark, d), ["fold"], K).select("fold", "owner", "member", "rank")
 
 
 @query("top_corr_neighbor_sizes", X.with_views("tcorr", """
@@ -112,7 +113,7 @@ def top_corr_neighbors(spark, d):
       FROM (SELECT fold, a AS owner, b AS member, r FROM tcorr UNION ALL SELECT fold, b, a, r FROM tcorr)),
       (SELECT unnest([10, 20, 40]) AS k) WHERE rank <= k GROUP BY 1, 2"""))
 def top_corr_neighbor_sizes(spark, d):
-    top = G.top_corr_neighbors(train_corr(train_cells(spark, d)), max(G.NEIGHBOURHOOD_SIZES), ["fold"])
+    top = R.top_correlated(train_cells(spark, d), ["fold"], max(G.NEIGHBOURHOOD_SIZES))
     sized = top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in G.NEIGHBOURHOOD_SIZES]))).where("rank <= k")
     return sized.groupBy("fold", "k").agg(F.count("*").alias("links"), r6(F.avg("w"), "mean_abs_corr"))
 
@@ -257,7 +258,7 @@ def leakage_control(spark, d):
     cells = train_cells(spark, d, "test")
     ends = FO.chronological_folds(X.active_panel(spark, d), **FOLD).select("fold", "train_end")
     late = cells.join(ends, "fold").groupBy("fold").agg((F.count_if(F.col("ts") > F.col("train_end")) > 0).alias("used_test_timestamps"))
-    top = G.top_corr_neighbors(train_corr(cells), K, ["fold"]).join(late, "fold")
+    top = R.top_correlated(cells, ["fold"], K).join(late, "fold")
     return top.select("fold", "owner", "member", "rank", F.lit("test").alias("source"), "used_test_timestamps", (~F.col("used_test_timestamps")).alias("is_valid"))
 
 
@@ -285,8 +286,18 @@ def each_window(make):
     "SELECT window_hours, window_end, t, a, b FROM wcorr JOIN wenough USING (window_hours, window_end), cuts WHERE round(abs(r), 9) >= t", [*WINDOW, "t"]))
 def rolling_corr_graph(spark, d):
     h = X.hourly(spark, d)
-    dense, index, blocks = cut_lineage(P.dense_fill(h)), P.hour_index(h), G.block_count(h)
-    return r_all(each_window(lambda w: G.rolling_graphs(dense, index, w, STRIDE, blocks)), "t")
+    dense, index = cut_lineage(P.dense_fill(h)), P.hour_index(h)
+    return r_all(G.threshold_graphs(*sliding(dense, index, G.block_count(h)), WINDOW), "t")
+
+
+def sliding(dense, index, blocks):
+    """The strong pairs of every window of every length, and the varying markets of each window that has at least four."""
+    first = index.agg(F.min(R.unix_hour())).first()[0]
+    ends = M.union_models([P.window_ends(index, w, STRIDE).withColumn("window_hours", F.lit(w)) for w in WINDOWS])
+    sizes = R.sliding_bounds(dense, WINDOWS, STRIDE, ends).groupBy(*WINDOW).agg(F.count("*").alias("n")).where("n >= 4")
+    sizes = cut_lineage(sizes)
+    strong = R.sliding_pairs(dense, first, WINDOWS, STRIDE, min(G.THRESHOLDS), blocks)
+    return cut_lineage(strong.join(sizes.select(*WINDOW), WINDOW, "left_semi")), sizes
 
 
 X.add_cte("dyn", f"""
