@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidepanel.llm.common import spread, texts
+from tidepanel.llm.common import spread, texts, tidy
 
 #: Longest word in parts that takes the array path, words encoded at once, words kept by a worker, code points split into words at once.
 SHORT, AT_ONCE, KEPT, SLICE = 32, 4096, 100_000, 1 << 19
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), column], names=["row", "ids"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run, vocabulary), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -228,5 +228,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), tokens.take(ids.flatten()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pc.binary_join(lists, " ")], names=["row", "ids", "decoded"])
 
-    return encoded.select("row", "ids").mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    return encoded.select("row", "ids").mapInArrow(tidy(run, token_strings), f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
 

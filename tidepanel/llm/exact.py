@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import written
+from tidepanel.llm.common import tidy, written
 
 #: Bytes of records, and of distinct texts in a table, that a task may hold; spill files a bucket is dealt to.
 BUDGET, FANOUT_BITS = 64 << 20, 4
@@ -192,7 +192,7 @@ def local_groups(docs: DataFrame, id_col: str, text_col: str, budget: int) -> Da
 
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
     schema = f"row_key long, rep_key long, doc_id {kinds['doc_id']}, digest string, members long, row {keyed.schema['row'].dataType.simpleString()}"
-    return keyed.mapInArrow(lambda batches: grace(batches, answer, budget), schema)
+    return keyed.mapInArrow(tidy(lambda batches: grace(batches, answer, budget)), schema)
 
 
 def merged_groups(local: DataFrame, text_col: str, budget: int) -> DataFrame:
@@ -210,7 +210,7 @@ def merged_groups(local: DataFrame, text_col: str, budget: int) -> DataFrame:
 
     id_type = local.schema["doc_id"].dataType.simpleString()
     dealt = reps.repartition("digest")
-    return dealt.mapInArrow(lambda batches: grace(batches, answer, budget), f"rep_key long, keep_key long, keep_id {id_type}, group_size long")
+    return dealt.mapInArrow(tidy(lambda batches: grace(batches, answer, budget)), f"rep_key long, keep_key long, keep_id {id_type}, group_size long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import tidy
+
 UNDETERMINED = "und"
 
 
@@ -101,17 +103,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                said = [classify(t, held.value) for t in batch.column("text").to_pylist()]
-                pred, score, margin, rejected = zip(*said) if said else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
-                    names=["row", "lang_pred", "score", "margin", "rejected"],
-                )
-        finally:
-            encoders.cache_clear()  # a worker lives on idle beside later stages
-            pa.default_memory_pool().release_unused()
+        for batch in batches:
+            said = [classify(t, held.value) for t in batch.column("text").to_pylist()]
+            pred, score, margin, rejected = zip(*said) if said else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=["row", "lang_pred", "score", "margin", "rejected"],
+            )
 
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean")
+    return rows.mapInArrow(tidy(run, encoders), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean")

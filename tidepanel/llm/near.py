@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import BITS, bit_set, join_classes, maybe_in, spread, texts, written
+from tidepanel.llm.common import BITS, bit_set, join_classes, maybe_in, spread, texts, tidy, written
 
 #: Bytes hashed at once, shingles whose minima are taken at once, shingles of the members of one block.
 SEGMENT, CHUNK, BLOCK = 1 << 20, 1 << 16, 1 << 20
@@ -168,7 +168,7 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, text_hash long, n long, d1 long, d2 long, bands array<bigint>, signature binary")
+    return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, text_hash long, n long, d1 long, d2 long, bands array<bigint>, signature binary")
 
 
 class Search:
@@ -200,7 +200,7 @@ class Search:
                     left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sp", "sc"))
                     yield batch.select(["pivot", "cls", "nc"]).filter(pa.array((left == right).sum(axis=1) >= low))
 
-        candidates = written(both.mapInArrow(alike, "pivot long, cls long, nc long"), "near-candidates")
+        candidates = written(both.mapInArrow(tidy(alike), "pivot long, cls long, nc long"), "near-candidates")
         sets = self.sets_of(candidates.select("cls").union(candidates.select("pivot")).distinct())
         # A pivot with many candidates is copied to slots of bounded size; a slot streams its candidates past the pivot's set.
         slots = candidates.groupBy("pivot").agg(F.ceil(F.sum("nc") / BLOCK).cast("long").alias("slots"))
@@ -226,7 +226,7 @@ class Search:
                         found.append((min(pivot[k], cls[k]), max(pivot[k], cls[k])))
                 yield pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        return written(rows.mapInArrow(verified, "a long, b long"), "near-links")
+        return written(rows.mapInArrow(tidy(verified), "a long, b long"), "near-links")
 
     def sets_of(self, named: DataFrame) -> DataFrame:
         """cls and shingles of the named classes, built again from their texts; written."""
@@ -248,7 +248,7 @@ class Search:
                     [pa.array([d[0] for d in new], pa.int64()), pa.array([d[1] for d in new], pa.int64()), pa.array(list(new.values()), pa.list_(pa.int64()))],
                     names=["d1", "d2", "shingles"])
 
-        built = rows.mapInArrow(run, "d1 long, d2 long, shingles array<bigint>")
+        built = rows.mapInArrow(tidy(run), "d1 long, d2 long, shingles array<bigint>")
         sets = built.join(needed.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
         sets = written(sets, "near-sets")
         held.destroy()
@@ -293,7 +293,7 @@ class Search:
         def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        return written(dealt.mapInArrow(run, "a long, b long"), "near-links")
+        return written(dealt.mapInArrow(tidy(run), "a long, b long"), "near-links")
 
 
 def joining_links(block: pa.Table, low: int, percent: int) -> list[tuple[int, int]]:
