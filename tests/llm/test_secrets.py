@@ -44,6 +44,11 @@ def test_base_spans_are_those_of_the_patterns(parts):
     ('privateKey = "changeme-please"', []),
     ('if authToken == "abcDEF123456": pass', []),
     ("the key: a word that opens doors", []),
+    ('password:\n  value: "Hunter2XyZq9Aa"', []),
+    ('key="DbPassword" value="Hunter2XyZq9"', ["Hunter2XyZq9"]),
+    ('- name: DB_PWD\n  value: "Hunter2XyZq9"\n- name: HOST\n  value: "aB3dE6gH9xyz"', ["Hunter2XyZq9"]),
+    ('pwd = base64.b64decode("SHVudGVyMlh5")', ["SHVudGVyMlh5"]),
+    ('token = os.getenv("MY_TOKEN_1")', []),
 ])
 def test_literals_that_reach_sensitive_names(text, found):
     assert [text[a:b] for a, b in S.literal_spans(text)] == found
@@ -106,3 +111,16 @@ def test_values_over_line_breaks(text, found):
     for n in ("\n", "\r\n"):
         told = text.replace("\n", n)
         assert [told[a:b] for a, b in S.literal_spans(told)] == [f.replace("\n", n) for f in found]
+
+
+def test_memory_of_many_names_is_bounded():
+    """A chain of names, each a sum of the one before and a new character."""
+    import tracemalloc
+
+    text = "".join(f"a{i + 1} = a{i} + '{chr(0x4E00 + i % 20000)}'\n" for i in range(20_000))
+    text = "a0 = 'aB3dE6gH9'\n" + text + "password = a20000\n"
+    tracemalloc.start()
+    found = S.literal_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 20_001 and peak < 150 << 20

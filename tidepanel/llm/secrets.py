@@ -3,8 +3,9 @@
 Three base patterns (assignments to secret-like keys, access keys, long hex runs) are found in every whole text. Beside them, source
 and configuration syntax is lexed into statements `name = value`: string literals, bare words, names and sums of those. Names carry the
 literals last assigned to them, so `k = "..."; password = k` leads back to the literal: a name holds references to the parts of its
-value, however many, and what the score needs is added up part by part. A literal is reported when the words of the
-name it reaches, weighed together with how random it looks, pass a threshold.
+value, however many, and a summary of fixed size, so memory grows with the statements, about two kilobytes for a sum. A literal is
+reported when the words of the name it reaches, weighed together with how random it looks, pass a threshold. A `name` or `key` whose
+`value` follows gives that value its name, and calls that only decode or wrap a literal are looked into.
 
 Null and empty texts have no spans. Repeated rows are reported once per row; rows are independent, so there is no shuffle. Offsets are
 code points, ends exclusive. Lines of any length are scanned whole. The base patterns stop at the line; a value may go on over line
@@ -15,11 +16,10 @@ It is weighed without breaks and indents. Elements of lists are no values of the
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -68,6 +68,9 @@ _JOIN = re.compile(
     rf"|{_INDENTED}(?:\+|\.\.|&){_ANY}{_OPENS}|{_INDENTED}(?:\+|&|\.\.){_ANY}(?=[A-Za-z_$])")
 _JOIN_INSIDE = re.compile(rf"{_ANY}(?:\+|\.\.|\.|&)?{_ANY}{_OPENS}|{_ANY}(?:\+|&|\.\.){_ANY}(?=[A-Za-z_$])")
 _KEY_SIGN = re.compile(r"[ \t]*[:=]")
+#: A call that only decodes or wraps the literal inside it.
+_WRAPS = re.compile(r"(?:.*\.)?(?:base64|b64decode|b64encode|decode|encode|unhex|fromhex|bytes|str|string|from|atob|btoa)", re.I)
+_CALL = re.compile(rf"\({_ANY}{_OPENS}")
 _ENDS_LINE = re.compile(r"[ \t]*[;,]?[ \t]*(?:\r?\n|\Z)")
 _BLOCK = re.compile(r"[ \t]*[|>][-+1-9]{0,2}[ \t]*(?:(?<=[ \t])#[^\n]*)?\r?\n")
 _KEY_INDENT = re.compile(r"[ \t]*(?:-[ \t]+)*")
@@ -107,17 +110,22 @@ def name_weight(name: str) -> float:
 
 
 class Tally:
-    """What the score needs of a value: counts of its code points, both ends, and whether a placeholder word is in it."""
+    """What the score needs of a value, a kilobyte whatever its length: counts of its code points by their last eight bits, classes, both ends."""
 
-    __slots__ = ("counts", "n", "head", "tail", "dummy")
+    __slots__ = ("counts", "n", "head", "tail", "dummy", "kinds", "space")
 
     def __init__(self, value: str = ""):
-        self.counts, self.n = Counter(value), len(value)
+        points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32) & 255
+        self.counts, self.n = np.bincount(points, minlength=256).astype(np.float32), len(value)
         self.head, self.tail, self.dummy = value[:_EDGE], value[-_EDGE:], PLACEHOLDER.search(value) is not None
+        distinct = set(value)
+        self.kinds = frozenset(0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in distinct)
+        self.space = any(map(str.isspace, distinct))
 
     def copy(self) -> Tally:
-        other = Tally()
-        other.counts, other.n, other.head, other.tail, other.dummy = self.counts.copy(), self.n, self.head, self.tail, self.dummy
+        other = Tally.__new__(Tally)
+        other.counts = self.counts.copy()
+        other.n, other.head, other.tail, other.dummy, other.kinds, other.space = self.n, self.head, self.tail, self.dummy, self.kinds, self.space
         return other
 
     def add(self, other: Tally) -> None:
@@ -125,20 +133,21 @@ class Tally:
         self.head = self.head if self.n >= _EDGE else (self.head + other.head)[:_EDGE]
         self.tail = other.tail if other.n >= _EDGE else (self.tail + other.tail)[-_EDGE:]
         self.n += other.n
-        for c, k in other.counts.items():
-            self.counts[c] += k
-        if self.n.bit_length() > 1000:  # `k = k + k` over and over: only the shares matter
-            self.counts = Counter({c: max(1, k >> 900) for c, k in self.counts.items()})
-            self.n = self.counts.total()
+        self.counts += other.counts
+        self.kinds, self.space = self.kinds | other.kinds, self.space or other.space
+        if self.n > 1 << 100:  # `k = k + k` over and over: only the shares matter
+            self.counts *= np.float32(2.0 ** -60)
+            self.n >>= 60
 
     def weight(self) -> float:
-        if self.n < 6 or self.dummy or any(c.isspace() for c in self.counts):
+        if self.n < 6 or self.dummy or self.space:
             return 0.0
         if WRAPPED.fullmatch(self.head + self.tail if self.n > _EDGE else self.head):
             return 0.0
-        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
-        entropy = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
-        return min(1.0, 0.25 * (len(kinds) - 1) + min(entropy, 4.0) / 8 + min(self.n, 24) / 96)
+        share = self.counts[self.counts > 0].astype(np.float64)
+        share /= share.sum()
+        entropy = -float((share * np.log2(share)).sum())
+        return min(1.0, 0.25 * (len(self.kinds) - 1) + min(entropy, 4.0) / 8 + min(self.n, 24) / 96)
 
 
 def literal_weight(value: str) -> float:
@@ -245,6 +254,13 @@ def statements(text: str) -> Iterator[tuple[str, list[tuple[str | None, int, int
                 if group == "bare" and (text[start - 1] not in " \t" or not (joint or _ENDS_LINE.match(text, t.end(), stop))
                                         or sign[0] == ":" and line.strip(" \t\"'-") != target.strip("-")):
                     break
+            if group == "bare" and value.endswith(":"):
+                break  # a key, never a value
+            if group == "bare" and not terms and _WRAPS.fullmatch(value) and (call := _CALL.match(text, t.end(), stop)):
+                at, join, inside = call.end(), _JOIN_INSIDE, True
+                continue
+            if group == "bare" and text[t.end():t.end() + 1] == "(" and _NAME.match(value):
+                break  # any other call
             at = t.end()
             bare_name = group == "bare" and _NAME.match(value) is not None
             terms.append((value if bare_name else None, start, end, None if "\n" in value else value, group != "bare"))
@@ -280,6 +296,20 @@ class Value:
                 rest += [p for p in value.parts if isinstance(p, Value)]
 
 
+#: Code points between a name and its value, as in `- name: DB_PWD`, `value: "..."`.
+NEAR = 200
+
+
+def with_next(items: Iterator) -> Iterator:
+    """Each item with the one after it, None after the last."""
+    before = next(items, None)
+    for item in items:
+        yield before, item
+        before = item
+    if before is not None:
+        yield before, None
+
+
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive target, directly or through names, in order of their place."""
     held: dict[str, tuple[Value, Tally | str | Span]] = {}
@@ -289,7 +319,13 @@ def literal_spans(text: str) -> list[Span]:
         """A value of several lines is held by its place, so that values inside values take no space of their own."""
         return said if isinstance(said, Tally) else Tally(said if isinstance(said, str) else flat(text[slice(*said)]))
 
-    for target, terms in statements(text):
+    label = None  # the name that a `name: ...` or `key="..."` gives to the `value` after it
+    for (target, terms), after in with_next(statements(text)):
+        names, label = label, None
+        if target.lower() in ("name", "key") and after and after[0].lower() == "value" and len(terms) == 1 and terms[0][3]:
+            if after[1][0][1] - terms[0][2] <= NEAR:
+                label = terms[0][3]
+                continue
         parts, tallies, quoted = [], [], False
         for name, start, end, literal, is_quoted in terms:
             known = held.get(name) if name else None
@@ -310,7 +346,7 @@ def literal_spans(text: str) -> list[Span]:
                 tally.add(counted(t))
         value = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
         held[target] = held[target.rpartition(".")[2]] = (value, tally)
-        weight = name_weight(target)
+        weight = name_weight(names if names and target.lower() == "value" else target)
         if weight:
             looks = counted(tally).weight()
             if looks and weight * (0.45 + 0.55 * quoted) * 0.5 + looks * 0.5 * (weight > 0.3) >= THRESHOLD:
