@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidepanel.operators.fits import covariances
 from tidepanel.operators import graph as G
 from tidepanel.operators import learn as L
 from tidepanel.operators import topology as T
@@ -135,7 +136,8 @@ def test_components_equal_singular_values(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4))
     df = spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>")
-    fitted = L.fit_components(df)
+    _, mean, cov = covariances(df.selectExpr("1 AS k", "x"), "k")["1"]
+    fitted = L.components_of(mean, cov)
     s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
     assert np.allclose(fitted.ratio, s**2 / (s**2).sum())
     got = np.array([r[0] for r in df.select(fitted.residuals(df["x"], 4)).collect()])

@@ -110,10 +110,19 @@ def test_quantiles_are_exact_with_heavy_ties(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([np.full(500, 0.5), rng.random(301), [0.0, 1.0]])
     df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(v)], "k int, v double")
-    for lo, hi in ((0.0, 1.0), (None, None)):
-        got = {r["k"]: (r["a"], r["b"]) for r in ordered.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.99}, lo, hi, bins=16).collect()}
-        for k in (0, 1):
-            assert np.allclose(got[k], np.quantile(v[k::2], [0.5, 0.99]))
+    got = {r["k"]: (r["a"], r["b"]) for r in ordered.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.99}).collect()}
+    for k in (0, 1):
+        assert np.allclose(got[k], np.quantile(v[k::2], [0.5, 0.99]))
+
+
+def test_ranges_are_even_where_values_crowd(spark):
+    """99 % of the distinct values lie in a thousandth of the span: no range holds twice the median's rows."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([0.5 + rng.random(9900) / 1000, rng.random(100)])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(8)
+    sizes = sorted(r["count"] for r in ordered.in_ranges(df, [], [F.col("v")]).groupBy("__range").count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+    assert np.allclose(ordered.quantiles(df, [], "v", {"m": 0.5, "p": 0.001}).first(), np.quantile(v, [0.5, 0.001]))
 
 
 def test_dense_index_spans_months(spark):

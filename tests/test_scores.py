@@ -47,10 +47,12 @@ def test_normal_tail(spark, z):
 
 
 def test_resample_weights_are_poisson(spark):
-    w = spark.range(4000).selectExpr("id", "md5(cast(id as string)) as h").select(
-        E.resample_weight(F.conv(F.substring("h", 1, 7), 16, 10).cast("long"), F.conv(F.substring("h", 8, 7), 16, 10).cast("long"), F.lit(17)).alias("w"))
-    v = np.array([r[0] for r in w.collect()])
-    assert abs(v.mean() - 1) < 0.06 and abs(v.var() - 1) < 0.12
+    rng = np.random.default_rng(3)
+    w = E.resample_weights(rng.integers(0, 1 << 28, 4000), rng.integers(0, 1 << 28, 4000), 17)
+    assert w.shape == (4000, 17) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04
+    # Known values: the counts that shares just below and above the first two steps stand for.
+    units = np.array([0, int(0.36 * E.PRIME), int(0.37 * E.PRIME), int(0.735 * E.PRIME), int(0.736 * E.PRIME)])
+    assert E.resample_weights(units, np.zeros(5, int), 1).ravel().tolist() == [0, 0, 1, 1, 2]
 
 
 def test_bootstrap_interval_holds_the_mean(spark):

@@ -1,7 +1,8 @@
 """Ranks, running sums and exact quantiles that never sort a whole column in one task.
 
 Every helper works in two levels: rows are ordered inside a bucket, and only the per-bucket
-totals (a bounded number of rows) are accumulated across buckets.
+totals (a bounded number of rows) are accumulated across buckets. Buckets are ranges of the order
+itself, cut by Spark where a sample of the rows says so: they are even however the values crowd.
 """
 
 from __future__ import annotations
@@ -13,22 +14,20 @@ from pyspark.sql import functions as F
 from tidepanel.session import cut_lineage
 
 
-def bin_of(value: Column, lo, hi, bins: int) -> Column:
-    """Monotone bin number of `value` between lo and hi; outer values fall in the end bins."""
-    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
-    share = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows with `__range`, the number of the range of (keys, order) they are in; written, so that the cuts stay what they are."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
+    return cut_lineage(dealt.withColumn("__range", F.spark_partition_id()))
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: list[str], written: bool = False
-) -> DataFrame:
-    """Adds `<name>_upto`, the inclusive running sum of each named column in (bucket, order).
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds `<name>_upto`, the inclusive running sum of each named column in order, per key."""
+    return summed_ranges(in_ranges(df, keys, order), keys, "__range", order, sums).drop("__range")
 
-    The rows are read for both levels, so they are written to the shared folder first, unless the
-    caller has done so (`written`).
-    """
-    df = df if written else cut_lineage(df)
+
+def summed_ranges(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: list[str]) -> DataFrame:
+    """Running sums over buckets that follow the order; `df` is read for both levels."""
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(s).alias(s) for s in sums])
@@ -46,30 +45,16 @@ def running_sum(
 def dense_index(df: DataFrame, ts: str = "ts", unit: str = "month", start: int = 0) -> DataFrame:
     """Position of each distinct timestamp in order, `idx`, counted from `start`."""
     stamps = df.select(ts).distinct().withColumns({"__b": F.date_trunc(unit, ts), "__one": F.lit(1)})
-    out = running_sum(stamps, [], "__b", [F.col(ts)], ["__one"])
+    out = summed_ranges(cut_lineage(stamps), [], "__b", [F.col(ts)], ["__one"])
     return out.select(ts, (F.col("__one_upto") - 1 + start).cast("long").alias("idx"))
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-    lo: float | None = None, hi: float | None = None, bins: int = 256, weight: str | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key. Equal values are counted before any shuffle."""
     size = F.sum(weight) if weight else F.count("*")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("__n"))
-    if lo is None or hi is None:
-        edges = counts.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        if keys:
-            counts = counts.join(edges, keys)
-        else:
-            edge = edges.select(F.struct("__lo", "__hi")).scalar()
-            counts = counts.withColumns({"__lo": edge["__lo"], "__hi": edge["__hi"]})
-        lo_col, hi_col = F.col("__lo").cast("double"), F.col("__hi").cast("double")
-    else:
-        lo_col, hi_col = lo, hi
-    counts = counts.withColumn("__b", bin_of(F.col(value).cast("double"), lo_col, hi_col, bins))
-    counts = cut_lineage(counts.select(*keys, value, "__n", "__b"))
-    run = running_sum(counts, keys, "__b", [F.col(value)], ["__n"], written=True)
+    counts = in_ranges(counts, keys, [F.col(value)])
+    run = summed_ranges(counts, keys, "__range", [F.col(value)], ["__n"])
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if keys:
         run = run.join(totals, keys)
@@ -98,14 +83,16 @@ def quantiles(
     )
 
 
-def rank_auc(df: DataFrame, keys: list[str], score: str, label: str, bins: int = 1024) -> DataFrame:
+def rank_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve per key from mid-ranks; null when only one class is present."""
-    counts = (
-        df.groupBy(*keys, score)
-        .agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.sum(1 - F.col(label).cast("long")).alias("__neg"))
-        .withColumn("__b", bin_of(F.col(score), 0.0, 1.0, bins))
-    )
-    run = running_sum(counts, keys, "__b", [F.col(score)], ["__neg"])
+    counts = df.groupBy(*keys, score).agg(
+        F.sum(F.col(label).cast("long")).alias("__pos"), F.sum(1 - F.col(label).cast("long")).alias("__neg"))
+    return counts_auc(counts, keys, score)
+
+
+def counts_auc(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The same from rows of each score's positives `__pos` and negatives `__neg`."""
+    run = running_sum(counts, keys, [F.col(score)], ["__neg"])
     wins = F.sum(F.col("__pos") * (F.col("__neg_upto") - F.col("__neg") / 2.0))
     return run.groupBy(*keys).agg(
         F.when(

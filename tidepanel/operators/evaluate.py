@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def score_regression(pred: DataFrame, keys: list[str], actual: str, fitted: str)
     return pred.where(e.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"))
 
 
+def scores_of_counts(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """All scores of each key, the AUC included, from one table of how often each probability met each label."""
+    q, pos, neg = F.col("__q"), F.col("__pos").cast("double"), F.col("__neg").cast("double")
+    counts = pred.groupBy(*keys, probability_clip("p_hat").alias("__q")).agg(
+        F.sum(F.col("y").cast("long")).alias("__pos"), F.sum(1 - F.col("y").cast("long")).alias("__neg"))
+    n = F.sum(pos + neg)
+    wins = F.sum(pos * (F.col("__neg_upto") - neg / 2.0))
+    return ordered.running_sum(counts, keys, [q], ["__neg"]).groupBy(*keys).agg(
+        n.cast("long").alias("n_obs"), (F.sum(pos * (1 - q) ** 2 + neg * q ** 2) / n).alias("brier"), (F.sum(-(pos * F.log(q) + neg * F.log(1 - q))) / n).alias("log_loss"),
+        (F.sum((pos + neg) * q) / n).alias("avg_pred"), (F.sum(pos) / n).alias("avg_actual"), (wins / F.nullif(F.sum(pos) * F.sum(neg), F.lit(0.0))).alias("auc"))
+
+
 def result_slices(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Scores overall and by domain, family, label, active-count and probability bucket, in one grouping."""
     named = [("domain", F.col("domain")), ("family", F.col("family")), ("y", F.col("y").cast("string")),
@@ -65,8 +79,7 @@ def result_slices(pred: DataFrame, keys: list[str]) -> DataFrame:
     slices = F.array(F.struct(F.lit("overall").alias("slice_type"), F.lit("overall").alias("slice_value")),
                      *[F.struct(F.lit(k).alias("slice_type"), v.alias("slice_value")) for k, v in named])
     rows = pred.withColumn("s", F.explode(slices)).select(*keys, "s.slice_type", "s.slice_value", "y", "p_hat").where("slice_value IS NOT NULL")
-    by = [*keys, "slice_type", "slice_value"]
-    return score_predictions(rows, by).join(score_auc(rows, by), by)
+    return scores_of_counts(rows, [*keys, "slice_type", "slice_value"])
 
 
 def calibration_deciles(pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,8 +123,8 @@ def tail_diagnostics(pred: DataFrame, keys: list[str]) -> DataFrame:
     no, yes = pred.where("y = 0"), pred.where("y = 1")
     a = no.groupBy(*keys).agg(F.avg("p_hat").alias("mean_no"), F.max("p_hat").alias("max_no"))
     b = yes.groupBy(*keys).agg(F.avg("p_hat").alias("mean_yes"), F.min("p_hat").alias("min_yes"))
-    qa = ordered.quantiles(no, keys, "p_hat", {"p95_no": 0.95}, 0.0, 1.0)
-    qb = ordered.quantiles(yes, keys, "p_hat", {"p05_yes": 0.05}, 0.0, 1.0)
+    qa = ordered.quantiles(no, keys, "p_hat", {"p95_no": 0.95})
+    qb = ordered.quantiles(yes, keys, "p_hat", {"p05_yes": 0.05})
     return a.join(qa, keys).join(b.join(qb, keys), keys, "full")
 
 
@@ -168,18 +181,18 @@ PRIME = 268435399
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
 
-def resample_weight(a: Column, b: Column, replicate: Column) -> Column:
-    """Poisson(1) count of a unit in a replicate."""
-    u = F.pmod(a + b * replicate, F.lit(PRIME)) / F.lit(float(PRIME))
-    return sum(((u >= c).cast("int") for c in POISSON_STEPS), F.lit(0))
+def resample_weights(a: np.ndarray, b: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) counts of the units (rows) in the replicates (columns)."""
+    u = (a[:, None] + b[:, None] * np.arange(1, replicates + 1)) % PRIME / PRIME
+    return np.searchsorted(POISSON_STEPS, u, side="right").astype(float)
 
 
 def bootstrap(losses: DataFrame, keys: list[str], unit: list[str], gains: list[str], replicates: int = 300, seed: int = 7,
               one_row_each: bool = False) -> DataFrame:
     """Percentile interval of each mean gain when units (rows or clusters) are redrawn.
 
-    Units are summed first, unless each is a row already. Each is then weighted in every replicate
-    and summed at once where it lies, so what is shuffled is one row per replicate and task.
+    Units are summed first, unless each is a row already. A task multiplies its units' sums with their
+    weights in all replicates, so no unit is copied and a task tells one row per replicate.
     """
     if one_row_each:
         sums = losses.select(*keys, *unit, *gains, F.lit(1).cast("long").alias("n"))
@@ -187,10 +200,25 @@ def bootstrap(losses: DataFrame, keys: list[str], unit: list[str], gains: list[s
         sums = losses.groupBy(*keys, *unit).agg(*[F.sum(g).alias(g) for g in gains], F.count("*").alias("n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in unit]))
     hexed = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
-    drawn = sums.withColumns({"a": hexed(1), "b": hexed(8)}).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = resample_weight(F.col("a"), F.col("b"), F.col("r"))
-    reps = drawn.withColumn("w", w).where("w > 0").groupBy(*keys, "r").agg(
-        *[(F.sum(F.col("w") * F.col(g)) / F.sum(F.col("w") * F.col("n"))).alias(g) for g in gains])
+    parts = [*gains, "n"]
+    drawn = sums.select(*keys, *[F.col(c).cast("double").alias(c) for c in parts], hexed(1).alias("a"), hexed(8).alias("b"))
+
+    def weighted(frames):
+        total: dict = {}
+        for pdf in frames:
+            for key, own in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                w = resample_weights(own["a"].to_numpy(), own["b"].to_numpy(), replicates)
+                total[key] = total.get(key, 0.0) + w.T @ own[parts].to_numpy()
+        for key, s in total.items():
+            out = pd.DataFrame(s, columns=parts)
+            out.insert(0, "r", np.arange(1, replicates + 1))
+            for k, v in zip(keys, key):
+                out[k] = v
+            yield out[[*keys, "r", *parts]]
+
+    types = dict(drawn.dtypes)
+    told = drawn.mapInPandas(weighted, ", ".join([*(f"{k} {types[k]}" for k in keys), "r long", *(f"{c} double" for c in parts)]))
+    reps = told.groupBy(*keys, "r").agg(*[(F.sum(g) / F.nullif(F.sum("n"), F.lit(0.0))).alias(g) for g in gains])
     bands = reps.groupBy(*keys).agg(*[
         F.percentile(g, q).alias(f"{g}_{name}") for g in gains for name, q in (("ci_low", 0.025), ("ci_high", 0.975))])
     point = sums.groupBy(*keys).agg(F.count("*").alias("n_units"), *[(F.sum(g) / F.sum("n")).alias(f"{g}_mean") for g in gains])

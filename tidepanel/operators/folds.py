@@ -74,9 +74,6 @@ def fold_feature_columns(cells: DataFrame, members: DataFrame) -> DataFrame:
 
 # --- placebos --------------------------------------------------------------------------------
 
-KEYS_PER_BUCKET = 4096
-
-
 def _seeded(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
@@ -88,11 +85,8 @@ def placebo_shuffle(frame: DataFrame, cols: list[str], seed: int, key: str, with
     """
     within = list(within or [])
     base = frame.withColumns({"__h": _seeded(seed, *within, key), "__one": F.lit(1)})
-    stamp = dict(frame.dtypes)[key].startswith("timestamp")
-    own = base.withColumn("__b", F.date_trunc("day", key) if stamp else F.floor(F.col(key) / KEYS_PER_BUCKET))
-    given = base.withColumn("__b", F.substring("__h", 1, 2))
-    left = ordered.running_sum(own.select(*within, key, "__one", "__b"), within, "__b", [F.col(key)], ["__one"])
-    right = ordered.running_sum(given.select(*within, *cols, "__h", "__one", "__b"), within, "__b", [F.col("__h")], ["__one"])
+    left = ordered.running_sum(base.select(*within, key, "__one"), within, [F.col(key)], ["__one"])
+    right = ordered.running_sum(base.select(*within, *cols, "__h", "__one"), within, [F.col("__h")], ["__one"])
     return left.select(*within, key, F.col("__one_upto").alias("__r")).join(
         right.select(*within, *cols, F.col("__one_upto").alias("__r")), [*within, "__r"]).drop("__r")
 

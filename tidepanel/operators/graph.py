@@ -126,7 +126,7 @@ def correlation_summary(corr: DataFrame) -> DataFrame:
     """Mean and median of |r| over the pairs that have one."""
     strength = corr.where("r IS NOT NULL").select(F.abs("r").alias("w"))
     mean = strength.agg(F.avg("w").alias("mean_abs_corr"), F.count("*").alias("pairs"))
-    middle = ordered.quantiles(strength, [], "w", {"median_abs_corr": 0.5}, 0.0, 1.0, bins=1024)
+    middle = ordered.quantiles(strength, [], "w", {"median_abs_corr": 0.5})
     return mean.withColumn("median_abs_corr", middle.select("median_abs_corr").scalar())
 
 
@@ -165,7 +165,7 @@ def overlap_stats(pairs: DataFrame, columns: DataFrame) -> DataFrame:
     out = seen.withColumn("pairs", (F.col("m") * (F.col("m") - 1) / 2).cast("long"))
     zeros = out.select(F.lit(0.0).alias("overlap"), (F.col("pairs") - F.col("seen")).alias("weight")).where("weight > 0")
     weighted = pairs.select("overlap", F.lit(1).cast("long").alias("weight")).unionByName(zeros)
-    middle = ordered.quantiles(weighted, [], "overlap", {"v": 0.5}, 0.0, 1.0, bins=1024, weight="weight").select("v")
+    middle = ordered.quantiles(weighted, [], "overlap", {"v": 0.5}, weight="weight").select("v")
     total = F.nullif(F.col("pairs"), F.lit(0))
     return out.select(
         "pairs", (F.col("total") / total).alias("mean_overlap"), middle.scalar().alias("median_overlap"),
@@ -313,8 +313,8 @@ def random_neighbors(ids: DataFrame, k: int, seed: int, keys: list[str] | None =
     """
     keys = list(keys or [])
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("market_id")))
-    ids = ids.select(*keys, "market_id").distinct().withColumns({"key": key, "slice": F.substring(key, 1, 2), "one": F.lit(1)})
-    listed = ordered.running_sum(ids, keys, "slice", [F.col("key"), F.col("market_id")], ["one"])
+    ids = ids.select(*keys, "market_id").distinct().withColumns({"key": key, "one": F.lit(1)})
+    listed = ordered.running_sum(ids, keys, [F.col("key"), F.col("market_id")], ["one"])
     listed = cut_lineage(listed.select(*keys, "market_id", (F.col("one_upto") - 1).alias("place")))
     sizes = listed.groupBy(*keys).agg(F.count("*").alias("m"))
     owners = (listed.join(sizes, keys) if keys else listed.withColumn("m", sizes.scalar())).select(*keys, F.col("market_id").alias("owner"), "m")

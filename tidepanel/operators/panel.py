@@ -154,9 +154,9 @@ def market_places(cells: DataFrame, width: int = PIVOT_WIDTH) -> DataFrame:
     """(market_id, block, place) of every market of the cells, in an order by digest cut into blocks of `width` places."""
     key = F.md5(F.col("market_id").cast("string"))
     ids = cells.select("market_id").where(F.col("market_id").isNotNull()).distinct()
-    ids = ids.withColumns({"key": key, "slice": F.substring(key, 1, 2), "one": F.lit(1)})
+    ids = ids.withColumns({"key": key, "one": F.lit(1)})
     rank = F.col("one_upto") - 1
-    return ordered.running_sum(ids, [], "slice", [F.col("key"), F.col("market_id")], ["one"]).select(
+    return ordered.running_sum(ids, [], [F.col("key"), F.col("market_id")], ["one"]).select(
         "market_id", F.floor(rank / width).cast("long").alias("block"), (rank % width).cast("int").alias("place"))
 
 
@@ -178,8 +178,7 @@ def coverage_rank(cells: DataFrame, columns: DataFrame) -> DataFrame:
     n = columns.select("market_id").distinct().join(
         cells.groupBy("market_id").agg(F.count("p").alias("n")), "market_id", "left"
     ).select("market_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("one"))
-    n = n.withColumn("bucket", -F.col("n"))
-    return ordered.running_sum(n, [], "bucket", [F.col("market_id")], ["one"]).select(
+    return ordered.running_sum(n, [], [-F.col("n"), F.col("market_id")], ["one"]).select(
         "market_id", "n", F.col("one_upto").alias("rank")
     )
 
@@ -203,8 +202,8 @@ def strict_panel(
     gains = F.when(F.col("ordinal") == min_active, min_active).when(F.col("ordinal") > min_active, 1).otherwise(0)
     steps = ranks.select("rank").join(
         placed.groupBy("rank").agg(F.sum(joins_at).alias("rows"), F.sum(gains).alias("cells")), "rank", "left"
-    ).na.fill(0).withColumn("bucket", F.floor(F.col("rank") / 1000))
-    prefixes = ordered.running_sum(steps, [], "bucket", [F.col("rank")], ["rows", "cells"])
+    ).na.fill(0)
+    prefixes = ordered.running_sum(steps, [], [F.col("rank")], ["rows", "cells"])
     missing = 1 - F.col("cells_upto") / F.nullif(F.col("rows_upto") * F.col("rank"), F.lit(0))
     best = prefixes.where(
         (F.col("rank") >= min_markets) & (F.col("rows_upto") > 0) & (missing <= max_missingness)
@@ -226,8 +225,7 @@ def add_optional_columns(base: DataFrame, optional: DataFrame, columns: DataFram
     shape = base.agg(F.struct(
         F.count("p").alias("cells"), F.countDistinct("ts").alias("rows"), F.countDistinct("market_id").alias("cols")
     )).scalar()
-    ranks = coverage_rank(extra, columns).withColumn("bucket", F.floor(F.col("rank") / 1000))
-    run = ordered.running_sum(ranks, [], "bucket", [F.col("rank")], ["n"])
+    run = ordered.running_sum(coverage_rank(extra, columns), [], [F.col("rank")], ["n"])
     missing = 1 - (shape["cells"] + F.col("n_upto")) / F.nullif(shape["rows"] * (shape["cols"] + F.col("rank")), F.lit(0))
     run = run.withColumn("fails", missing > max_missingness)
     first_fail = run.where("fails").agg(F.min("rank")).scalar()
@@ -307,7 +305,7 @@ def family_state(cells: DataFrame, markets: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_pop("p"), F.lit(0.0)).alias("std"),
         F.count("p").alias("n"),
     )
-    middle = ordered.quantiles(tagged, ["ts", "family"], "p", {"median": 0.5}, 0.0, 1.0, bins=32)
+    middle = ordered.quantiles(tagged, ["ts", "family"], "p", {"median": 0.5})
     return moments.join(middle, ["ts", "family"]).select("ts", "family", "mean", "median", "std", "n")
 
 

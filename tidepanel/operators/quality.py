@@ -302,7 +302,7 @@ def constrained_universes(average: DataFrame, pairs: DataFrame, cells: DataFrame
     n_pairs = (F.col("market_count") * (F.col("market_count") - 1) / 2).cast("long")
     base = size.join(seen, "universe", "left").withColumn("pairs", n_pairs)
     zeros = base.select("universe", F.lit(0.0).alias("overlap"), (F.col("pairs") - F.coalesce("seen", F.lit(0))).alias("weight")).where("weight > 0")
-    middle = ordered.quantiles(inside.unionByName(zeros), ["universe"], "overlap", {"median_pairwise_overlap": 0.5}, 0.0, 1.0, 1024, "weight")
+    middle = ordered.quantiles(inside.unionByName(zeros), ["universe"], "overlap", {"median_pairwise_overlap": 0.5}, "weight")
     out = base.join(filled, "universe").join(active, "universe").join(middle, "universe", "left")
     some = F.nullif(F.col("pairs"), F.lit(0))
     return out.select(

@@ -91,7 +91,7 @@ def model_comparison(spark, d):
     """Fold means of every specification and penalty, trained on all outcomes and on those known at the fold's end."""
     _, _, pred = compared(spark, d)
     keys = ["labels", "fold", "model"]
-    scores = E.score_predictions(pred, keys).join(E.score_auc(pred, keys), keys)
+    scores = E.scores_of_counts(pred, keys)
     means = [F.avg(c).alias(f"fold_mean_{c}") for c in ("log_loss", "brier", "avg_pred", "avg_actual", "auc")]
     return r_all(scores.groupBy("labels", "model").agg(F.countDistinct("fold").alias("folds"), F.sum("n_obs").alias("n_obs"), *means))
 
@@ -213,7 +213,7 @@ def locked_benchmark(spark, d):
     told = pred.where(F.col("fold") == HOLDOUT).where(F.col("model").isin([*names, *[f"placebo_{n}" for n in names]]))
     market = design.rows.where(f"split = 'test' AND fold = {HOLDOUT}").select("fold", *KEEP, F.lit("market_probability").alias("model"), F.col("p").alias("p_hat"))
     every = cut_lineage(told.unionByName(market))
-    scores = E.score_predictions(every, ["model"]).join(E.score_auc(every, ["model"]), "model")
+    scores = cut_lineage(E.scores_of_counts(every, ["model"]))
     base = scores.where("model = 'market_probability'").select(F.col("log_loss").alias("l0"), F.col("brier").alias("b0"))
     gains = scores.withColumns({"log_loss_gain": base.select("l0").scalar() - F.col("log_loss"), "brier_gain": base.select("b0").scalar() - F.col("brier")})
     return r_all(gains.withColumn("model", F.regexp_replace("model", r"\|", "_")))

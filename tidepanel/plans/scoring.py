@@ -36,7 +36,7 @@ def folds(spark, d, cells=None):
 
 
 def predictions(spark, d):
-    """Four probability models on the test rows of every fold."""
+    """Four probability models on the test rows of every fold; whoever reads them twice writes them."""
     cells = X.active_panel(spark, d)
     m = X.markets(spark, d)
     rows = P.supervised_rows(cells, m)
@@ -45,8 +45,7 @@ def predictions(spark, d):
     p = F.col("p")
     models = F.array(*[F.struct(F.lit(n).alias("model"), v.alias("v")) for n, v in (
         ("market", p), ("shrunk", 0.8 * p + 0.1), ("sharp", p * p / (p * p + (1 - p) * (1 - p))), ("prior", 0.5 * p + 0.5 * F.col("prior")))])
-    out = test.withColumn("m", F.explode(models)).withColumns({"model": F.col("m.model"), "p_hat": E.probability_clip("m.v")}).drop("m", "prior")
-    return cut_lineage(out)
+    return test.withColumn("m", F.explode(models)).withColumns({"model": F.col("m.model"), "p_hat": E.probability_clip("m.v")}).drop("m", "prior")
 
 
 def r_all(df, *skip):
@@ -328,7 +327,8 @@ X.add_cte("fscores", """
 
 
 def fold_scores(spark, d):
-    return E.score_predictions(predictions(spark, d), ["fold", "model"])
+    """Scores per fold and model, a few rows that are written for whoever compares them with each other."""
+    return cut_lineage(E.score_predictions(predictions(spark, d), ["fold", "model"]))
 
 
 @query("model_leaderboard", X.with_views("fscores auc", """
@@ -336,9 +336,7 @@ def fold_scores(spark, d):
       round(avg(brier), 6) AS fold_mean_brier, round(avg(avg_pred), 6) AS fold_mean_avg_pred, round(avg(avg_actual), 6) AS fold_mean_avg_actual,
       round(avg(auc), 6) AS fold_mean_auc FROM fscores JOIN auc USING (fold, model) GROUP BY 1"""))
 def model_leaderboard(spark, d):
-    p = predictions(spark, d)
-    scores = E.score_predictions(p, ["fold", "model"]).join(E.score_auc(p, ["fold", "model"]), ["fold", "model"])
-    return r_all(E.model_leaderboard(scores))
+    return r_all(E.model_leaderboard(E.scores_of_counts(predictions(spark, d), ["fold", "model"])))
 
 
 @query("fold_decomposition", X.with_views("fscores", """
@@ -371,7 +369,7 @@ def folds_improved(spark, d):
       round(max(p_hat) FILTER (y = 0), 6) AS max_no, round(avg(p_hat) FILTER (y = 1), 6) AS mean_yes,
       round(quantile_cont(p_hat, 0.05) FILTER (y = 1), 6) AS p05_yes, round(min(p_hat) FILTER (y = 1), 6) AS min_yes FROM preds GROUP BY 1"""))
 def tail_diagnostics(spark, d):
-    return r_all(E.tail_diagnostics(predictions(spark, d), ["model"]))
+    return r_all(E.tail_diagnostics(cut_lineage(predictions(spark, d)), ["model"]))
 
 
 @query("best_per_group", X.with_views("fscores", """
@@ -497,7 +495,7 @@ def _gains_sql(candidate, baseline):
     f"g{i} AS {_gains_sql(*c)}" for i, c in enumerate(COMPARISONS)) + " " + " UNION ALL ".join(
     _boot_sql(u, n, f"g{i}", f"'{c}' AS candidate, '{b}' AS baseline, ") for i, (c, b) in enumerate(COMPARISONS) for u, n in UNITS)))
 def stat_test_table(spark, d):
-    p = predictions(spark, d)
+    p = cut_lineage(predictions(spark, d))
     parts = []
     for candidate, baseline in COMPARISONS:
         losses = cut_lineage(E.paired_losses(J.pair_models(p, candidate, baseline, PAIR_KEYS)))
