@@ -146,21 +146,16 @@ def test_components_equal_singular_values(spark):
     assert (fitted.loadings[top, range(4)] > 0).all()
 
 
-def test_variance_shares(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(24, 5)) @ rng.normal(size=(5, 40))
-    x = (x - x.mean(axis=0)) / x.std(axis=0)
-    df = spark.createDataFrame([(DAY + dt.timedelta(hours=t), m, float(x[t, m])) for t in range(24) for m in range(40)], "ts timestamp_ntz, market_id int, z double")
-    want = np.linalg.svd(x, compute_uv=False) ** 2 / (x**2).sum()
-    assert np.allclose(L.variance_shares(df, "z")[:5], want[:5])
-    monkeypatch.setattr(L, "COMPONENTS", 3)
-    assert np.allclose(L.variance_shares(df, "z"), want[:3])
-
-
-def test_unreached_shares_are_told_from_an_empty_panel(spark, monkeypatch):
-    x = np.random.default_rng(9).normal(size=(30, 12))
-    df = spark.createDataFrame([(DAY + dt.timedelta(hours=t), m, float(x[t, m])) for t in range(30) for m in range(12)], "ts timestamp_ntz, market_id int, p double")
-    monkeypatch.setattr(L, "COMPONENTS", 3)
-    got = L.compressibility(df)
-    assert got["pc_85"] is None and got["components_found"] == 3 and 0 < got["share_reached"] < 0.85
-    assert L.compressibility(df.where("market_id = 0"))["components_found"] is None
+def test_compressibility_of_many_universes(spark):
+    rng = np.random.default_rng(9)
+    x = {"few": rng.normal(size=(30, 2)) @ rng.normal(size=(2, 12)), "flat": rng.normal(size=(40, 25)), "one": rng.normal(size=(30, 1))}
+    rows = [(u, DAY + dt.timedelta(hours=t), m, float(v[t, m])) for u, v in x.items() for t in range(v.shape[0]) for m in range(v.shape[1])]
+    got = L.compressibility(spark.createDataFrame(rows, "universe string, ts timestamp_ntz, market_id int, p double"))
+    assert got["one"] == dict.fromkeys(L.COMPRESSED)
+    for u in ("few", "flat"):
+        s = np.linalg.svd((x[u] - x[u].mean(axis=0)) / x[u].std(axis=0), compute_uv=False) ** 2
+        total = np.cumsum(s) / s.sum()
+        assert [got[u][k] for k in ("pc_85", "pc_90", "pc_95")] == [int(np.searchsorted(total, v) + 1) for v in (0.85, 0.90, 0.95)]
+        assert np.allclose([got[u]["pc1_variance"], got[u]["pc2_cumulative_variance"], got[u]["pc5_cumulative_variance"]], total[[0, 1, 4]])
+
+

@@ -10,13 +10,12 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import ordered
 from tidepanel.functions.scalars import probability_clip
+from tidepanel.operators.spectra import Spectra, scores
 from tidepanel.session import cut_lineage
 
 # Component counts and shares of variance that are tried.
@@ -140,65 +139,50 @@ def component_counts(ratio: np.ndarray, limit: int) -> dict[str, int]:
 # --- principal components over any number of markets -----------------------------------------
 
 
-#: Most components that are looked for, whatever the size of the matrix; what they leave is reported as not reached.
-COMPONENTS = 64
+def scaled_markets(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """(fold, split, ts, market_id, p, mean, std, z): prices in the market's training deviations; markets that do not vary in training are left out.
 
-
-def market_matrix(cells: DataFrame, value: str) -> tuple[RowMatrix, DataFrame]:
-    """A distributed matrix with a row per market and a column per hour, and the column of each hour."""
-    index = cut_lineage(ordered.dense_index(cells))
-    n = index.count()
-
-    @F.pandas_udf("array<double>")
-    def row_of(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for at, v in zip(places, values):
-            row = np.zeros(n)
-            row[at] = v
-            out.append(row)
-        return pd.Series(out)
-
-    listed = cells.join(index, "ts").groupBy("market_id").agg(F.collect_list(F.struct("idx", F.col(value).alias("v"))).alias("e"))
-    rows = cut_lineage(listed.select(row_of(F.col("e")["idx"], F.col("e")["v"]).alias("x")))
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("x").alias("x")), "x")
-    return RowMatrix(vectors, numCols=n), index
+    An hour without price sits at the training mean, so it is zero and carries no row.
+    """
+    placed = cells.join(members, "ts")
+    stats = placed.where("split = 'train'").groupBy("fold", "market_id").agg(
+        F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("hi > lo").drop("lo", "hi")
+    return placed.join(stats, ["fold", "market_id"]).select("fold", "split", "ts", "market_id", "p", "mean", "std", ((F.col("p") - F.col("mean")) / F.col("std")).alias("z"))
 
 
-def variance_shares(cells: DataFrame, value: str) -> np.ndarray:
-    """Leading shares of variance of standardised market series, at most COMPONENTS of them, by distributed products."""
-    total = cells.agg(F.sum(F.col(value) ** 2)).first()[0]
-    matrix, _ = market_matrix(cells, value)
-    k = min(COMPONENTS, matrix.numRows(), matrix.numCols())
-    return matrix.computeSVD(k, computeU=False).s.toArray() ** 2 / total
+COMPRESSED = ("pc_85", "pc_90", "pc_95", "pc1_variance", "pc2_cumulative_variance", "pc5_cumulative_variance", "components_found", "share_reached")
 
 
-def compressibility(cells: DataFrame) -> dict[str, float | int | None]:
-    """How few components carry a panel, how many were found and what share they reach; empty below two varying columns or a day of hours."""
-    stats = cells.groupBy("market_id").agg(
-        F.avg("p").alias("m"), F.sum((F.col("p")) ** 2).alias("q"), F.count("p").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("hi > lo")
-    hours, cols = cells.agg(F.countDistinct("ts")).first()[0], stats.count()
-    names = ("pc_85", "pc_90", "pc_95", "pc1_variance", "pc2_cumulative_variance", "pc5_cumulative_variance", "components_found", "share_reached")
-    if cols < 2 or hours < 24:
-        return dict.fromkeys(names)
+def compressibility(cells: DataFrame) -> dict[str, dict[str, float | int | None]]:
+    """Of every universe in `cells` (universe, ts, market_id, p) how few components carry its panel; nothing below two varying columns or a day of hours."""
+    hours = cells.groupBy("universe").agg(F.countDistinct("ts").alias("hours"))
+    stats = cells.groupBy("universe", "market_id").agg(
+        F.avg("p").alias("m"), F.sum(F.col("p") ** 2).alias("q"), F.count("p").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("hi > lo").join(hours, "universe")
+    names = [r["universe"] for r in hours.collect()]
+    able = {r["universe"] for r in stats.groupBy("universe").agg(F.count("*").alias("n"), F.max("hours").alias("h")).where("n >= 2 AND h >= 24").collect()}
+    out = {u: dict.fromkeys(COMPRESSED) for u in names}
+    if not able:
+        return out
     # Missing hours are filled with the mean, so they add nothing to the spread.
-    spread = F.sqrt((F.col("q") - F.col("c") * F.col("m") ** 2) / F.lit(hours))
-    z = cells.join(stats, "market_id").select("ts", "market_id", ((F.col("p") - F.col("m")) / spread).alias("z"))
-    total = np.cumsum(variance_shares(z, "z"))
-    reach = lambda s: int(np.searchsorted(total, s) + 1) if total[-1] >= s else None
-    return dict(zip(names, (reach(0.85), reach(0.90), reach(0.95), float(total[0]), float(total[min(1, len(total) - 1)]), float(total[min(4, len(total) - 1)]),
-                            len(total), float(total[-1]))))
-
-
-def market_embedding(cells: DataFrame, dims: int = 5) -> DataFrame:
-    """Each market's series in at most five components, hours standardised across markets first."""
-    hourly = cells.groupBy("ts").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).where("s > 0")
-    z = cells.join(hourly, "ts").select("ts", "market_id", ((F.col("p") - F.col("m")) / F.col("s")).alias("z"))
-    matrix, index = market_matrix(z, "z")
-    k = min(dims, matrix.numRows() - 1, matrix.numCols())
-    basis = matrix.computeSVD(k, computeU=False).V.toArray()  # k numbers for each hour
-    directions = z.sparkSession.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(basis)], "idx long, v array<double>")
-    placed = z.join(index, "ts").join(directions, "idx")
-    return placed.groupBy("market_id").agg(F.array(*[F.sum(F.col("z") * F.col("v")[i]) for i in range(k)]).alias("x"))
+    spread = F.sqrt((F.col("q") - F.col("c") * F.col("m") ** 2) / F.col("hours"))
+    z = cells.join(stats, ["universe", "market_id"]).where(F.col("universe").isin(sorted(able))).select(
+        F.col("universe").alias("grp"), "ts", "market_id", ((F.col("p") - F.col("m")) / spread).alias("z"))
+    for u, group in Spectra(z, 5, max(VARIANCE_SHARES)).groups.items():
+        total = np.cumsum(group.shares)
+        reach = lambda s: int(np.searchsorted(total, s) + 1) if total[-1] >= s else None
+        out[u] = dict(zip(COMPRESSED, (reach(0.85), reach(0.90), reach(0.95), float(total[0]), float(total[min(1, len(total) - 1)]), float(total[min(4, len(total) - 1)]),
+                                       len(total), float(total[-1]))))
+    return out
+
+
+def market_embedding(cells: DataFrame, key: str, dims: int = 5) -> DataFrame:
+    """(key, market_id, x): each market's series in at most five components, hours standardised across markets first; all keys together."""
+    hourly = cells.groupBy(key, "ts").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).where("s > 0")
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    z = cells.join(hourly, [key, "ts"]).select(F.col(key).cast("string").alias("grp"), F.col("market_id").alias("ts"), hour.alias("market_id"), ((F.col("p") - F.col("m")) / F.col("s")).alias("z"))
+    z = cut_lineage(z)  # hours take the place of markets: the components are directions in hours, a market is a row
+    placed = scores(z, Spectra(z, dims).loadings(dims), dims)
+    return placed.select(F.col("grp").cast(dict(cells.dtypes)[key]).alias(key), F.col("ts").alias("market_id"), F.col("s").alias("x"))
 
 
 # --- forecasters -----------------------------------------------------------------------------

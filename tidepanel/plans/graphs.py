@@ -164,11 +164,11 @@ X.add_cte("rhood_all", "SELECT fold, method, k, owner, member FROM rhoods UNION
 
 
 def pca_neighbours(live, k):
-    """The k nearest markets of each fold's embedding; a fold with one market has none."""
-    parts = []
-    for r in live.groupBy("fold").agg(F.countDistinct("market_id").alias("n")).where("n > 1").orderBy("fold").collect():
-        points = cut_lineage(L.market_embedding(live.where(F.col("fold") == r["fold"]).drop("fold")))
-        parts.append(G.nearest_points(points, k, G.block_count(points)).select(F.lit(r["fold"]).alias("fold"), "owner", "member", "rank"))
+    """The k nearest markets of each fold's embedding, all folds embedded together; a fold with one market has none."""
+    points, parts = cut_lineage(L.market_embedding(live, "fold")), []
+    for r in points.groupBy("fold").agg(F.count("*").alias("n")).where("n > 1").orderBy("fold").collect():
+        own = points.where(F.col("fold") == r["fold"])
+        parts.append(G.nearest_points(own, k, G.block_count(own)).select(F.lit(r["fold"]).alias("fold"), "owner", "member", "rank", "dist"))
     return M.union_models(parts)
 
 

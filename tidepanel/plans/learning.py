@@ -18,9 +18,8 @@ from tidepanel.operators import learn as L
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.operators import topology as Y
-from tidepanel.plans.graphs import K, neighbours, train_cells, train_corr
+from tidepanel.plans.graphs import K, neighbours, pca_neighbours, train_cells, train_corr
 from tidepanel.plans.panels import FAMILY_PIVOT
-from tidepanel.plans.quality import SPECS, pool
 from tidepanel.plans.registry import query, r6
 from tidepanel.plans.scoring import FOLD, r_all
 from tidepanel.session import cut_lineage
@@ -154,25 +153,6 @@ def each_fold(spark, d, fn):
     return M.union_models([fn(s, fold, *s.components(v, fold)) for fold in s.fold_ids()])
 
 
-@query("pca_fit_scores")
-def pca_fit_scores(spark, d):
-    def scores(s, fold, mine, fitted):
-        return mine.select("fold", "ts", F.posexplode(fitted.scores(F.col("x"), 5)).alias("component", "score"))
-
-    return r_all(each_fold(spark, d, scores))
-
-
-@query("pca_component_counts")
-def pca_component_counts(spark, d):
-    s = Setup(spark, d)
-    v = s.vectors()
-    rows = []
-    for fold in s.fold_ids():
-        _, fitted = s.components(v, fold)
-        rows += [(fold, name, k, float(fitted.ratio[:k].sum())) for name, k in L.component_counts(fitted.ratio, len(fitted.ratio)).items()]
-    return r_all(spark.createDataFrame(rows, "fold int, setting string, n_components int, explained double"))
-
-
 @query("pca_residuals")
 def pca_residuals(spark, d):
     def rest(s, fold, mine, fitted):
@@ -181,54 +161,6 @@ def pca_residuals(spark, d):
     return r_all(each_fold(spark, d, rest))
 
 
-@query("component_loadings")
-def component_loadings(spark, d):
-    s = Setup(spark, d)
-    z = cut_lineage(s.scaled())
-    v = cut_lineage(L.state_vectors(z, ["fold"]))
-    parts = []
-    for fold in s.fold_ids():
-        names = [r["feature"] for r in z.where(F.col("fold") == fold).select("feature").distinct().orderBy("feature").collect()]
-        _, fitted = s.components(v, fold)
-        parts += [(fold, c + 1, n, float(fitted.loadings[i, c])) for c in range(2) for i, n in enumerate(names)]
-    loads = spark.createDataFrame(parts, "fold int, component int, feature string, loading double")
-    mean = loads.groupBy("component", "feature").agg(F.avg("loading").alias("mean_loading"), F.countDistinct("fold").alias("folds"))
-    return r_all(FO.top_n_per_group(mean, ["component"], [F.round(F.abs("mean_loading"), 9).desc(), F.col("feature")], 5))
-
-
-@query("pca_compressibility")
-def pca_compressibility(spark, d):
-    h, m = X.hourly(spark, d), pool(spark, d)
-    filled = cut_lineage(P.active_ffill(h, P.active_windows(h, m)))
-    rows = []
-    for spec in SPECS:
-        from tidepanel.operators import quality as Q
-
-        ids = Q.candidate_membership(m, [spec]).where("in_panel").select("market_id")
-        cells = cut_lineage(P.overlap_panel(J.semi(filled, ids, "market_id"), J.semi(h, ids, "market_id")))
-        rows.append((spec["universe"], *L.compressibility(cells).values()))
-    return r_all(spark.createDataFrame(rows, "universe string, pc_85 int, pc_90 int, pc_95 int, pc1_variance double, pc2_cumulative_variance double, pc5_cumulative_variance double, "
-                                        "components_found int, share_reached double"))
-
-
-@query("pca_reconstruction_backtest")
-def pca_reconstruction_backtest(spark, d):
-    """Error of rebuilding each test hour's state from k components."""
-    s = Setup(spark, d)
-    v = s.vectors()
-    test = s.members.where("split = 'test'").select("fold", "ts")
-    parts = []
-    for fold in s.fold_ids():
-        mine, fitted = s.components(v, fold)
-        width = len(fitted.ratio)
-        for k in (2, 5, 10):
-            err = mine.join(test, ["fold", "ts"], "left_semi").select("fold", F.explode(fitted.residuals(F.col("x"), k, 1e9)).alias("e"))
-            parts.append(err.groupBy("fold").agg(
-                F.count("*").alias("n_obs"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"),
-            ).withColumns({"model": F.lit(f"pca_{k}"), "compression_ratio": F.lit(width / k)}))
-    return r_all(M.union_models(parts))
-
-
 @query("reconstruction_baselines", X.with_views("panel folds", """
     WITH tr AS (SELECT f.fold, p.market_id, avg(p.p) AS mean_p, arg_max(p.p, p.ts) AS last_p FROM panel p JOIN folds f ON p.ts BETWEEN f.train_start AND f.train_end GROUP BY 1, 2),
     e AS (SELECT f.fold, p.p - tr.mean_p AS em, p.p - tr.last_p AS el FROM panel p JOIN folds f ON p.ts BETWEEN f.test_start AND f.test_end JOIN tr ON tr.fold = f.fold AND tr.market_id = p.market_id)
@@ -247,12 +179,7 @@ def reconstruction_baselines(spark, d):
 
 @query("nearest_pca_neighbors")
 def nearest_pca_neighbors(spark, d):
-    live, parts = train_cells(spark, d), []
-    for r in live.select("fold").distinct().orderBy("fold").collect():
-        points = cut_lineage(L.market_embedding(live.where(F.col("fold") == r["fold"]).drop("fold")))
-        near = G.nearest_points(points, K, G.block_count(points))
-        parts.append(near.select(F.lit(r["fold"]).alias("fold"), "owner", "member", "rank", r6("dist")))
-    return M.union_models(parts)
+    return pca_neighbours(train_cells(spark, d), K).select("fold", "owner", "member", "rank", r6("dist"))
 
 
 # --- forecasters -------------------------------------------------------------------------------
