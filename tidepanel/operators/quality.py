@@ -340,15 +340,19 @@ def lifetime_summary(lifetimes: DataFrame, average: DataFrame) -> DataFrame:
     return sizes.join(days, by).join(hours, by)
 
 
-def class_balance(rows: DataFrame) -> DataFrame:
-    """Yes counts and rates, per market and per row, overall and by family, domain and fold.
+def class_balance(rows: DataFrame, core: list[str], satellites: list[str]) -> DataFrame:
+    """Yes counts and rates, per market and per row, overall and by family, domain, fold, panel and place in the panel.
 
     `rows` has market_id, y, family, domain, fold; one grouping over exploded slices.
     """
+    in_core, beside = F.coalesce(F.col("family").isin(core), F.lit(False)), F.coalesce(F.col("family").isin(satellites), F.lit(False))
+    place = F.when(in_core, "core").when(beside, "satellite").otherwise("other")
+    slice_of = lambda k, v: F.struct(F.lit(k).alias("slice_type"), v.alias("slice_value"))
+    panels = [slice_of("core_satellite", place), slice_of("panel", F.when(in_core, F.lit("core"))), slice_of("panel", F.when(in_core | beside, F.lit("core_plus_satellites")))]
     slices = F.array(*[F.struct(F.lit(k).alias("slice_type"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("slice_value"))
                        for k, c in (("family", "family"), ("domain", "domain"), ("fold", "fold"))],
-                     F.struct(F.lit("overall").alias("slice_type"), F.lit("overall").alias("slice_value")))
-    tally = rows.withColumn("s", F.explode(slices)).groupBy("s.slice_type", "s.slice_value", "market_id").agg(
+                     slice_of("overall", F.lit("overall")), *panels)
+    tally = rows.withColumn("s", F.explode(slices)).where("s.slice_value IS NOT NULL").groupBy("s.slice_type", "s.slice_value", "market_id").agg(
         F.max("y").alias("y"), F.count("*").alias("n"), F.sum("y").alias("yes"))
     return tally.groupBy("slice_type", "slice_value").agg(
         F.count("*").alias("markets"), F.sum("y").alias("yes_markets"), F.avg("y").alias("market_yes_rate"),

@@ -19,14 +19,13 @@ from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.operators import topology as Y
 from tidepanel.plans.graphs import K, neighbours, pca_neighbours, train_cells, train_corr
-from tidepanel.plans.panels import FAMILY_PIVOT
-from tidepanel.plans.registry import query, r6
+from tidepanel.plans.registry import query, r6, unix_hour
 from tidepanel.plans.scoring import FOLD, r_all
 from tidepanel.session import cut_lineage
 
 X.add_cte("fstate", """
     SELECT g.ts, g.family, avg(p.p) AS mean, median(p.p) AS median, coalesce(stddev_pop(p.p), 0) AS std, CAST(count(p.p) AS DOUBLE) AS n
-    FROM (SELECT h.ts, f.family FROM hours h, (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS family) f) g
+    FROM (SELECT h.ts, f.family FROM hours h, (SELECT DISTINCT family FROM markets WHERE family IS NOT NULL) f) g
     LEFT JOIN (SELECT panel.ts, panel.p, m.family FROM panel JOIN markets m USING (market_id)) p ON p.ts = g.ts AND p.family = g.family GROUP BY 1, 2""",
     ["hours", "panel", "markets"])
 X.add_cte("flong", """
@@ -34,6 +33,11 @@ X.add_cte("flong", """
     UNION ALL SELECT ts, family || '__std', std FROM fstate UNION ALL SELECT ts, family || '__count', n FROM fstate""", ["fstate"])
 
 
+def family_names(markets):
+    """The families of the market table, a few labels, in order."""
+    return [r["family"] for r in markets.select("family").where("family IS NOT NULL").distinct().orderBy("family").collect()]
+
+
 class Setup:
     """Panel, folds and scaled state shared by the queries below, written once per query."""
 
@@ -46,9 +50,10 @@ class Setup:
     cells = property(lambda self: self.inputs.panel)
     index = cached_property(lambda self: P.hour_index(self.hourly))
     folds = cached_property(lambda self: cut_lineage(FO.chronological_folds(self.cells, **FOLD)))
+    families = cached_property(lambda self: family_names(self.markets))
     members = cached_property(lambda self: J.fold_hours(self.folds))
     rows = cached_property(lambda self: cut_lineage(self.inputs.supervised))
-    long = cached_property(lambda self: cut_lineage(L.state_features(P.family_state(self.cells, self.markets), self.index, FAMILY_PIVOT)))
+    long = cached_property(lambda self: cut_lineage(L.state_features(P.family_state(self.cells, self.markets), self.index, self.families)))
 
     def fold_ids(self):
         return [r["fold"] for r in self.folds.select("fold").orderBy("fold").collect()]
@@ -94,9 +99,16 @@ def scored(preds, *keys):
     WITH tr AS (SELECT f.fold, l.* FROM flong l JOIN folds f ON l.ts BETWEEN f.train_start AND f.train_end),
     st AS (SELECT fold, feature, avg(value) AS m FROM tr GROUP BY 1, 2 HAVING count(DISTINCT value) > 1),
     sd AS (SELECT fold, feature, any_value(st.m) AS m, stddev_pop(coalesce(tr.value, st.m)) AS s FROM tr JOIN st USING (fold, feature) GROUP BY 1, 2)
-    SELECT fold, l.ts, feature, round((coalesce(l.value, m) - m) / s, 6) AS z FROM flong l JOIN sd USING (feature)"""))
+    SELECT fold, feature, date_trunc('day', l.ts) AS day, count(*) AS n_hours, round(min((coalesce(l.value, m) - m) / s), 6) AS least, round(max((coalesce(l.value, m) - m) / s), 6) AS most,
+      round(avg((coalesce(l.value, m) - m) / s), 6) AS mean, round(stddev_pop((coalesce(l.value, m) - m) / s), 6) AS spread,
+      round(sum((coalesce(l.value, m) - m) / s * (1 + CAST(epoch(l.ts) // 3600 AS BIGINT) % 24)), 4) AS by_hour
+    FROM flong l JOIN sd USING (feature) GROUP BY 1, 2, 3"""))
 def fit_impute_scale(spark, d):
-    return Setup(spark, d).scaled().select("fold", "ts", "feature", r6("z"))
+    """The scaled state of every hour, told by fold, feature and day: number, bounds, mean, spread and a sum weighted by the hour."""
+    hour = F.lit(1) + unix_hour() % 24
+    return Setup(spark, d).scaled().groupBy("fold", "feature", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
+        F.count("*").alias("n_hours"), r6(F.min("z"), "least"), r6(F.max("z"), "most"), r6(F.avg("z"), "mean"), r6(F.stddev_pop("z"), "spread"),
+        F.round(F.sum(F.col("z") * hour), 4).alias("by_hour"))
 
 
 @query("fit_impute_scale_median", X.with_views("flong folds", """

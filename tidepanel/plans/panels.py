@@ -9,7 +9,7 @@ from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
-from tidepanel.plans.registry import query, r6
+from tidepanel.plans.registry import HOUR_SQL, digest_sql, micro, micro_sql, query, r6, row_digest, unix_hour
 from tidepanel.session import cut_lineage
 
 CORE = ["HOUSEHOLD", "MACHINERY", "FURNITURE"]
@@ -89,17 +89,18 @@ def bucket_last(spark, d):
     return P.bucket_last(X.prices(spark, d)).select("ts", "market_id", r6("p"))
 
 
-FAMILY_PIVOT = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-FAMILIES_SQL = ", ".join(f"'{f}'" for f in FAMILY_PIVOT)
+PIVOTED = 8
 
 
-@query("pivot_panel", X.with_views("hourly", "SELECT ts, " + ", ".join(
-    f"round(max(CASE WHEN market_id = {i} THEN p END), 6) AS m{i}" for i in range(1, 9)
-) + " FROM hourly WHERE market_id BETWEEN 1 AND 8 GROUP BY ts"))
+@query("pivot_panel", X.with_views("hourly", f"""
+    WITH places AS (SELECT market_id, row_number() OVER (ORDER BY md5(CAST(market_id AS VARCHAR)), market_id) - 1 AS place FROM (SELECT DISTINCT market_id FROM hourly))
+    SELECT place // {PIVOTED} AS block, ts, """ + ", ".join(
+    f"round(max(CASE WHEN place % {PIVOTED} = {i} THEN p END), 6) AS m{i + 1}" for i in range(PIVOTED)) + " FROM hourly JOIN places USING (market_id) GROUP BY 1, 2"))
 def pivot_panel(spark, d):
-    ids = list(range(1, 9))
-    wide = P.pivot_panel(X.hourly(spark, d), ids)
-    return wide.select("ts", *[r6(F.col(str(i)), f"m{i}") for i in ids])
+    """Wide form of all markets, eight columns to a block."""
+    h = X.hourly(spark, d)
+    wide = P.pivot_blocks(h, P.market_places(h, PIVOTED), PIVOTED)
+    return wide.select("block", "ts", *[r6(F.col("values")[i], f"m{i + 1}") for i in range(PIVOTED)])
 
 
 X.add_cte("places", f"""
@@ -367,20 +368,27 @@ def timestamp_metadata(spark, d):
     return t.withColumn("average_market_probability", r6("average_market_probability"))
 
 
-@query("future_targets", X.with_views("sup panel", """
-    SELECT ts, market_id, round(f24, 6) AS future_price_24h, round(f72, 6) AS future_price_72h,
-      round(abs(f24 - p), 6) AS abs_move_24h, CAST(abs(f24 - p) >= 0.10 AS INTEGER) AS large_move_24h,
-      round(abs(f72 - p), 6) AS abs_move_72h, CAST(abs(f72 - p) >= 0.10 AS INTEGER) AS large_move_72h,
-      round(abs(p - y), 6) AS abs_error, round((p - y) * (p - y), 6) AS squared_error,
+MOVES = ("future_price_24h", "abs_move_24h", "future_price_72h", "abs_move_72h", "abs_error", "squared_error")
+FLAGS = ("large_move_24h", "large_move_72h", "miscalibrated")
+
+
+@query("future_targets", X.with_views("sup panel", f"""
+    SELECT date_trunc('day', ts) AS day, count(*) AS n_rows, bit_xor({digest_sql(HOUR_SQL, "market_id", *[micro_sql(m) for m in MOVES], *FLAGS)}) AS digest,
+      {", ".join(f"round(avg({c}), 6) AS {c}" for c in (*MOVES, *FLAGS))} FROM (
+    SELECT ts, market_id, f24 AS future_price_24h, f72 AS future_price_72h,
+      abs(f24 - p) AS abs_move_24h, CAST(abs(f24 - p) >= 0.10 AS INTEGER) AS large_move_24h,
+      abs(f72 - p) AS abs_move_72h, CAST(abs(f72 - p) >= 0.10 AS INTEGER) AS large_move_72h,
+      abs(p - y) AS abs_error, (p - y) * (p - y) AS squared_error,
       CAST(abs(p - y) >= 0.25 AS INTEGER) AS miscalibrated
     FROM (SELECT s.*, a.p AS f24, b.p AS f72 FROM sup s
       LEFT JOIN panel a ON a.market_id = s.market_id AND a.ts = s.ts + INTERVAL 24 HOUR
-      LEFT JOIN panel b ON b.market_id = s.market_id AND b.ts = s.ts + INTERVAL 72 HOUR)"""))
+      LEFT JOIN panel b ON b.market_id = s.market_id AND b.ts = s.ts + INTERVAL 72 HOUR)) GROUP BY 1"""))
 def future_targets(spark, d):
+    """Targets of every row, told by day: number, digest of all rows and means."""
     out = P.future_targets((x := X.Inputs(spark, d)).supervised, x.panel)
-    return out.select(
-        "ts", "market_id", r6("future_price_24h"), r6("future_price_72h"), r6("abs_move_24h"), "large_move_24h",
-        r6("abs_move_72h"), "large_move_72h", r6("abs_error"), r6("squared_error"), "miscalibrated")
+    return out.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
+        F.count("*").alias("n_rows"), F.bit_xor(row_digest(unix_hour(), "market_id", *[micro(m) for m in MOVES], *FLAGS)).alias("digest"),
+        *[r6(F.avg(c), c) for c in (*MOVES, *FLAGS)])
 
 
 @query("sliding_windows", X.with_views("panel hours span", """
@@ -475,12 +483,17 @@ def asof_backward_by(spark, d):
     return out.withColumn("sampled_p", r6("sampled_p"))
 
 
-@query("shift_join", X.with_views("panel", """
-    SELECT a.ts, a.market_id, round(a.p, 6) AS p, round(b.p, 6) AS later FROM panel a
-    LEFT JOIN panel b ON b.market_id = a.market_id AND b.ts = a.ts + INTERVAL 24 HOUR"""))
+@query("shift_join", X.with_views("panel", f"""
+    SELECT date_trunc('day', ts) AS day, count(*) AS n_rows, count(later) AS met, bit_xor({digest_sql(HOUR_SQL, "market_id", micro_sql("p"), micro_sql("later"))}) AS digest,
+      round(avg(later - p), 6) AS mean_change FROM (SELECT a.ts, a.market_id, a.p, b.p AS later FROM panel a
+      LEFT JOIN panel b ON b.market_id = a.market_id AND b.ts = a.ts + INTERVAL 24 HOUR) GROUP BY 1"""))
 def shift_join(spark, d):
+    """Every price with the one a day later, told by day: number, digest of all rows and mean change."""
     cells = X.active_panel(spark, d)
-    return P.shift_join(cells, cells, 24, "later").select("ts", "market_id", r6("p"), r6("later"))
+    out = P.shift_join(cells, cells, 24, "later")
+    return out.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(
+        F.count("*").alias("n_rows"), F.count("later").alias("met"), F.bit_xor(row_digest(unix_hour(), "market_id", micro("p"), micro("later"))).alias("digest"),
+        r6(F.avg(F.col("later") - F.col("p")), "mean_change"))
 
 
 @query("pair_self_join", X.with_views("panel", """

@@ -11,10 +11,12 @@ from tidepanel.operators import joins as J
 from tidepanel.operators import merge as M
 from tidepanel.operators import panel as P
 from tidepanel.operators import quality as Q
+from tidepanel.plans.panels import CORE, CORE_SQL, SATELLITE
 from tidepanel.plans.registry import query, r6
 from tidepanel.session import cut_lineage
 
 FOLD = {"initial": 0.60, "test": 48, "step": 48, "min_test": 24}
+SATELLITE_SQL = "(" + ", ".join(f"'{f}'" for f in SATELLITE) + ")"
 INNER = {"fraction": 0.20, "min_train": 240, "min_val": 48}
 
 X.add_cte("idx", "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM panel)", ["panel"])
@@ -112,17 +114,20 @@ def fold_feature_columns(spark, d):
     return FO.fold_feature_columns(long, J.fold_hours(folds(spark, d, cells)))
 
 
-@query("class_balance", X.with_views("sup folds", """
+@query("class_balance", X.with_views("sup folds", f"""
     WITH r AS (SELECT f.fold, s.* FROM sup s JOIN folds f ON s.ts BETWEEN f.test_start AND f.test_end),
     s AS (SELECT 'overall' AS slice_type, 'overall' AS slice_value, * FROM r UNION ALL SELECT 'family', family, * FROM r
-      UNION ALL SELECT 'domain', domain, * FROM r UNION ALL SELECT 'fold', CAST(fold AS VARCHAR), * FROM r),
+      UNION ALL SELECT 'domain', domain, * FROM r UNION ALL SELECT 'fold', CAST(fold AS VARCHAR), * FROM r
+      UNION ALL SELECT 'core_satellite', CASE WHEN family IN {CORE_SQL} THEN 'core' WHEN family IN {SATELLITE_SQL} THEN 'satellite' ELSE 'other' END, * FROM r
+      UNION ALL SELECT 'panel', 'core', * FROM r WHERE family IN {CORE_SQL}
+      UNION ALL SELECT 'panel', 'core_plus_satellites', * FROM r WHERE family IN {CORE_SQL} OR family IN {SATELLITE_SQL}),
     m AS (SELECT slice_type, slice_value, market_id, max(y) AS y, count(*) AS n, sum(y) AS yes FROM s GROUP BY 1, 2, 3)
     SELECT slice_type, slice_value, count(*) AS markets, CAST(sum(y) AS BIGINT) AS yes_markets, round(avg(y), 6) AS market_yes_rate,
       CAST(sum(n) AS BIGINT) AS rows, CAST(sum(yes) AS BIGINT) AS yes_rows, round(sum(yes) / sum(n), 6) AS row_yes_rate FROM m GROUP BY 1, 2"""))
 def class_balance(spark, d):
     cells = X.active_panel(spark, d)
     rows = J.fold_rows(P.supervised_rows(cells, X.markets(spark, d)), folds(spark, d, cells), "test")
-    return r_all(Q.class_balance(rows))
+    return r_all(Q.class_balance(rows, CORE, SATELLITE))
 
 
 @query("skip_degenerate", X.with_views("sup folds", """

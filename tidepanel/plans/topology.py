@@ -11,7 +11,7 @@ from tidepanel.operators import graph as G
 from tidepanel.operators import learn as L
 from tidepanel.operators import panel as P
 from tidepanel.operators import topology as T
-from tidepanel.plans.panels import FAMILY_PIVOT
+from tidepanel.plans.learning import family_names
 from tidepanel.plans.registry import query, r6
 from tidepanel.plans.scoring import FOLD, r_all
 from tidepanel.session import cut_lineage
@@ -152,7 +152,7 @@ def scaled_state(spark, d):
     h, m = X.hourly(spark, d), X.markets(spark, d)
     cells = cut_lineage(P.active_ffill(h, P.active_windows(h, m)))
     index = P.hour_index(h)
-    long = cut_lineage(L.state_features(P.family_state(cells, m), index, FAMILY_PIVOT))
+    long = cut_lineage(L.state_features(P.family_state(cells, m), index, family_names(m)))
     first = FO.chronological_folds(cells, **FOLD).where("fold = 1")
     train = long.join(J.fold_hours(first).where("split = 'train'").select("ts"), "ts", "left_semi")
     z = L.scale(long, L.fit_scale(train, ["feature"]), ["feature"], clip=10.0)
