@@ -242,10 +242,10 @@ def top_correlated(cells: DataFrame, keys: list[str], k: int, least_hours: int =
 # --- sliding windows -------------------------------------------------------------------------
 
 
-def sliding_pairs(cells: DataFrame, first: int, windows: tuple[int, ...], stride: int, least: float, blocks: int) -> DataFrame:
+def sliding_pairs(cells: DataFrame, first: int, last: int, windows: tuple[int, ...], stride: int, least: float, blocks: int) -> DataFrame:
     """(window_hours, window_end, a, b, r) of the strong pairs in every strided trailing window of every length, from one product.
 
-    Windows end where the hour of day divides by the stride, and must lie behind the hour `first`. An hour is multiplied once, but for those that open
+    Windows end where the hour of day divides by the stride, and must lie between the hours `first` and `last`. An hour is multiplied once, but for those that open
     a chunk, which close the chunk before it as well; a window is the sum of its last window / stride slices. `cells` is dense in time: every block has
     a value in every slice.
     """
@@ -266,7 +266,7 @@ def sliding_pairs(cells: DataFrame, first: int, windows: tuple[int, ...], stride
         if at // CHUNK_SLICES != key[0]:
             return  # belongs to the chunk before
         for w in windows:
-            if at * stride - w + 1 < first:
+            if at * stride - w + 1 < first or at * stride > last:
                 continue
             start = at - w // stride + 1
             r = correlation(block.last(start), 2)

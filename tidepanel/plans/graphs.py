@@ -292,11 +292,11 @@ def rolling_corr_graph(spark, d):
 
 def sliding(dense, index, blocks):
     """The strong pairs of every window of every length, and the varying markets of each window that has at least four."""
-    first = index.agg(F.min(R.unix_hour())).first()[0]
+    first, last = index.agg(F.min(R.unix_hour()), F.max(R.unix_hour())).first()
     ends = M.union_models([P.window_ends(index, w, STRIDE).withColumn("window_hours", F.lit(w)) for w in WINDOWS])
     sizes = R.sliding_bounds(dense, WINDOWS, STRIDE, ends).groupBy(*WINDOW).agg(F.count("*").alias("n")).where("n >= 4")
     sizes = cut_lineage(sizes)
-    strong = R.sliding_pairs(dense, first, WINDOWS, STRIDE, min(G.THRESHOLDS), blocks)
+    strong = R.sliding_pairs(dense, first, last, WINDOWS, STRIDE, min(G.THRESHOLDS), blocks)
     return cut_lineage(strong.join(sizes.select(*WINDOW), WINDOW, "left_semi")), sizes
 
 
