@@ -118,14 +118,21 @@ def top_corr_neighbor_sizes(spark, d):
     return sized.groupBy("fold", "k").agg(F.count("*").alias("links"), r6(F.avg("w"), "mean_abs_corr"))
 
 
-# Draws j = 1 ... 3k + 8 of an owner are places on a list of the markets in an order of their own; repeats and the owner are passed over.
-@query("random_neighbors", X.with_views("live", f"""
-    WITH listed AS (SELECT fold, market_id, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || market_id), market_id) - 1 AS place,
-        count(*) OVER (PARTITION BY fold) AS m FROM (SELECT DISTINCT fold, market_id FROM live)),
-    drawn AS (SELECT fold, market_id AS owner, j, ('0x' || substr(md5('7:' || market_id || ':' || j), 1, 12))::BIGINT % m AS place
-        FROM listed, (SELECT unnest(range(1, {3 * K + 8 + 1})) AS j)),
-    met AS (SELECT d.fold, d.owner, l.market_id AS member, min(d.j) AS j FROM drawn d JOIN listed l USING (fold, place) WHERE l.market_id <> d.owner GROUP BY 1, 2, 3)
-    SELECT fold, owner, member FROM (SELECT *, row_number() OVER (PARTITION BY fold, owner ORDER BY j) AS rank FROM met) WHERE rank <= {K}"""))
+X.add_cte("rlisted", """
+    SELECT fold, market_id, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || market_id), market_id) - 1 AS place,
+      count(*) OVER (PARTITION BY fold) AS m FROM (SELECT DISTINCT fold, market_id FROM live)""", ["live"])
+
+
+def drawn_sql(k):
+    """Draws 1 ... 3k + 8 of each owner are places on the list of markets; behind them come the k + 1 places from draw 0 on."""
+    return f"""
+    SELECT d.fold, d.owner, l.market_id AS member, min(d.j) AS j FROM (SELECT fold, market_id AS owner, j,
+        (('0x' || substr(md5('7:' || market_id || ':' || CASE WHEN j > {3 * k + 8} THEN 0 ELSE j END), 1, 12))::BIGINT + greatest(j - {3 * k + 9}, 0)) % m AS place
+        FROM rlisted, (SELECT unnest(range(1, {4 * k + 10})) AS j)) d JOIN rlisted l USING (fold, place) WHERE l.market_id <> d.owner GROUP BY 1, 2, 3"""
+
+
+@query("random_neighbors", X.with_views("rlisted", f"""
+    SELECT fold, owner, member FROM (SELECT *, row_number() OVER (PARTITION BY fold, owner ORDER BY j) AS rank FROM ({drawn_sql(K)})) WHERE rank <= {K}"""))
 def random_neighbors(spark, d):
     return G.random_neighbors(train_cells(spark, d), K, 7, ["fold"]).select("fold", "owner", "member")
 
@@ -149,14 +156,8 @@ X.add_cte("hood_all", "SELECT fold, method, k, owner, member FROM hoods UNION SE
 HOOD = ["fold", "method", "k"]
 KMAX = max(G.NEIGHBOURHOOD_SIZES)
 
-# Random neighbourhoods of each size, the first k of the largest one's; behind the draws come the k + 1 places from draw 0 on.
-X.add_cte("rlisted", """
-    SELECT fold, market_id, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || market_id), market_id) - 1 AS place,
-      count(*) OVER (PARTITION BY fold) AS m FROM (SELECT DISTINCT fold, market_id FROM live)""", ["live"])
-X.add_cte("rmet", f"""
-    SELECT d.fold, d.owner, l.market_id AS member, min(d.j) AS j FROM (SELECT fold, market_id AS owner, j,
-        (('0x' || substr(md5('7:' || market_id || ':' || CASE WHEN j > {3 * KMAX + 8} THEN 0 ELSE j END), 1, 12))::BIGINT + greatest(j - {3 * KMAX + 9}, 0)) % m AS place
-        FROM rlisted, (SELECT unnest(range(1, {4 * KMAX + 10})) AS j)) d JOIN rlisted l USING (fold, place) WHERE l.market_id <> d.owner GROUP BY 1, 2, 3""", ["rlisted"])
+# Random neighbourhoods of each size, the first k of the largest one's.
+X.add_cte("rmet", drawn_sql(KMAX), ["rlisted"])
 X.add_cte("rhoods", f"""
     SELECT fold, 'random' AS method, k, owner, member FROM (SELECT *, row_number() OVER (PARTITION BY fold, owner ORDER BY j) AS rank FROM rmet),
       (SELECT unnest([{", ".join(map(str, G.NEIGHBOURHOOD_SIZES))}]) AS k) WHERE rank <= k""", ["rmet"])
