@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import ordered
 from tidepanel.operators import panel as P
+from tidepanel.operators.forest import joins_at, spanning_forest
 from tidepanel.session import cut_lineage
 
 # Correlation thresholds of the graphs and the neighbourhood sizes.
@@ -217,20 +218,21 @@ def triangle_counts(edges: DataFrame, degrees: DataFrame, keys: list[str]) -> Da
     return closed.groupBy(*keys).agg(F.count("*").alias("triangles"))
 
 
-def graph_features(edges: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+def graph_features(edges: DataFrame, sizes: DataFrame, keys: list[str], joins: DataFrame | None = None) -> DataFrame:
     """Components, cycle rank, edge density, mean degree and clustering per key.
 
-    `edges` lists a < b once; `sizes` gives the number of nodes `n` of every key, edges or not.
+    `edges` lists a < b once; `sizes` gives the number of nodes `n` of every key, edges or not. `joins` may bring (keys, joins), by how many
+    a key has fewer components than nodes, as a spanning forest tells; otherwise components are labelled.
     """
     ends = edges.select(*keys, F.explode(F.array("a", "b")).alias("node"))
     degrees = ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
     shape = degrees.groupBy(*keys).agg(
-        F.count("*").alias("linked"), (F.sum("degree") / 2).cast("long").alias("edges"),
-        F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("triples"))
-    roots = connected_labels(edges, keys).groupBy(*keys).agg(F.count_if(F.col("node") == F.col("label")).alias("roots"))
-    out = sizes.join(shape, keys, "left").join(roots, keys, "left").join(triangle_counts(edges, degrees, keys), keys, "left")
-    zero = {c: 0 for c in ("linked", "edges", "triples", "roots", "triangles")}
-    return describe_graph(out.na.fill(zero).withColumn("components", F.col("n") - F.col("linked") + F.col("roots")), keys)
+        (F.sum("degree") / 2).cast("long").alias("edges"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("triples"))
+    if joins is None:
+        joins = connected_labels(edges, keys).groupBy(*keys).agg(F.count_if(F.col("node") != F.col("label")).alias("joins"))
+    out = sizes.join(shape, keys, "left").join(joins, keys, "left").join(triangle_counts(edges, degrees, keys), keys, "left")
+    zero = {c: 0 for c in ("edges", "triples", "joins", "triangles")}
+    return describe_graph(out.na.fill(zero).withColumn("components", F.col("n") - F.col("joins")), keys)
 
 
 def describe_graph(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -251,8 +253,10 @@ def threshold_edges(corr: DataFrame, keys: list[str], thresholds=THRESHOLDS) ->
 
 
 def threshold_graphs(corr: DataFrame, sizes: DataFrame, keys: list[str], thresholds=THRESHOLDS) -> DataFrame:
+    """The graph features at every threshold; components of all of them come from one spanning forest."""
     per_t = sizes.withColumn("t", F.explode(F.array([F.lit(float(t)) for t in thresholds])))
-    return graph_features(threshold_edges(corr, keys, thresholds), per_t, [*keys, "t"])
+    forest = spanning_forest(corr.select(*keys, "a", "b", F.round(F.abs("r"), 9).alias("w")), keys)
+    return graph_features(threshold_edges(corr, keys, thresholds), per_t, [*keys, "t"], joins_at(forest, keys, thresholds))
 
 
 # --- neighbourhoods --------------------------------------------------------------------------

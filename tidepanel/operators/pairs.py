@@ -211,6 +211,49 @@ def strong_pairs(cells: DataFrame, keys: list[str], least: float, least_hours: i
     return stream(dealt_to_blocks(_centred(cells, keys), keys, blocks or G.block_count(cells)), keys, schema, 1, finish)
 
 
+def local_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of a maximum spanning forest of one block pair's edges, ties by the smaller ids."""
+    ids = np.unique(np.r_[a, b])
+    top = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    kept = []
+    order = np.lexsort((b, a, -w))
+    for at, i, j in zip(order.tolist(), np.searchsorted(ids, a)[order].tolist(), np.searchsorted(ids, b)[order].tolist()):
+        if (i := root(i)) != (j := root(j)):
+            top[i] = j
+            kept.append(at)
+            if len(kept) == len(ids) - 1:
+                break
+    return np.array(kept, np.int64)
+
+
+def forest_pairs(cells: DataFrame, keys: list[str], least_hours: int = 2, blocks: int | None = None) -> DataFrame:
+    """(keys, a, b, w) of pairs that hold a maximum spanning forest of all pairs by |r| to nine places; pairs without an r are none.
+
+    A block pair tells the forest of its own pairs, fewer than it has markets: what leaves the product grows with markets and blocks, at any threshold.
+    """
+    types = dict(cells.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "a long", "b long", "w double"])
+
+    def finish(key: tuple, block: Block) -> Iterator[dict]:
+        w = np.round(np.abs(correlation(block.last(-(1 << 62)), least_hours)), 9)
+        i, j = np.nonzero(~np.isnan(w))
+        a, b = block.left.ids()[i], block.right.ids()[j]
+        lo, hi, w = np.minimum(a, b), np.maximum(a, b), w[i, j]
+        once = (a < b) if block.same else np.ones(len(a), bool)
+        lo, hi, w = lo[once], hi[once], w[once]
+        kept = local_forest(lo, hi, w)
+        yield _with_keys(keys, key, {"a": lo[kept], "b": hi[kept], "w": w[kept]}, len(kept))
+
+    return stream(dealt_to_blocks(_centred(cells, keys), keys, blocks or G.block_count(cells)), keys, schema, 1, finish)
+
+
 def top_correlated(cells: DataFrame, keys: list[str], k: int, least_hours: int = 2, blocks: int | None = None) -> DataFrame:
     """(keys, owner, member, w, rank): the k markets most correlated with each one, a missing r counting as zero, ties by id.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import fixtures as X
 from tidepanel.operators import folds as FO
+from tidepanel.operators import forest as T
 from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
 from tidepanel.operators import learn as L
@@ -95,6 +96,28 @@ def threshold_graph_features(spark, d):
     return r_all(G.threshold_graphs(cut_lineage(R.strong_pairs(live, ["fold"], min(G.THRESHOLDS))), sizes, ["fold"]), "t")
 
 
+CURVE = (0.01, 0.02, *(round(0.05 * i, 2) for i in range(1, 20)), 0.97, 0.99)
+
+
+@query("threshold_component_curve", X.with_views("tcorr", f"""
+    WITH cuts23 AS (SELECT CAST(unnest([{', '.join(map(str, CURVE))}]) AS DOUBLE) AS t),
+    nd AS (SELECT fold, t, market_id AS node FROM (SELECT DISTINCT fold, market_id FROM live), cuts23),
+    ed AS (SELECT fold, t, a, b FROM tcorr, cuts23 WHERE round(abs(r), 9) >= t),
+    both_ways AS (SELECT fold, t, a AS u, b AS v FROM ed UNION ALL SELECT fold, t, b, a FROM ed),
+    heard AS (SELECT fold, t, node, node AS label FROM nd UNION SELECT w.fold, w.t, w.v, min(h.label) FROM heard h JOIN both_ways w
+      ON w.fold = h.fold AND w.t = h.t AND w.u = h.node GROUP BY w.fold, w.t, w.v HAVING min(h.label) < w.v),
+    least AS (SELECT fold, t, node, min(label) AS label FROM heard GROUP BY 1, 2, 3),
+    comp AS (SELECT fold, t, label, count(*) AS size FROM least GROUP BY 1, 2, 3)
+    SELECT fold, t, sum(size)::BIGINT AS nodes, count(*) AS components FROM comp GROUP BY 1, 2""").replace("WITH ", "WITH RECURSIVE ", 1))
+def threshold_component_curve(spark, d):
+    """Components of every fold's correlation graph at twenty-three thresholds, all from one spanning forest."""
+    live = train_cells(spark, d)
+    forest = T.spanning_forest(R.forest_pairs(live, ["fold"]), ["fold"])
+    sizes = live.groupBy("fold").agg(F.countDistinct("market_id").alias("nodes")).withColumn("t", F.explode(F.array([F.lit(t) for t in CURVE])))
+    told = sizes.join(T.joins_at(forest, ["fold"], CURVE), ["fold", "t"], "left")
+    return told.select("fold", "t", "nodes", (F.col("nodes") - F.coalesce("joins", F.lit(0))).alias("components"))
+
+
 X.add_cte("near", f"""
     SELECT fold, owner, member, rank FROM (SELECT fold, owner, member, row_number() OVER (PARTITION BY fold, owner
       ORDER BY round(coalesce(abs(r), 0), 9) DESC, member) AS rank
