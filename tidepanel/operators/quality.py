@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,10 +211,10 @@ def candidate_membership(markets: DataFrame, specs: list[dict]) -> DataFrame:
 
 
 def candidate_summary(markets: DataFrame, hourly: DataFrame, filled: DataFrame, specs: list[dict], min_hours: int = 24,
-                      compressibility: DataFrame | None = None) -> DataFrame:
+                      compressibility: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Size, balance, coverage, correlation and component scores of each universe, best first.
 
-    `compressibility` may bring (universe, pc_90); without it that component counts as zero.
+    `compressibility` tells (universe, pc_90) of all universes' panels (universe, ts, market_id, p) together; without it that part counts as zero.
     """
     members = candidate_membership(markets, specs)
     meta = members.groupBy("universe").agg(F.count("*").alias("metadata_market_count"))
@@ -236,7 +238,7 @@ def candidate_summary(markets: DataFrame, hourly: DataFrame, filled: DataFrame,
         F.countDistinct("domain").alias("domain_count"), F.max("requested_domains").alias("requested_domain_count"))
     out = meta.join(rows, "universe").join(kept, "universe").join(corr, "universe")
     if compressibility is not None:
-        out = out.join(compressibility, "universe", "left")
+        out = out.join(compressibility(panel.select("universe", "ts", "market_id", "p")), "universe", "left")
     else:
         out = out.withColumn("pc_90", F.lit(None).cast("int"))
     size = F.col("timestamp_count") * F.col("panel_market_count")
@@ -284,8 +286,8 @@ def missingness_decomposition(cells: DataFrame, raw: DataFrame, mask: DataFrame,
 
 
 def constrained_universes(average: DataFrame, pairs: DataFrame, cells: DataFrame, mask: DataFrame, index: DataFrame, markets: DataFrame,
-                          thresholds: dict[str, float]) -> DataFrame:
-    """Every universe of markets whose average overlap reaches a threshold, summarised in one job."""
+                          thresholds: dict[str, float], compressibility: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every universe of markets whose average overlap reaches a threshold, summarised in one job; `compressibility` adds pc_90 as above."""
     opts = F.array(*[F.struct(F.lit(n).alias("universe"), F.lit(float(t)).alias("t")) for n, t in thresholds.items()])
     keep = average.withColumn("o", F.explode(opts)).where(F.col("average_overlap") >= F.col("o.t")).select("o.universe", "market_id")
     keep = cut_lineage(keep)
@@ -305,8 +307,12 @@ def constrained_universes(average: DataFrame, pairs: DataFrame, cells: DataFrame
     middle = ordered.quantiles(inside.unionByName(zeros), ["universe"], "overlap", {"median_pairwise_overlap": 0.5}, "weight")
     out = base.join(filled, "universe").join(active, "universe").join(middle, "universe", "left")
     some = F.nullif(F.col("pairs"), F.lit(0))
+    more = []
+    if compressibility is not None:
+        out = out.join(compressibility(keep.join(cells, "market_id").select("universe", "ts", "market_id", "p")), "universe", "left")
+        more = ["pc_90"]
     return out.select(
-        "universe", "market_count", "yes_rate", binary_entropy("yes_rate").alias("class_entropy"),
+        "universe", *more, "market_count", "yes_rate", binary_entropy("yes_rate").alias("class_entropy"),
         (1 - F.col("cells") / (F.col("hours") * F.col("market_count"))).alias("panel_missingness"),
         "median_active_markets", "mean_active_markets", (zero_if_null("total") / some).alias("mean_pairwise_overlap"),
         "median_pairwise_overlap",
@@ -314,14 +320,19 @@ def constrained_universes(average: DataFrame, pairs: DataFrame, cells: DataFrame
         F.col("hi").alias("max_pairwise_overlap"))
 
 
-def recommend_universe(candidates: DataFrame, letters: dict[str, str], unconstrained: str, min_markets: int = 25) -> DataFrame:
-    """Letter of the best viable universe; "A" when no constrained one is viable."""
-    scored = candidates.where(F.col("market_count") >= min_markets).withColumns({
+def choice_scores(candidates: DataFrame, min_markets: int = 25) -> DataFrame:
+    """The viable universes with the parts of their score; without pc_90 the latent part counts as zero."""
+    return candidates.where(F.col("market_count") >= min_markets).withColumns({
         "balance_score": balance_score(F.col("yes_rate")),
         "missingness_score": F.greatest(F.lit(0.0), 1 - F.col("panel_missingness")),
         "market_score": F.least(F.lit(1.0), F.col("market_count") / 100),
         "latent_score": F.greatest(F.lit(0.0), 1 - F.col("pc_90") / F.col("market_count")) if "pc_90" in candidates.columns else F.lit(0.0),
     }).withColumn("score", weighted(CHOICE_WEIGHTS))
+
+
+def recommend_universe(candidates: DataFrame, letters: dict[str, str], unconstrained: str, min_markets: int = 25) -> DataFrame:
+    """Letter of the best viable universe; "A" when no constrained one is viable."""
+    scored = choice_scores(candidates, min_markets)
     best = scored.agg(
         F.max_by("universe", F.struct(F.round("score", 9), (-F.col("market_count")).alias("m"), "universe")).alias("universe"),
         F.count_if(F.col("universe") != unconstrained).alias("constrained"))

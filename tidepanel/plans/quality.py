@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel import fixtures as X
 from tidepanel.operators import graph as G
 from tidepanel.operators import joins as J
+from tidepanel.operators import learn as L
 from tidepanel.operators import panel as P
 from tidepanel.operators import quality as Q
 from tidepanel.plans.panels import CORE, CORE_SQL
@@ -238,6 +239,24 @@ def candidate_summary(spark, d):
         r6("mean_abs_corr"), r6("median_abs_corr"), r6("liquidity_score"), r6("relationship_score"), r6("overall_score"))
 
 
+def compressed(spark):
+    """(universe, pc_90) of all universes' panels, their components found together."""
+    def told(cells):
+        found = L.compressibility(cut_lineage(cells))
+        return spark.createDataFrame([(u, v["pc_90"]) for u, v in found.items()], "universe string, pc_90 int")
+
+    return told
+
+
+@query("candidate_scores")
+def candidate_scores(spark, d):
+    """The full score of each candidate universe with how few components carry its panel."""
+    x = X.Inputs(spark, d)
+    s = Q.candidate_summary(pool(spark, d), x.hourly, x.panel, SPECS, MIN_HOURS, compressed(spark))
+    parts = ("balance_score", "liquidity_score", "coverage_score", "compressibility_score", "relationship_score", "overall_score")
+    return s.select("universe", "panel_market_count", "pc_90", *[r6(c) for c in parts])
+
+
 # --- overlap -----------------------------------------------------------------------------------
 
 X.add_cte("jac", """
@@ -306,6 +325,8 @@ def missingness_decomposition(spark, d):
     return out.withColumns({c: r6(c) for c, t in out.dtypes if t == "double"})
 
 
+# Names and letters of the universes by least average overlap.
+LETTERS = {"Universe B": "A", "Universe B-25": "B", "Universe B-40": "C", "Universe B-50": "D"}
 THRESHOLDS = {"Universe B": 0.0, "Universe B-25": 0.25, "Universe B-40": 0.40, "Universe B-50": 0.50}
 X.add_cte("constrained", f"""
     SELECT k.universe, any_value(s.n) AS market_count, any_value(s.r) AS yes_rate,
@@ -323,10 +344,10 @@ X.add_cte("keep", "SELECT t.universe, a.market_id FROM avgjac a JOIN (VALUES " +
     f"('{n}', {t})" for n, t in THRESHOLDS.items()) + ") t(universe, cut) ON a.average_overlap >= t.cut", ["avgjac"])
 
 
-def constrained(spark, d):
+def constrained(spark, d, compressibility=None):
     x = X.Inputs(spark, d)
     pairs = cut_lineage(G.jaccard(x.panel))
-    return Q.constrained_universes(G.average_overlap(pairs, x.hourly), pairs, x.panel, x.panel, P.hour_index(x.hourly), x.markets, THRESHOLDS)
+    return Q.constrained_universes(G.average_overlap(pairs, x.hourly), pairs, x.panel, x.panel, P.hour_index(x.hourly), x.markets, THRESHOLDS, compressibility)
 
 
 @query("overlap_constrained_universes", X.with_views("constrained", f"""
@@ -347,8 +368,16 @@ def overlap_constrained_universes(spark, d):
       (SELECT CASE universe WHEN 'Universe B' THEN 'A' WHEN 'Universe B-25' THEN 'B' WHEN 'Universe B-40' THEN 'C' ELSE 'D' END
        FROM v ORDER BY score DESC, market_count, universe DESC LIMIT 1) END AS recommendation"""))
 def recommend_universe(spark, d):
-    letters = {"Universe B": "A", "Universe B-25": "B", "Universe B-40": "C", "Universe B-50": "D"}
-    return Q.recommend_universe(constrained(spark, d), letters, "Universe B")
+    return Q.recommend_universe(constrained(spark, d), LETTERS, "Universe B")
+
+
+@query("universe_choice")
+def universe_choice(spark, d):
+    """The viable universes with the parts of their full score, and the letter that it recommends."""
+    told = cut_lineage(constrained(spark, d, compressed(spark)))
+    letter = Q.recommend_universe(told, LETTERS, "Universe B").scalar()
+    parts = ("missingness_score", "market_score", "balance_score", "latent_score", "score")
+    return Q.choice_scores(told).select("universe", "market_count", "pc_90", *[r6(c) for c in parts], letter.alias("recommendation"))
 
 
 @query("lifetime_summary", X.with_views("lifetimes avgjac", """
