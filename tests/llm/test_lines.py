@@ -81,8 +81,54 @@ def test_query_equals_sql(corpus):
 @settings(max_examples=200, deadline=None)
 @given(st.text("abé", max_size=8))
 def test_variants(line):
-    hashes = L.variant_hashes(line)
-    whole = lambda s: L.variant_hashes(s)[-1]
+    every = lambda s: [int(k) for _, keys in L.variant_slices(s) for k in keys]
+    hashes, whole = every(line), lambda s: every(s)[-1]
     assert len(hashes) == len(line) + 1
-    assert [whole(line[:i] + line[i + 1:]) for i in range(len(line))] == hashes[:-1].tolist()
+    assert [whole(line[:i] + line[i + 1:]) for i in range(len(line))] == hashes[:-1]
     assert len({int(h) for h in hashes}) == len({line, *(line[:i] + line[i + 1:] for i in range(len(line)))})
+
+
+def shortened(line):
+    """Every variant's hash by the plain sum: letter values times powers of their place, for the line and for it less each code point."""
+    base, salt, full = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
+
+    def value(c):
+        v = ((ord(c) + salt) & full) * 0xBF58476D1CE4E5B9 & full
+        v = (v ^ v >> 29) * 0x94D049BB133111EB & full
+        return v ^ v >> 32
+
+    def told(x):
+        h = (sum(value(c) * pow(base, i, 1 << 64) for i, c in enumerate(x)) * salt + len(x)) & full
+        return h - (1 << 64) if h >> 63 else h
+
+    return {-1: told(line), **{i: told(line[:i] + line[i + 1:]) for i in range(len(line))}}
+
+
+def test_variants_by_slices(monkeypatch):
+    lines = ["", "a", "ab\U0001f600é", "aaaa bbbb\ud800 cccc", "x" * 16, "0123456789" * 5]
+    for size in (1, 4, 16, L.SLICE):
+        monkeypatch.setattr(L, "_POWERS", L._POWERS[:size])
+        monkeypatch.setattr(L, "SLICE", size)
+        for line in lines:
+            got = [(int(p), int(k)) for places, keys in L.variant_slices(line) for p, k in zip(places, keys)]
+            assert dict(got) == shortened(line) and len(got) == len(line) + 1
+        monkeypatch.undo()
+
+
+def test_memory_of_a_very_long_line():
+    import tracemalloc
+
+    line = "abcdefghij" * 2_000_000
+    tracemalloc.start()
+    n = sum(len(keys) for _, keys in L.variant_slices(line))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(line) + 1 and peak < 8 << 20
+
+
+def test_a_line_that_fills_a_third_of_all_rows(corpus):
+    common = "this line is in nearly every document of all"
+    rows = [(i, f"{common}\nline number {i} of its own kind here\n\n\n{common[:-1]}" if i % 3 else common) for i in range(600)]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = ordered(L.line_duplicates(docs).select("doc_id", "n_lines", "n_exact", "n_near", "removed").collect())
+    assert got == ordered(plain(rows, L.NEAR_CHARS))

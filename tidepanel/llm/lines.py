@@ -65,18 +65,42 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
-def variant_hashes(line: str) -> np.ndarray:
-    """Hashes of the line less each one code point, then of the line itself: sums of letter values times powers of their place."""
-    letters = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    letters = (letters + _SALT) * np.uint64(0xBF58476D1CE4E5B9)
-    letters = (letters ^ (letters >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    letters = letters ^ (letters >> np.uint64(32))
-    n = len(letters)
-    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE)])
-    before = np.r_[np.uint64(0), np.cumsum(letters * powers[:n], dtype=np.uint64)]  # of the letters in front, in place
-    moved = np.r_[np.uint64(0), np.cumsum(letters[1:] * powers[:max(n - 1, 0)], dtype=np.uint64)]  # of letter 2 on, one place down
-    shorter = before[:n] + (moved[-1] - moved)[:n] if n else before[:0]
-    return np.r_[shorter * _SALT + np.uint64(max(n - 1, 0)), before[-1:] * _SALT + np.uint64(n)].view(np.int64)
+#: Places of a line whose variants are emitted at once: a line of any length takes some megabytes beside its text.
+SLICE = 1 << 15
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(SLICE - 1, _BASE)])
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))  # undoes a step of the powers
+
+
+def variant_slices(line: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the line less each one code point, slice by slice, the line itself (place -1) with the last.
+
+    A hash sums letter values times powers of their place. Less one code point, the letters behind it move one place down, so their part of
+    the whole line's sum is divided by one power.
+    """
+    n = len(line)
+
+    def sums() -> Iterator[tuple[int, np.ndarray]]:
+        scale = np.ones(1, np.uint64)
+        for start in range(0, n, SLICE):
+            letters = np.frombuffer(line[start:start + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            letters = (letters + _SALT) * np.uint64(0xBF58476D1CE4E5B9)
+            letters = (letters ^ (letters >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            letters = letters ^ (letters >> np.uint64(32))
+            yield start, letters * (_POWERS[:len(letters)] * scale)
+            scale *= _POWERS[-1:] * _BASE
+
+    total, front = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+    for _, part in sums():
+        total += part.sum(dtype=np.uint64)
+    whole = (total * _SALT + np.uint64(n)).view(np.int64)
+    for start, part in sums():
+        before = np.r_[front, front + np.cumsum(part, dtype=np.uint64)]  # of the letters in front of each place
+        front = before[-1:]
+        shorter = before[:-1] + (total - before[1:]) * _BACK
+        keys, places = (shorter * _SALT + np.uint64(n - 1)).view(np.int64), np.arange(start, start + len(part))
+        yield (places, keys) if start + SLICE < n else (np.r_[places, -1], np.r_[keys, whole])
+    if not n:
+        yield np.array([-1]), whole
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -86,12 +110,10 @@ def variants(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, line in enumerate(batch.column("line").to_pylist()):
-                keys = variant_hashes(line)
-                n = len(keys)
-                same = pa.array(np.full(n, i))
-                places = np.r_[np.arange(n - 1), -1].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places), *(batch.column(c).take(same) for c in ("h1", "h2", "first"))],
-                                                 names=["variant", "place", "h1", "h2", "first"])
+                for places, keys in variant_slices(line):
+                    same = pa.array(np.full(len(keys), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places), *(batch.column(c).take(same) for c in ("h1", "h2", "first"))],
+                                                     names=["variant", "place", "h1", "h2", "first"])
 
     return lines.mapInArrow(run, f"variant long, place long, h1 long, h2 long, first {kinds['first']}")
 
