@@ -3,7 +3,8 @@
 A line is a piece of the text between line breaks, without blanks at its ends. It goes if an equal line occurs earlier (by id, then line
 number), or, from `near_chars` code points on, if a line one insertion, deletion or substitution away first occurs earlier. Blank lines stay.
 
-1. Equal lines are counted as one, with their first place, by a partial aggregate: a line that fills a third of all rows costs no more.
+1. Equal lines are counted as one, with their first place, by a partial aggregate: a line that fills a third of all rows costs no more,
+   and such a line is told its first place where it is read; blank lines take no part.
 2. A line one edit away from another agrees with it in its left or its right half. Lines that share no half with any other have no
    neighbour, which settles all but a few without building their neighbourhoods.
 3. The others emit all their variants: the line itself and the line less each one code point, as hashed keys. Lines with the same
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import BITS, bit_set, maybe_in, written
+from tidepanel.llm.common import BITS, bit_set, join_classes, maybe_in, written
 
 NEAR_CHARS = 20
 LINE = ["h1", "h2"]
@@ -164,13 +165,15 @@ def line_duplicates(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str =
     distinct = lines.where("not blank").groupBy(*LINE).agg(F.min(at()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = written(distinct, "lines-distinct")
     near = written(near_lines(docs, distinct), "lines-near").withColumn("near", F.lit(True))
-    touched = distinct.select(*LINE, "first", "n").join(near, LINE, "left").where("n > 1 or near")
-    told = lines.select("row", "doc_id", "line_no", "blank", *LINE).join(touched, LINE, "left")
-    exact = F.coalesce(~F.col("blank") & (F.col("first") < at()), F.lit(False))
-    gone = told.select("row", "doc_id", "line_no", exact.alias("exact"), (~exact & F.coalesce("near", F.lit(False)) & ~F.col("blank")).alias("near"))
-    return gone.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"),
-        F.array_sort(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("removed"),
+    touched = written(distinct.select(*LINE, "first", "n").join(near, LINE, "left").where("n > 1 or near"), "lines-touched")
+    told = join_classes(lines.where("not blank").select("row", "doc_id", "line_no", *LINE), touched, LINE, "n")
+    exact = F.col("first") < at()
+    gone = told.select("row", "doc_id", "line_no", exact.alias("exact"), (~exact & F.coalesce("near", F.lit(False))).alias("near")).where("exact or near")
+    # Every line is counted where it is read; beside that only the lines that go are shuffled.
+    every = lines.select("row", "doc_id", F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("exact"), F.lit(False).alias("near"))
+    return every.unionByName(gone).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.count_if(F.col("line_no").isNull()).alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"),
+        F.array_sort(F.collect_list("line_no")).alias("removed"),
     ).drop("row")
 
 
