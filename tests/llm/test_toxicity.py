@@ -45,3 +45,10 @@ def test_features():
     told = dict(zip(T.NAMES, T.features("You 1d1ot! STUPID trash, stuuupid st*pid day", T.INSULTS, 4)))
     assert told["hits"] == np.log1p(2) and told["hidden_hits"] > 0 and told["near_person"] > 0 and told["shout_rate"] > 0 and told["stretched"] > 0
     assert T.features("", T.INSULTS, 4) == [0.0] * len(T.NAMES)
+
+
+def test_long_words_are_learned(corpus):
+    run_together = "youaresuchaterribleperson" * 3
+    texts = [(i, (f"{run_together} " if i % 3 == 0 else "what a fine day it is ") + f"number {i}", int(i % 3 == 0)) for i in range(120)]
+    sample = corpus.createDataFrame([(t, y) for _, t, y in texts], "text string, toxic int")
+    assert run_together in T.learned_words(sample, T.Settings())
