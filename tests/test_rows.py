@@ -37,3 +37,10 @@ def test_future_targets_has_every_row(spark, tables):
         later = cells.get((ts + dt.timedelta(hours=24), m))
         assert r.future_price_24h == (None if later is None else round(later, 6))
         assert r.large_move_24h == (None if later is None else int(abs(later - cells[ts, m]) >= 0.10))
+
+
+def test_shift_join_has_every_row(spark, tables):
+    cells = panel(spark, tables)
+    got = {(r.ts, r.market_id): (r.p, r.later) for r in QUERIES["shift_join"](spark, tables).collect()}
+    later = {k: cells.get((k[0] + dt.timedelta(hours=24), k[1])) for k in cells}
+    assert got == {k: (round(p, 6), None if later[k] is None else round(later[k], 6)) for k, p in cells.items()}
