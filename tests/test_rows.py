@@ -44,3 +44,14 @@ def test_shift_join_has_every_row(spark, tables):
     got = {(r.ts, r.market_id): (r.p, r.later) for r in QUERIES["shift_join"](spark, tables).collect()}
     later = {k: cells.get((k[0] + dt.timedelta(hours=24), k[1])) for k in cells}
     assert got == {k: (round(p, 6), None if later[k] is None else round(later[k], 6)) for k, p in cells.items()}
+
+
+def test_fit_impute_scale_has_every_hour(spark, tables):
+    got = QUERIES["fit_impute_scale"](spark, tables)
+    assert set(got.columns) == {"fold", "ts", "feature", "z"}
+    rows = got.collect()
+    assert len({(r.fold, r.ts, r.feature) for r in rows}) == len(rows)
+    hours = {}
+    for r in rows:
+        hours.setdefault((r.fold, r.feature), set()).add(r.ts)
+    assert hours and all(len(h) == len({x for s in hours.values() for x in s}) >= HOURS - 24 for h in hours.values())
