@@ -11,7 +11,6 @@ rows without a label, or a null one, do not take part. With labels of one class
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -90,9 +89,9 @@ def features(text: str, lexicon: frozenset, near: int) -> list[float]:
     marks, letters = len(_PUNCTUATION.findall(text)), sum(map(len, found)) or 1
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
     return [
-        math.log1p(len(hits)), len(hits) / n, math.log1p(len({lower[i] for i in hits})), peak / 50, close / n, len(person) / n, math.log1p(hidden), hidden / n,
+        np.log1p(len(hits)), len(hits) / n, np.log1p(len({lower[i] for i in hits})), peak / 50, close / n, len(person) / n, np.log1p(hidden), hidden / n,
         capitals / letters, sum(len(w) > 2 and w.isupper() for w in found) / n, marks / chars, text.count("!") / chars, text.count("?") / chars,
-        sum(_INSIDE.search(w) is not None for w in odd) / n, len(_STRETCHED.findall(text)) / n, math.log1p(len(lower)),
+        sum(_INSIDE.search(w) is not None for w in odd) / n, len(_STRETCHED.findall(text)) / n, np.log1p(len(lower)),
     ]
 
 
