@@ -1,5 +1,6 @@
 """Scores, weights and scalar rules on small known inputs."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ from tidepanel.operators import evaluate as E
 from tidepanel.operators import folds as FO
 from tidepanel.operators import learn as L
 from tidepanel.operators import quality as Q
+from tidepanel.plans import learning as LP
 
 
 def one(spark, column):
@@ -129,3 +131,19 @@ def test_clips_keep_nulls(spark):
 def test_minmax_of_a_flat_column_is_zero(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert [r["s"] for r in Q.minmax(df, "x", "s").collect()] == [0.0, 0.0]
+
+
+def test_image_diagrams_of_all_folds_equal_those_of_each(spark):
+    """Windows of two folds in one job give each fold the diagrams that it has on its own."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f, start + dt.timedelta(hours=h), [float(v) for v in rng.normal(size=3)]) for f in (1, 2) for h in range(36)]
+    vectors = spark.createDataFrame(rows, "fold int, ts timestamp_ntz, x array<double>")
+    s = SimpleNamespace(index=vectors.select("ts").distinct())
+    told = lambda df: sorted((r.window_end, r.dim, round(r.birth, 9), round(r.death, 9)) for r in df.collect())
+    _, both = LP.folds_topology(s, vectors)
+    for fold in (1, 2):
+        _, own, _ = LP.fold_topology(s, vectors, fold)
+        assert (mine := told(both.where(F.col("fold") == fold))) == told(own) and mine
