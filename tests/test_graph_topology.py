@@ -159,3 +159,34 @@ def test_compressibility_of_many_universes(spark):
         assert np.allclose([got[u]["pc1_variance"], got[u]["pc2_cumulative_variance"], got[u]["pc5_cumulative_variance"]], total[[0, 1, 4]])
 
 
+
+
+def test_dynamic_neighbourhoods_of_all_lengths_together(spark, cells):
+    """Windows of two lengths in one job, with gaps, a flat market and a member without prices, against brute force."""
+    near = spark.createDataFrame([(1, o, m) for o in range(5) for m in (o + 5, o + 6, 99, 200)], "fold int, owner bigint, member bigint")
+    index = cells.select("ts").distinct()
+    got = {(r.window_hours, r.window_end, r.owner, r.t): r for r in G.dynamic_neighborhood_graphs(cells, index, near, (12, 24), 12, keys=["fold"]).collect()}
+    wide, seen = cells.toPandas().pivot(index="ts", columns="market_id", values="p"), 0
+    for w in (12, 24):
+        for end in (t for t in wide.index if t.hour % 12 == 0 and t >= wide.index[0] + pd.Timedelta(hours=w - 1)):
+            part = wide[(wide.index > end - pd.Timedelta(hours=w)) & (wide.index <= end)]
+            rest = (part - part.mean()).fillna(0.0)
+            for o in range(5):
+                ids = [o, o + 5, o + 6]  # the flat market and the missing one have no edge
+                r = {(a, b): (rest[a] * rest[b]).sum() / np.sqrt((rest[a] ** 2).sum() * (rest[b] ** 2).sum()) for a, b in itertools.combinations(ids, 2)}
+                for t in G.THRESHOLDS:
+                    edges, row = sum(abs(v) >= t for v in r.values()), got[w, end.to_pydatetime(), o, t]
+                    assert (row.nodes, row.edges, row.components) == (5, edges, 5 - min(edges, 2)) and row.clustering == (1.0 if edges == 3 else 0.0)
+                    seen += 1
+    assert seen == len(got)
+    alone = G.dynamic_neighborhood_graphs(cells, index, near, 24, 12, keys=["fold"])
+    assert alone.columns[0] == "window_end" and alone.count() == sum(k[0] == 24 for k in got)
+
+
+def test_prices_of_neighbourhoods_from_runs(spark, cells):
+    own = spark.createDataFrame([(o, m) for o in range(5) for m in (o, o + 5, 99)], "owner bigint, member bigint")
+    got = {r.owner: r for r in G.neighborhood_prices(own, cells, ["owner"], []).collect()}
+    wide = cells.toPandas().pivot(index="ts", columns="market_id", values="p")
+    for o in range(5):
+        part = wide[[o, o + 5, 99]]
+        assert abs(got[o].prob_mean - part.mean(axis=1).mean()) < 1e-12 and abs(got[o].prob_std - part.std(axis=1, ddof=0).mean()) < 1e-12
