@@ -190,3 +190,18 @@ def test_prices_of_neighbourhoods_from_runs(spark, cells):
     for o in range(5):
         part = wide[[o, o + 5, 99]]
         assert abs(got[o].prob_mean - part.mean(axis=1).mean()) < 1e-12 and abs(got[o].prob_std - part.std(axis=1, ddof=0).mean()) < 1e-12
+
+
+def test_nearest_points_with_ties_copies_and_far_points(spark):
+    """Copies and ties go by id, a point that is no number has no part, and large coordinates do not blur small distances."""
+    rng = np.random.default_rng(9)
+    x = np.r_[np.repeat(rng.random((4, 3)), 8, axis=0), rng.integers(0, 3, (30, 3)).astype(float), 1e6 + 1e-3 * rng.random((20, 3))]
+    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, [float("nan"), 0.0, 0.0])], "market_id int, x array<double>")
+    assert G.point_blocks(points) == 1
+    for blocks in (1, 3):
+        got = G.nearest_points(points, 4, blocks).toPandas()
+        assert set(got.owner) | set(got.member) == set(range(len(x)))
+        for i in range(len(x)):
+            gap = np.round(np.linalg.norm(x - x[i], axis=1), 9)
+            gap[i] = np.inf
+            assert got[got.owner == i].sort_values("rank").member.tolist() == np.argsort(gap, kind="stable")[:4].tolist()
