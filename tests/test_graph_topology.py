@@ -205,3 +205,9 @@ def test_nearest_points_with_ties_copies_and_far_points(spark):
             gap = np.round(np.linalg.norm(x - x[i], axis=1), 9)
             gap[i] = np.inf
             assert got[got.owner == i].sort_values("rank").member.tolist() == np.argsort(gap, kind="stable")[:4].tolist()
+
+
+def test_nearest_points_of_a_repeated_owner_are_told_once(spark):
+    points = spark.createDataFrame([(i, [float(i), 0.0]) for i in (1, 1, 2, 3, 4)], "market_id int, x array<double>")
+    got = {(r.owner, r.rank): r.member for r in G.nearest_points(points, 2, 1).collect()}
+    assert got[1, 1] == 2 and got[1, 2] == 3 and (1, 3) not in got and got[4, 1] == 3
