@@ -111,3 +111,12 @@ def test_at_once_keeps_order_and_spread_deals_rows(spark):
     assert at_once(spark, lambda k: spark.range(k).count(), [5, 3, 9, 1]) == [5, 3, 9, 1]
     sizes = [r["n"] for r in spread(spark.range(0, 1600, 1, 1)).groupBy(F.spark_partition_id().alias("k")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) < 200
+
+
+def test_passes_read_plain_columns(spark, fitted):
+    """Training rows reach the tasks as they were written, and what scales them there is what `rows` says."""
+    rows, got = fitted
+    assert got.design.train.columns == ["grp", "y", *[f"f_{c}" for c in COLUMNS]]
+    told = got.predictions(got.design.raw.where("fold = 1 AND split = 'test'"), x=True).where("model = 'small_1.0'").orderBy("i").collect()
+    x, _, train = prepared(rows, 1)
+    assert len(told) == 180 and np.allclose([r["x"] for r in told], x[~train])
