@@ -211,3 +211,20 @@ def test_nearest_points_of_a_repeated_owner_are_told_once(spark):
     points = spark.createDataFrame([(i, [float(i), 0.0]) for i in (1, 1, 2, 3, 4)], "market_id int, x array<double>")
     got = {(r.owner, r.rank): r.member for r in G.nearest_points(points, 2, 1).collect()}
     assert got[1, 1] == 2 and got[1, 2] == 3 and (1, 3) not in got and got[4, 1] == 3
+
+
+def test_neighbourhoods_need_no_table_of_pairs(spark, cells, monkeypatch):
+    """Graphs and controls of neighbourhoods whose series meet, gaps and a member without prices included, are those of a table of all pairs."""
+    live = cells.selectExpr("1 AS fold", "*")
+    corr = G.correlations(live, ["fold"], min_hours=2)
+    near = spark.createDataFrame([(1, o, (o * 3 + j) % 20) for o in range(20) for j in range(1, 5 + o % 3)] + [(1, 3, 99), (1, 4, 1000), (1, 2000, 1000)], "fold int, owner long, member long")
+    near = near.where("owner <> member").cache()
+    order = ["owner", "t"]
+    graphs = G.neighborhood_graphs(near, corr, ["fold"]).toPandas().sort_values(order, ignore_index=True)
+    controls = G.neighborhood_controls(near, corr, live, ["fold"]).toPandas().sort_values("owner", ignore_index=True)
+    monkeypatch.setattr(G.S, "pairs", None)
+    met = G.Strengths(live, ["fold"])
+    pd.testing.assert_frame_equal(G.neighborhood_graphs(near, met, ["fold"]).toPandas().sort_values(order, ignore_index=True), graphs, check_dtype=False)
+    pd.testing.assert_frame_equal(G.neighborhood_controls(near, met, keys=["fold"]).toPandas().sort_values("owner", ignore_index=True), controls, check_dtype=False, atol=1e-9)
+    hoods = all_hoods(live, met, ["top_corr"])
+    assert hoods.where("k = 10").groupBy("owner").count().where("count <> 10").isEmpty()
