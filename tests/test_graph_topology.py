@@ -228,3 +228,32 @@ def test_neighbourhoods_need_no_table_of_pairs(spark, cells, monkeypatch):
     pd.testing.assert_frame_equal(G.neighborhood_controls(near, met, keys=["fold"]).toPandas().sort_values("owner", ignore_index=True), controls, check_dtype=False, atol=1e-9)
     hoods = all_hoods(live, met, ["top_corr"])
     assert hoods.where("k = 10").groupBy("owner").count().where("count <> 10").isEmpty()
+
+
+def test_many_small_graphs_by_bits():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 11):
+        adj = np.triu(rng.random((600, n, n)) < 0.3, 1)
+        adj = adj | adj.transpose(0, 2, 1)
+        want = [np.concatenate(c) for c in zip(*(G._small_graphs(adj[i:i + 100]) for i in range(0, 600, 100)))]
+        assert all(np.array_equal(a, b) for a, b in zip(G._bit_graphs(adj), want))
+
+
+def test_dynamic_neighbourhoods_without_gaps(spark):
+    """Windows made of slices that are multiplied once tell what every window tells by itself; values far from zero with small moves included."""
+    rng = np.random.default_rng(6)
+    x = 0.9 + 1e-4 * np.cumsum(rng.normal(size=(200, 12)), axis=0)
+    x[:, 3], x[40:120, 5] = 0.4, 0.7
+    rows = [(DAY + dt.timedelta(hours=t), m, float(x[t, m])) for t in range(200) for m in range(12)]
+    cells = spark.createDataFrame(rows, "ts timestamp_ntz, market_id bigint, p double")
+    near = spark.createDataFrame([(o, (o + j) % 12) for o in range(12) for j in (1, 2, 3, 4)], "owner bigint, member bigint")
+    got = {(r.window_hours, r.window_end, r.owner, r.t): r for r in G.dynamic_neighborhood_graphs(cells, cells.select("ts").distinct(), near, (24, 72), 12).collect()}
+    assert len(got) == (15 + 11) * 12 * 3
+    for (w, end, o, t), row in got.items():
+        at = int((end - DAY).total_seconds() // 3600)
+        part = x[at - w + 1:at + 1][:, [(o + j) % 12 for j in range(5)]]
+        moves = part.max(axis=0) > part.min(axis=0)
+        with np.errstate(all="ignore"):
+            r = np.nan_to_num(np.corrcoef(part.T)) * np.outer(moves, moves)
+        edges = int((np.round(np.abs(r[np.triu_indices(5, 1)]), 9) >= t).sum())
+        assert (row.nodes, row.edges) == (5, edges)
