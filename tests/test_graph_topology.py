@@ -257,3 +257,19 @@ def test_dynamic_neighbourhoods_without_gaps(spark):
             r = np.nan_to_num(np.corrcoef(part.T)) * np.outer(moves, moves)
         edges = int((np.round(np.abs(r[np.triu_indices(5, 1)]), 9) >= t).sum())
         assert (row.nodes, row.edges) == (5, edges)
+
+
+def test_graphs_described_whole_equal_those_of_the_forest(spark, monkeypatch):
+    """Dense graphs, one without edges, one without pairs, missing strengths and isolated nodes; the wedges are not joined."""
+    rng = np.random.default_rng(7)
+    rows = [(g, a, b, float(rng.uniform(-1, 1)) if rng.random() < 0.9 else None) for g, n in ((1, 30), (2, 6)) for a in range(n) for b in range(a + 1, n) if g == 1 or rng.random() < 0.4]
+    corr = spark.createDataFrame([*rows, (3, 1, 2, 0.1)], "g int, a long, b long, r double")
+    sizes = spark.createDataFrame([(1, 33), (2, 8), (3, 2), (4, 5)], "g int, n long")
+    with monkeypatch.context() as held:
+        held.setattr(G, "DENSE_NODES", 0)
+        want = G.threshold_graphs(corr, sizes, ["g"]).toPandas()
+    monkeypatch.setattr(G, "triangle_counts", None)
+    got = G.threshold_graphs(corr, sizes, ["g"]).toPandas()
+    order = ["g", "t"]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), check_dtype=False)
+    assert len(got) == 12
