@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import fits as T
+from tidepanel.plans.learning import Setup
 from tidepanel.session import at_once, spread
 
 
@@ -120,3 +121,15 @@ def test_passes_read_plain_columns(spark, fitted):
     told = got.predictions(got.design.raw.where("fold = 1 AND split = 'test'"), x=True).where("model = 'small_1.0'").orderBy("i").collect()
     x, _, train = prepared(rows, 1)
     assert len(told) == 180 and np.allclose([r["x"] for r in told], x[~train])
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_many_rows_of_a_fold_are_dealt_to_every_core(spark, many):
+    """Boosted rounds pass over the written rows of a fold; folds come back in order."""
+    s = object.__new__(Setup)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, CAST(id % 8 AS INT)) AS ts", "id AS market_id", "1 AS y")
+    hours = spark.range(0, 8, 1, 1).selectExpr("1 + CAST(id % 2 AS INT) AS fold", "IF(id < 6, 'train', 'test') AS split", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS ts")
+    s.__dict__.update(rows=rows, members=hours, many=many, inputs=type("Given", (), {"spark": spark}), fold_ids=lambda: [1, 2], components=lambda *a: None)
+    train, test = s.modelling_rows(1)
+    assert (train.count(), test.count()) == (1500, 500) and (len(train.inputFiles()) > 4) == many
+    assert s.each_fold(lambda fold: fold * 10, None) == [10, 20]
